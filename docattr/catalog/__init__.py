@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["relational"]
+MODULES = ["relational", "aggregates", "scalars", "sources"]
 
 
 

@@ -150,9 +150,8 @@ def to_wide(df: DataFrame, key: str, cols: list[str], order: str) -> DataFrame:
     packed = df.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct(order, *[F.col(c).cast("string").alias(f"_{c}") for c in cols]))).alias("_r")
     )
-    return packed.select(
-        key, *[F.array_join(F.transform("_r", lambda r, c=c: r[f"_{c}"]), ";").alias(c) for c in cols]
-    )
+    # field access on an array of structs yields the array of that field
+    return packed.select(key, *[F.array_join(F.col("_r")[f"_{c}"], ";").alias(c) for c in cols])
 
 
 def compact_log(log: DataFrame, metric: str) -> DataFrame:
