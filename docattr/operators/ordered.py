@@ -127,6 +127,12 @@ def rank_abs(df: DataFrame, keys: list[str], value: str, position: str, name: st
     return global_index(df, order, name, keys).withColumn(name, F.col(name) + 1)
 
 
+def bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` computed once: a lambda body is evaluated per element, so
+    whatever it only refers to has to be bound outside."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 # --- operators on the ordered parts of one document, held as an array in its row ----------
 
 

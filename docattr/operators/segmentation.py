@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docattr.functions.text import ascii_fold, squeeze
-from docattr.operators.ordered import offsets
+from docattr.operators.ordered import bind, offsets
 
 # Run grammar over line tags (slugline, description, speaker + speech).
 RUNS = r"(S+)|(N+)|((C+)([EDX]+))"
@@ -19,32 +19,37 @@ def script_segments(lines: Column, tags: Column, drop_tail: bool = False) -> Col
     ``drop_tail``, become an ``other`` segment.
     """
     folded = F.translate(tags, "OTM", "XXX")
-    runs = F.regexp_extract_all(folded, F.lit(RUNS), 0)
-    gaps = F.split(folded, RUNS, -1)
 
     def kind(run):
         return F.when(run.startswith("S"), "slugline").when(run.startswith("N"), "desc").otherwise("utter")
 
-    paired = F.flatten(F.transform(runs, lambda r, i: F.array(
-        F.struct(F.lit("other").alias("kind"), F.get(gaps, i).alias("run")),
-        F.struct(kind(r).alias("kind"), r.alias("run")),
-    )))
-    if not drop_tail:
-        paired = F.concat(paired, F.array(F.struct(F.lit("other").alias("kind"), F.element_at(gaps, -1).alias("run"))))
-    pieces = F.filter(paired, lambda p: p["run"] != "")
-    starts = offsets(F.transform(pieces, lambda p: F.length(p["run"])), 0)
-
-    def text(start, n):
-        return squeeze(ascii_fold(F.array_join(F.slice(lines, start + 1, n), " ")))
-
-    def build(p, start):
-        cue = F.length(F.regexp_extract(p["run"], "^(C+)", 1))
-        return F.struct(
-            p["kind"].alias("kind"), text(start, F.length(p["run"])).alias("text"),
-            F.when(p["kind"] == "utter", text(start, cue)).otherwise("").alias("speaker"),
-        )
-
-    return F.filter(F.zip_with(pieces, starts, build), lambda s: s["text"] != "")
+    def other(run):
+        return F.struct(F.lit("other").alias("kind"), run.alias("run"))
+
+    def pieces(x):
+        paired = F.zip_with(F.slice(x["gaps"], F.lit(1), F.size(x["runs"])), x["runs"], lambda g, r: F.array(
+            other(g), F.struct(kind(r).alias("kind"), r.alias("run"))))
+        parts = F.flatten(paired)
+        if not drop_tail:
+            parts = F.concat(parts, F.array(other(F.element_at(x["gaps"], -1))))
+        return F.filter(parts, lambda p: p["run"] != "")
+
+    def texts(x):
+        def text(start, n):
+            return squeeze(ascii_fold(F.array_join(F.slice(x["lines"], start + 1, n), " ")))
+
+        def build(p, start):
+            cue = F.length(F.regexp_extract(p["run"], "^(C+)", 1))
+            return F.struct(
+                p["kind"].alias("kind"), text(start, F.length(p["run"])).alias("text"),
+                F.when(p["kind"] == "utter", text(start, cue)).otherwise("").alias("speaker"),
+            )
+
+        starts = offsets(F.transform(x["parts"], lambda p: F.length(p["run"])), 0)
+        return F.filter(F.zip_with(x["parts"], starts, build), lambda s: s["text"] != "")
+
+    scanned = F.struct(F.regexp_extract_all(folded, F.lit(RUNS), 0).alias("runs"), F.split(folded, RUNS, -1).alias("gaps"))
+    return bind(F.struct(lines.alias("lines"), bind(scanned, pieces).alias("parts")), texts)
 
 
 def segment_table(docs: DataFrame, key: str, lines: Column, tags: Column, drop_tail: bool = False) -> DataFrame:
