@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["relational", "aggregates", "scalars", "sources", "pages", "mentions", "contexts", "matching"]
+MODULES = ["relational", "aggregates", "scalars", "sources", "pages", "mentions", "contexts", "matching", "sampling", "graphs"]
 
 
 
