@@ -2,7 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ["relational", "aggregates", "scalars", "sources", "pages", "mentions", "contexts", "matching", "sampling", "graphs"]
+MODULES = ["relational", "aggregates", "scalars", "sources", "pages", "mentions", "contexts",
+           "matching", "sampling", "graphs", "prompts", "vectors", "streams"]
 
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docattr.functions.draws import key_hash, uniform
-from docattr.operators.ordered import first_k, global_index, running_total
+from docattr.operators.ordered import first_k, global_index, gold_index, running_total
+from docattr.session import cut
 
 
 def sample_n(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
@@ -61,8 +62,9 @@ def inject_negatives(
     A negative is, with probability ``p``, an unheld antonym of the row's attribute if there
     is one, otherwise any attribute the entity does not hold. Draws are uniform.
     """
-    held = facts.select(entity, attribute).distinct()
-    vocab = global_index(facts.select(attribute).distinct(), [attribute], "_pos")
+    # read by six branches below
+    held = cut(facts.select(entity, attribute).distinct())
+    vocab = global_index(held.select(attribute).distinct(), [attribute], "_pos")
     size = vocab.agg(F.count(F.lit(1))).scalar()
     holds = held.groupBy(entity).agg(F.count(F.lit(1)).alias("_n_held"))
     rows = facts.select(*key).distinct().join(holds, entity)
@@ -101,12 +103,12 @@ def multiclass_samples(
     sampling without replacement over the entity's whole remaining vocabulary, so the set
     is short only when that vocabulary is.
     """
-    held = facts.select(entity, attribute).distinct()
+    held = cut(facts.select(entity, attribute).distinct())
     near = relation.select(attribute, F.col("antonym").alias("_o")).filter(F.col(attribute) != F.col("_o")).distinct()
     held_o = held.withColumnRenamed(attribute, "_o")
-    own = held.join(near, attribute).join(held_o, [entity, "_o"], "left_anti")
+    own = cut(held.join(near, attribute).join(held_o, [entity, "_o"], "left_anti"))
     chosen = first_k(own.withColumn("_h", key_hash(seed, entity, attribute, "_o")), [entity, attribute], ["_h", "_o"], antonyms)
-    excluded = held_o.unionByName(own.select(entity, "_o")).distinct()
+    excluded = cut(held_o.unionByName(own.select(entity, "_o")).distinct())
 
     freq = held.groupBy(F.col(attribute).alias("_o")).agg(F.count(F.lit(1)).alias("_w"))
     weights = running_total(freq, ["_o"], F.col("_w"), "_hi").withColumn("_lo", F.col("_hi") - F.col("_w"))
@@ -127,24 +129,45 @@ def multiclass_samples(
     found = rows.join(others, [entity, attribute, "_need"], "left").withColumn(
         "_picked", F.coalesce(F.slice(F.col("_l._o"), F.lit(1), F.col("_need").cast("int")), F.array().cast("array<string>")))
 
-    short = found.filter(F.size("_picked") < F.col("_need")).select(entity, attribute, "_need", "_picked")
-    # the exact completion lists a vocabulary, but only for the few rows the draws left short
-    rest = short.join(freq, ~F.array_contains("_picked", F.col("_o"))).join(excluded, [entity, "_o"], "left_anti")
-    key = -F.ln(F.greatest(uniform(seed + 2, entity, attribute, "_o"), F.lit(1e-12))) / F.col("_w")
-    filled = rest.groupBy(entity, attribute).agg(F.array_sort(F.collect_list(F.struct(key.alias("k"), "_o"))).alias("_f"))
-    full = found.select(entity, attribute, "_need", "_picked").join(filled, [entity, attribute], "left")
-    extra = F.slice(F.col("_f._o"), F.lit(1), (F.col("_need") - F.size("_picked")).cast("int"))
-    full = full.withColumn("_others", F.when(F.col("_f").isNull(), F.col("_picked")).otherwise(F.concat("_picked", extra)))
+    # the draws are the expensive part; both the check and the completion read their result
+    found = cut(found.select(entity, attribute, "_need", "_picked"))
+    short = found.filter(F.size("_picked") < F.col("_need"))
+    if short.isEmpty():
+        full = found.withColumn("_others", F.col("_picked"))
+    else:
+        filled = _fill_short(short, excluded, freq, entity, attribute, options, seed + 2)
+        full = found.join(filled, [entity, attribute], "left")
+        extra = F.slice("_f", F.lit(1), (F.col("_need") - F.size("_picked")).cast("int"))
+        full = full.withColumn("_others", F.when(F.col("_f").isNull(), F.col("_picked")).otherwise(F.concat("_picked", extra)))
 
     antos = chosen.groupBy(entity, attribute).agg(F.array_sort(F.collect_list("_o")).alias("_antos"))
     full = full.join(antos, [entity, attribute], "left")
     every = F.concat(F.array(attribute), F.coalesce("_antos", F.array().cast("array<string>")), F.col("_others"))
-    from docattr.operators.ordered import gold_index
-
     shuffled, gold = gold_index(every, F.col(attribute), seed + 3, F.col(entity))
     return full.select(entity, attribute, shuffled.alias("options"), gold.alias("label"))
 
 
+def _fill_short(
+    short: DataFrame, excluded: DataFrame, freq: DataFrame, entity: str, attribute: str, options: int, seed: int
+) -> DataFrame:
+    """(entity, attribute, _f): a weighted order of what is left for rows the draws left short.
+
+    Only their entities list their remaining vocabulary. Many draws miss only where little
+    weight is left, and pairs are formed by entity, never with the whole vocabulary.
+    """
+    vocab = global_index(freq.select("_o"), ["_o"], "_pos")
+    taken = cut(excluded.join(short.select(entity).distinct(), entity, "left_semi").join(vocab.select("_o"), "_o", "left_semi"))
+    size = vocab.agg(F.count(F.lit(1))).scalar()
+    left = taken.groupBy(entity).agg((size - F.count(F.lit(1))).alias("_left")).filter("_left > 0")
+    requests = left.select(entity, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_left") - 1)).alias("_r"))
+    remaining = _kth_missing(requests, taken, vocab, entity, "_o").select(entity, F.col("_other").alias("_o"))
+    rest = short.join(remaining, entity).filter(~F.array_contains("_picked", F.col("_o"))).join(freq, "_o")
+    key = -F.ln(F.greatest(uniform(seed, entity, attribute, "_o"), F.lit(1e-12))) / F.col("_w")
+    few = first_k(rest.withColumn("_k", key), [entity, attribute], ["_k", "_o"], options)
+    ordered = F.array_sort(F.collect_list(F.struct("_k", "_o")))
+    return few.groupBy(entity, attribute).agg(ordered.alias("_l")).select(entity, attribute, F.col("_l._o").alias("_f"))
+
+
 # --- divergence-minimising split ------------------------------------------------------------
 
 
