@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docattr.operators.ordered import keep_where
+
 
 def exclude_containing(df: DataFrame, col: str, needles: list[str]) -> DataFrame:
     return df.filter(reduce(lambda c, n: c & ~F.col(col).contains(n), needles, F.lit(True)))
@@ -27,9 +29,7 @@ def where_all(df: DataFrame, *conditions: Column) -> DataFrame:
 def quality_gate(docs: DataFrame, text: str, min_unique_lines: int) -> DataFrame:
     """Documents with enough distinct non-blank lines; counted inside the row."""
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return docs.withColumn("n_unique_lines", F.size(F.array_distinct(lines))).filter(
-        F.col("n_unique_lines") >= min_unique_lines
-    )
+    return keep_where(docs, "n_unique_lines", F.size(F.array_distinct(lines)), lambda n: n >= min_unique_lines)
 
 
 def outside_dead_zone(df: DataFrame, col: str, low: float, high: float) -> DataFrame:

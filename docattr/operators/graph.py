@@ -12,29 +12,33 @@ from docattr.session import cut
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): connected components of an undirected graph, root = smallest node.
 
-    Every round each node joins the neighbour (or itself) with the smallest seeded hash and
-    the graph is contracted, which shrinks it by a constant factor whatever the shape or
-    the numbering; a hub's neighbours are reduced map-side to one candidate.
+    Every round each node points at the neighbour (or itself) with the smallest seeded hash,
+    follows the pointers four steps, and the graph is contracted. This shrinks it by a
+    constant factor whatever its shape or numbering; a hub's neighbours are reduced
+    map-side to one candidate.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    nodes = cut(links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct())
+    belongs = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    belongs = cut(belongs.select("node", F.col("node").alias("root")))
     links = cut(links.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    belongs = nodes.select("node", F.col("node").alias("root"))
     seed = 0
     while not links.isEmpty():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
-        def order(c):
+        def order(c, seed=seed):
             return F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("h"), F.col(c).alias("n"))
 
         best = both.groupBy("u").agg(F.min(order("v")).alias("o"))
         step = cut(best.select(F.col("u").alias("root"), F.least(order("u"), F.col("o"))["n"].alias("to")))
-        belongs = belongs.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        for _ in range(2):
+            ahead = step.select(F.col("root").alias("to"), F.col("to").alias("far"))
+            step = step.join(ahead, "to").select("root", F.col("far").alias("to"))
+        step = cut(step)
         left = step.select(F.col("root").alias("u"), F.col("to").alias("nu"))
         right = step.select(F.col("root").alias("v"), F.col("to").alias("nv"))
         moved = links.join(left, "u").join(right, "v").filter("nu <> nv")
         links = cut(moved.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct())
-        belongs = cut(belongs)
+        belongs = cut(belongs.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         seed += 1
     smallest = belongs.groupBy("root").agg(F.min("node").alias("_min"))
     return belongs.join(smallest, "root").select("node", F.col("_min").alias("root"))

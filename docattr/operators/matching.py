@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docattr.operators.ordered import bind
+from docattr.operators.ordered import bind, keep_where
 from docattr.session import cut
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, for names (quadratic in their length)."""
-    def chars(x):
-        return F.filter(F.split(x, ""), lambda c: c != "")
+def _chars(x: Column) -> Column:
+    return F.filter(F.split(x, ""), lambda c: c != "")
+
+
+def _lcs_bits(a: Column, b: Column) -> Column:
+    """Bit-parallel length for up to 60 characters in ``a``: one machine word is a whole table row."""
+    one = F.lit(1).cast("long")
+
+    def compute(x):
+        full = F.call_function("shiftleft", one, x["n"]) - 1
+
+        def row(v, ch):
+            at = F.transform(x["a"], lambda c, i: F.when(c == ch, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long")))
+            hit = v.bitwiseAND(F.aggregate(at, F.lit(0).cast("long"), lambda s, m: s + m))
+            return (v + hit).bitwiseOR(v - hit).bitwiseAND(full)
 
+        return x["n"] - F.bit_count(F.aggregate(x["b"], full, row))
+
+    return bind(F.struct(a.alias("a"), b.alias("b"), F.size(a).alias("n")), compute)
+
+
+def _lcs_table(a: Column, b: Column) -> Column:
+    """Row-by-row dynamic programme for long names."""
     def compute(x):
         zeros = F.concat(F.array(F.lit(0)), F.transform(x["b"], lambda _: F.lit(0)))
 
@@ -28,7 +46,12 @@ def lcs_length(a: Column, b: Column) -> Column:
 
         return F.element_at(F.aggregate(x["a"], zeros, row), -1)
 
-    return bind(F.struct(chars(a).alias("a"), chars(b).alias("b")), compute)
+    return bind(F.struct(a.alias("a"), b.alias("b")), compute)
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two names."""
+    return F.when(F.length(a) <= 60, _lcs_bits(_chars(a), _chars(b))).otherwise(_lcs_table(_chars(a), _chars(b)))
 
 
 def lcs_ratio(a: Column, b: Column) -> Column:
@@ -85,8 +108,8 @@ def shared_tokens(a: DataFrame, b: DataFrame, block: str, left: str, right: str)
 def fuzzy_pairs(a: DataFrame, b: DataFrame, block: str, left: str, right: str, min_lcs: float = 0.5) -> DataFrame:
     """Scored name pairs of a block: one token set contains the other and the LCS ratio is high enough."""
     contained = shared_tokens(a, b, block, left, right).filter("shared = least(left_size, right_size)")
-    scored = contained.withColumn("lcs", lcs_ratio(F.lower(F.col(left)), F.lower(F.col(right))))
-    return scored.filter(F.col("lcs") >= min_lcs).select(block, left, right, "lcs", F.lit(1.0).alias("tok"))
+    score = lcs_ratio(F.lower(F.col(left)), F.lower(F.col(right)))
+    return keep_where(contained, "lcs", score, lambda x: x >= min_lcs).select(block, left, right, "lcs", F.lit(1.0).alias("tok"))
 
 
 def greedy_matching(pairs: DataFrame, block: str, left: str, right: str, scores: list[str]) -> DataFrame:

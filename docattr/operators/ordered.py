@@ -133,6 +133,15 @@ def bind(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def keep_where(df: DataFrame, name: str, value: Column, keep) -> DataFrame:
+    """Add a costly column and keep the rows where ``keep(value)`` holds.
+
+    A filter on a computed column makes Spark compute it for the filter and again for the
+    output; a generator computes it once.
+    """
+    return df.select("*", F.explode(F.filter(F.array(value), keep)).alias(name))
+
+
 # --- operators on the ordered parts of one document, held as an array in its row ----------
 
 

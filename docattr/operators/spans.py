@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docattr.functions import text as tx
 from docattr.operators import mentions as mn
-from docattr.operators.ordered import bind, budget_prefix, islands, offsets, order_for, pack_min
+from docattr.operators.ordered import bind, budget_prefix, islands, keep_where, offsets, order_for, pack_min
 
 
 def shift(spans: Column, by: Column) -> Column:
@@ -79,20 +79,26 @@ def entity_rows(docs: DataFrame, roster: DataFrame, key: str, lines: Column) ->
 
 def paragraphs(rows: DataFrame, clean: bool = True) -> DataFrame:
     """Adjacent lines that mention the entity become one paragraph with rebased spans."""
-    runs = rows.withColumn("_runs", islands(F.transform("line_spans", lambda s: F.size(s) > 0)))
-    parts = runs.withColumn("_parts", F.zip_with("lines", "line_spans", lambda t, s: F.struct(t.alias("text"), s.alias("spans"))))
+    parts = F.zip_with("lines", "line_spans", lambda t, s: F.struct(t.alias("text"), s.alias("spans")))
 
-    def paragraph(run):
-        joined = join_parts(F.slice(F.col("_parts"), run["lo"] + 1, run["hi"] - run["lo"] + 1), " ")
-        return bind(joined, lambda j: clean_between_spans(j["text"], j["spans"])) if clean else joined
+    def build(p):
+        # lines and spans are bound here, else the optimizer may inline them into the lambda below
+        runs = islands(F.transform(p, lambda x: F.size(x["spans"]) > 0))
+
+        def paragraph(run):
+            joined = join_parts(F.slice(p, run["lo"] + 1, run["hi"] - run["lo"] + 1), " ")
+            return bind(joined, lambda j: clean_between_spans(j["text"], j["spans"])) if clean else joined
+
+        return F.transform(runs, paragraph)
 
-    return parts.withColumn("paragraphs", F.transform("_runs", paragraph)).drop("_runs", "_parts", "lines", "line_spans")
+    return rows.withColumn("paragraphs", bind(parts, build)).drop("lines", "line_spans")
 
 
 def entity_segments(rows: DataFrame) -> DataFrame:
     """All paragraphs of an entity in a document as one newline-joined text with spans."""
-    joined = paragraphs(rows).filter(F.size("paragraphs") > 0)
-    return joined.withColumn("_j", join_parts(F.col("paragraphs"), "\n")).select("*", "_j.text", "_j.spans").drop("_j", "paragraphs")
+    joined = join_parts(F.col("paragraphs"), "\n")
+    kept = keep_where(paragraphs(rows), "_j", joined, lambda j: F.size(j["spans"]) > 0)
+    return kept.select("*", "_j.text", "_j.spans").drop("_j", "paragraphs")
 
 
 def split_paragraphs(text: Column, spans: Column, min_words: int) -> Column:
