@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docattr.functions import text as tx
 from docattr.operators.ordered import bind, first_k, global_index, offsets
+from docattr.session import cut
 
 
 def mention_pattern(aliases: Column) -> Column:
@@ -25,10 +26,14 @@ def name_roster(occurrences: DataFrame, key: str, name: str, k: int, min_count:
 
 
 def pack_roster(roster: DataFrame, key: str, extra: list[str] | None = None) -> DataFrame:
-    """One row per document with its roster; a roster is bounded by the cast size."""
+    """One row per document with its roster; a roster is bounded by the cast size.
+
+    Written out, because the join with the texts should know its size: small rosters are
+    broadcast to the texts, never the texts to the rosters, and large ones are shuffled.
+    """
     fields = [F.col("entity"), F.col("aliases"), mention_pattern(F.col("aliases")).alias("pattern")]
     fields += [F.col(c) for c in extra or []]
-    return roster.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("roster"))
+    return cut(roster.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("roster")))
 
 
 # Noncharacters reserved for internal use; they mark where a match and its parts begin.
