@@ -38,8 +38,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         right = step.select(F.col("root").alias("v"), F.col("to").alias("nv"))
         moved = links.join(left, "u").join(right, "v").filter("nu <> nv")
         links = cut(moved.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct())
-        belongs = cut(belongs.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        belongs = belongs.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         seed += 1
+        if seed % 3 == 0:
+            belongs = cut(belongs)
+    belongs = cut(belongs)
     smallest = belongs.groupBy("root").agg(F.min("node").alias("_min"))
     return belongs.join(smallest, "root").select("node", F.col("_min").alias("root"))
 

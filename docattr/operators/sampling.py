@@ -80,6 +80,8 @@ def inject_negatives(
 
     use_antonym = F.col("_anto").isNotNull() & (uniform(seed, *key) < p)
     rows = rows.withColumn("_use", use_antonym).withColumn("_r", F.floor(uniform(seed + 2, *key) * F.col("_free")).cast("long"))
+    # requests and the final pick read the same rows
+    rows = cut(rows.select(*key, "_anto", "_use", "_r"))
     requests = rows.filter(~F.col("_use")).select(entity, "_r").distinct()
     others = _kth_missing(requests, held, vocab, entity, attribute)
     picked = rows.join(others, [entity, "_r"], "left").withColumn(
