@@ -167,10 +167,9 @@ def anonymize(segments: DataFrame, coded_roster: DataFrame, key: str = "doc_id")
     """Segments with every mention replaced by its code, and the rewritten mentions as an array."""
     packed = pack_roster(coded_roster, key, ["code"])
     joined = segments.join(packed, key, "left")
-    found = F.when(F.col("roster").isNull(), None).otherwise(roster_mentions(F.col("text"), F.col("roster"), ["code"]))
-    kept = joined.withColumn("_kept", drop_overlaps(found))
-    new = F.when(F.col("_kept").isNotNull() & (F.size("_kept") > 0), replace_mentions(F.col("text"), F.col("_kept")))
-    return kept.withColumn("_new", new).select(
+    found = roster_mentions(F.col("text"), F.col("roster"), ["code"])
+    new = bind(bind(found, drop_overlaps), lambda k: F.when(F.size(k) > 0, replace_mentions(F.col("text"), k)))
+    return joined.withColumn("_new", new).select(
         key, "seg_no", F.coalesce("_new.text", "text").alias("text"), F.col("_new.mentions").alias("mentions"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docattr.functions.draws import key_hash, uniform
 from docattr.operators.ordered import first_k, global_index, gold_index, running_total
-from docattr.session import cut
+from docattr.session import cut, spread
 
 
 def sample_n(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
@@ -105,7 +105,7 @@ def multiclass_samples(
     sampling without replacement over the entity's whole remaining vocabulary, so the set
     is short only when that vocabulary is.
     """
-    held = cut(facts.select(entity, attribute).distinct())
+    held = spread(cut(facts.select(entity, attribute).distinct()))
     near = relation.select(attribute, F.col("antonym").alias("_o")).filter(F.col(attribute) != F.col("_o")).distinct()
     held_o = held.withColumnRenamed(attribute, "_o")
     own = cut(held.join(near, attribute).join(held_o, [entity, "_o"], "left_anti"))
@@ -121,10 +121,11 @@ def multiclass_samples(
     # a cell of the weight axis holds the attributes that overlap it: at most attributes + cells rows
     cells = 1024
     cell = lambda at: F.floor(at * F.lit(cells) / total)
-    spread = weights.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi") - 1))))
+    # written out, so that the join with the many draws knows how small it is
+    axis = cut(weights.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi") - 1)))))
     drawn = rows.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     drawn = drawn.withColumn("_t", F.floor(uniform(seed + 1, entity, attribute, "_d") * total))
-    drawn = drawn.withColumn("_cell", cell(F.col("_t"))).join(spread, "_cell").filter("_t >= _lo AND _t < _hi")
+    drawn = drawn.withColumn("_cell", cell(F.col("_t"))).join(axis, "_cell").filter("_t >= _lo AND _t < _hi")
     valid = drawn.join(excluded, [entity, "_o"], "left_anti")
     firsts = valid.groupBy(entity, attribute, "_need", "_o").agg(F.min("_d").alias("_d"))
     others = firsts.groupBy(entity, attribute, "_need").agg(F.array_sort(F.collect_list(F.struct("_d", "_o"))).alias("_l"))
