@@ -128,9 +128,9 @@ def p18(spark, d):
 
 @query("P19_list_to_columns", """
   SELECT p_brand, coalesce(t[1], '') AS first, coalesce(t[2], '') AS "second", coalesce(t[3], '') AS third
-  FROM (SELECT p_brand, list(DISTINCT p_type ORDER BY p_type) AS t FROM part WHERE p_size > 48 GROUP BY p_brand)""")
+  FROM (SELECT p_brand, list(DISTINCT p_type ORDER BY p_type) AS t FROM part GROUP BY p_brand)""")
 def p19(spark, d):
-    sets = stats.joined_set(table(spark, d, "part").filter("p_size > 48"), "p_brand", "p_type")
+    sets = stats.joined_set(table(spark, d, "part"), "p_brand", "p_type")
     return sets.select("p_brand", *tx.pad_columns(F.split("items", ";"), ["first", "second", "third"]))
 
 

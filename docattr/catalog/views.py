@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docattr.catalog.registry import table
-from docattr.functions.draws import coin
+from docattr.functions.draws import coin, uniform
 
 # event_type -> vote (fixed values)
 ANSWER_OF = {"signup": "yes", "click": "maybeyes", "view": "notsure", "error": "maybeno", "purchase": "no"}
@@ -49,7 +49,7 @@ def votes(spark: SparkSession, d: str, dense: bool = False) -> DataFrame:
     unit = F.get_json_object("props", "$.k").cast("long") if dense else F.floor(F.col("event_id") / 3)
     return ev.select(
         unit.cast("long").alias("unit"), F.col("user_id").alias("worker"), answer.alias("answer"),
-        F.col("value").alias("seconds"), "event_id", (F.col("user_id") % 10 != 0).alias("reliable"),
+        F.col("value").alias("seconds"), "event_id", (uniform(99, "user_id") >= 0.1).alias("reliable"),
         F.when(F.col("event_id") % 2 == 0, 1).otherwise(0).alias("label"),
     )
 
@@ -59,7 +59,7 @@ def votes_sql(dense: bool = False) -> str:
     cases = " ".join(f"WHEN '{e}' THEN '{v}'" for e, v in ANSWER_OF.items())
     return f"""votes AS (
   SELECT ({unit})::BIGINT AS unit, user_id AS worker, CASE event_type {cases} END AS answer,
-         value AS seconds, event_id, user_id % 10 <> 0 AS reliable,
+         value AS seconds, event_id, {u_sql(99, 'user_id')} >= 0.1 AS reliable,
          CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS label
   FROM events)"""
 
