@@ -30,25 +30,36 @@ def _ranged(df: DataFrame, by: list[str], order: list) -> DataFrame:
     return cut(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
 
 
-def _with_offsets(ranged: DataFrame, by: list[str], order: list, value: Column, name: str) -> DataFrame:
+def _with_offsets(ranged: DataFrame, by: list[str], order: list, values: dict[str, Column]) -> DataFrame:
     inside = Window.partitionBy("_part", *by).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
-    totals = ranged.groupBy(*by, "_part").agg(F.sum(value).alias("_total"))
+    totals = ranged.groupBy(*by, "_part").agg(*[F.sum(v).alias(f"_total_{n}") for n, v in values.items()])
     before = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     before = before.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # only groups that cross into a further range keep a row: fewer rows than ranges
-    carried = totals.withColumn("_carry", F.sum("_total").over(before)).filter("_carry IS NOT NULL").drop("_total")
+    carried = totals.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at"),
+        F.count(F.lit(1)).over(before).alias("_crossed"),
+        *[F.sum(f"_total_{n}").over(before).alias(f"_carry_{n}") for n in values],
+    ).filter("_crossed > 0").drop("_crossed")
+    # null is a group of its own
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_part") == F.col("_at"))
     return (
-        ranged.withColumn(name, F.sum(value).over(inside))
-        .join(F.broadcast(carried), [*by, "_part"], "left")
-        .withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0)))
-        .drop("_carry", "_part")
+        ranged.withColumns({n: F.sum(v).over(inside) for n, v in values.items()})
+        .join(F.broadcast(carried), same, "left")
+        .withColumns({n: F.col(n) + F.coalesce(f"_carry_{n}", F.lit(0)) for n in values})
+        .drop(*carried.columns, "_part")
     )
 
 
+def running_totals(df: DataFrame, order: list, values: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Inclusive running sums, one column per entry of ``values``, within ``by`` along a total order."""
+    by = list(by or [])
+    return _with_offsets(_ranged(df, by, order), by, order, values)
+
+
 def running_total(df: DataFrame, order: list, value: Column, name: str, by: list[str] | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` within ``by`` along a total order."""
-    by = list(by or [])
-    return _with_offsets(_ranged(df, by, order), by, order, value, name)
+    return running_totals(df, order, {name: value}, by)
 
 
 def global_index(df: DataFrame, order: list, name: str, by: list[str] | None = None) -> DataFrame:
@@ -69,7 +80,9 @@ def quantiles(df: DataFrame, col: str, ps: dict[str, float], by: list[str] | Non
     cum = running_total(freq, ["_v"], F.col("_n"), "_hi", by)
     sizes = cum.groupBy(*by).agg(F.sum("_n").alias("_size"))
     if by:
-        cum = cum.join(sizes, by)
+        sizes = sizes.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_size")
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+        cum = cum.join(sizes, same).drop(*[f"_by_{c}" for c in by])
     else:
         cum = cum.withColumn("_size", sizes.scalar())
     picks = []
