@@ -7,7 +7,7 @@ from textwrap import dedent
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docattr.llm import mixing
+from docattr.llm import mixing, packing
 
 QUERIES = {}
 SQL = {}
@@ -62,3 +62,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 """)
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).withColumn("position", F.col("position").cast("long"))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
