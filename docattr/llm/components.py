@@ -1,0 +1,37 @@
+"""Connected components of sparse links whose sets are mostly stars already."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docattr.session import cut
+
+
+def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) for every node of an edge, root = smallest node of its component.
+
+    Alternating large-star and small-star rounds: every node's greater neighbours, then its
+    smaller ones, move to the smallest neighbour. The stars of a shard are one round deep, chains
+    shrink by halves. Each round is written, so that a lost executor rereads files only; the
+    loop ends when a round changes nothing.
+    """
+    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
+    links = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    while True:
+        state = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
+        if state == before or not state["n"]:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = state
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # large star: greater neighbours of a node go to the smallest one it knows
+        large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: a node and its smaller neighbours go to the smallest of them
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        links = cut(
+            small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+            .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
