@@ -7,7 +7,7 @@ from textwrap import dedent
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docattr.llm import mixing, packing, simhash
+from docattr.llm import mixing, packing, simhash, urls
 
 QUERIES = {}
 SQL = {}
@@ -73,3 +73,34 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op9_url_filters", r"""
+    WITH u AS (
+      SELECT page_id, url,
+             translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz') AS host,
+             coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+             list_sort(list_filter(string_split(coalesce(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), ''), '&'),
+                       lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS kept FROM pages),
+    c AS (
+      SELECT *, CASE WHEN regexp_replace(host, '^www\.|:(80|443)$', '', 'g') <> '' THEN
+               regexp_replace(host, '^www\.|:(80|443)$', '', 'g') || regexp_replace(path, '/+$', '')
+               || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS key FROM u),
+    l AS (SELECT DISTINCT key AS lk FROM c WHERE regexp_matches(host, '(^|\.)ads?[.-]') AND key IS NOT NULL),
+    j AS (SELECT c.*, lk IS NOT NULL AS listed FROM c LEFT JOIN l ON key = lk)
+    SELECT page_id, host, path, listed,
+      CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+           WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+           WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+           WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+           WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+      CASE rule WHEN 'example.org/en/1' THEN 'block' WHEN 'example.org/es/' THEN 'block' WHEN 'com/fr/' THEN 'allow'
+           WHEN 'com/de/' THEN 'block' WHEN 'org/' THEN 'allow' ELSE CASE WHEN listed THEN 'block' ELSE 'allow' END END AS verdict
+    FROM j
+""")
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: all URLs of the table on advertising hosts (a label ``ad`` or ``ads``)."""
+    pages = table(spark, sf_dir, "pages")
+    ads = pages.filter(urls.host(F.col("url")).rlike(r"(^|\.)ads?[.-]")).select("url")
+    return urls.judge(pages, ads).drop("maybe")
