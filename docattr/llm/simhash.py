@@ -16,7 +16,7 @@ Candidates are always held against all 64 bits.
 The upper levels of a tree are fitted on a bounded sample (``SAMPLE`` fingerprints, which steers
 sizes only, never results) and cut the fingerprints into shards, at home in one leaf and copied to
 the leaves their bound overlaps. Inside a shard the tree goes on, down to ``LEAF`` fingerprints, by
-the same rule. A shard returns a spanning star of each of its linked sets, not their pairs,
+the same rule; see ``linked_sets``. A shard returns a spanning star of each of its linked sets, not their pairs,
 and the stars are joined by contraction.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; equal
@@ -44,7 +44,9 @@ RADIUS = 3
 TREES = 4
 SAMPLE = 16384
 SHARD = 4096
-LEAF = 256
+LEAF = 96
+SEARCH = 4096
+ALL_BITS = (1 << 64) - 1
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
@@ -83,26 +85,26 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def masks(trees: int) -> list[int]:
-    """``trees`` disjoint runs of bits that cover all 64."""
-    edges = [64 * i // trees for i in range(trees + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+def masks(trees: int, among: int = ALL_BITS) -> list[int]:
+    """The bits of ``among``, dealt to ``trees`` disjoint masks."""
+    bits = [i for i in range(64) if among >> i & 1]
+    edges = [len(bits) * i // trees for i in range(trees + 1)]
+    return [sum(1 << i for i in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _distance(fps: np.ndarray, vantage, mask: int = (1 << 64) - 1) -> np.ndarray:
+def _distance(fps: np.ndarray, vantage, mask: int = ALL_BITS) -> np.ndarray:
     return np.bitwise_count((fps ^ np.uint64(vantage)) & np.uint64(mask)).astype(np.int16)
 
 
 def _vantage(fps: np.ndarray, mask: int) -> tuple[int, int] | None:
     """(vantage, radius) that halves the set best among a few candidates; None if none splits it."""
     best = None
-    for vantage in fps[:: max(1, len(fps) // 5)][:5]:
-        d = np.sort(_distance(fps, vantage, mask))
-        for radius in {int(d[(len(d) - 1) // 2]), int(d[(len(d) - 1) // 2]) - 1}:
-            inside = int(np.searchsorted(d, radius, side="right"))
-            smaller = min(inside, len(d) - inside)
-            if smaller and (best is None or smaller > best[0]):
-                best = (smaller, int(vantage), radius)
+    for vantage in fps[:: max(1, len(fps) // 3)][:3]:
+        within = np.cumsum(np.bincount(_distance(fps, vantage, mask), minlength=65))
+        smaller = np.minimum(within, len(fps) - within)
+        radius = int(smaller.argmax())
+        if smaller[radius] and (best is None or smaller[radius] > best[0]):
+            best = (int(smaller[radius]), int(vantage), radius)
     return best and best[1:]
 
 
@@ -145,51 +147,67 @@ def route(fps: np.ndarray, nodes: list, mask: int, bound: int) -> Iterator[tuple
         todo.append((outside, at[d > radius - bound]))
 
 
-def linked_sets(fps: np.ndarray, radius: int, leaf: int = LEAF) -> np.ndarray:
+def _spread(fps: np.ndarray, at: np.ndarray, radius: int, join) -> None:
+    """Link within one set: spread from a fingerprint to all that it reaches, over and over;
+    each one is compared with the rest once, and no list of pairs is made."""
+    if len(at) <= LEAF:
+        near = np.bitwise_count(fps[at, None] ^ fps[None, at]) <= radius
+        at = at[near.sum(axis=1) > 1]
+    rest = at
+    while len(rest) > 1:
+        front, rest = rest[:1], rest[1:]
+        first = front[0]
+        while len(front) and len(rest):
+            near = np.zeros(len(rest), bool)
+            for i in range(0, len(front), 64):
+                near |= (np.bitwise_count(fps[front[i:i + 64], None] ^ fps[None, rest]) <= radius).any(axis=0)
+            front, rest = rest[near], rest[~near]
+            for other in front.tolist():
+                join(first, other)
+
+
+def linked_sets(fps: np.ndarray, radius: int, mask: int, trees: int) -> np.ndarray:
     """Label of the linked set of each (distinct) fingerprint: the smallest position in it.
 
-    A set above ``leaf`` is halved by a vantage-point node; both halves get the fingerprints that
-    the bound overlaps, so every close pair meets in one of them. Where the overlap leaves
-    nothing pruned, the set is searched as it is.
+    The tree on ``mask`` goes on down to sets of ``LEAF``; both halves get what the bound overlaps, so
+    every pair of the shard meets. A set that the mask cannot split further and that is too
+    large to search is dealt to ``trees`` trees on the bits not used so far.
     """
-    parent = np.arange(len(fps))
+    bound = radius // trees
+    parent = list(range(len(fps)))
 
     def find(i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
-            i = int(parent[i])
+            i = parent[i]
         return i
 
-    todo = [np.arange(len(fps))]
+    def join(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+
+    todo = [(np.arange(len(fps)), mask, ALL_BITS & ~mask)]
     while todo:
-        at = todo.pop()
-        split = _vantage(fps[at], (1 << 64) - 1) if len(at) > leaf else None
+        at, here, unused = todo.pop()
+        if len(at) <= LEAF:
+            _spread(fps, at, radius, join)
+            continue
+        split = _vantage(fps[at], here)
         if split:
-            d = _distance(fps[at], split[0])
-            halves = [at[d <= split[1] + radius], at[d > split[1] - radius]]
-            if max(map(len, halves)) <= 0.9 * len(at):
-                todo += halves
+            d = _distance(fps[at], split[0], here)
+            halves = [at[d <= split[1] + bound], at[d > split[1] - bound]]
+            if max(map(len, halves)) <= 0.9 * len(at) or not bound:
+                todo += [(half, here, unused) for half in halves]
                 continue
-        # spread from one fingerprint to all that it reaches; each one is compared with the rest once
-        rest = at
-        while len(rest):
-            front, rest = rest[:1], rest[1:]
-            root = find(int(front[0]))
-            while len(front) and len(rest):
-                near = np.zeros(len(rest), bool)
-                for i in range(0, len(front), 64):
-                    apart = np.bitwise_count(fps[front[i:i + 64], None] ^ fps[None, rest])
-                    near |= (apart <= radius).any(axis=0)
-                front, rest = rest[near], rest[~near]
-                for i in front.tolist():
-                    other = find(i)
-                    low, high = min(root, other), max(root, other)
-                    parent[high] = root = low
+        if len(at) <= SEARCH or unused.bit_count() < 4 * trees:
+            _spread(fps, at, radius, join)
+            continue
+        todo += [(at, part, unused & ~part) for part in masks(trees, unused)]
     return np.array([find(i) for i in range(len(fps))], np.int64)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, trees: int = TREES, sample: int = SAMPLE, shard: int = SHARD,
-          leaf: int = LEAF) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, trees: int = TREES, sample: int = SAMPLE,
+          shard: int = SHARD) -> DataFrame:
     """(fp, root): spanning stars of the linked sets of every shard; ``distinct`` has each ``fp`` once."""
     bound = radius // trees
     total = distinct.count()
@@ -200,18 +218,24 @@ def links(distinct: DataFrame, radius: int = RADIUS, trees: int = TREES, sample:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(0).to_numpy(zero_copy_only=False)
+            places, rows = [], []
             for tree, (mask, nodes) in enumerate(grown):
-                for place, at in route(raw.view(np.uint64), nodes, mask, bound):
-                    where = np.full(len(at), tree * leaves + place, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(raw[at])], names=["shard", "fp"])
-
-    def search(_key: tuple, table: pa.Table) -> pa.Table:
+                for leaf, at in route(raw.view(np.uint64), nodes, mask, bound):
+                    places.append(np.full(len(at), tree * leaves + leaf, np.int64))
+                    rows.append(at)
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(places)), pa.array(raw[np.concatenate(rows)])], names=["shard", "fp"])
+
+    def search(key: tuple, table: pa.Table) -> pa.Table:
         fps = np.unique(table["fp"].to_numpy())
-        label = linked_sets(fps.view(np.uint64), radius, leaf)
+        label = linked_sets(fps.view(np.uint64), radius, grown[key[0].as_py() // leaves][0], trees)
         joined = label != np.arange(len(fps))
         return pa.table({"fp": fps[joined], "root": fps[label[joined]]})
 
-    dealt = distinct.mapInArrow(deal, "shard long, fp long")
+    # few bytes and much work in each shard: their number must not shrink with the bytes
+    spread = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.mapInArrow(deal, "shard long, fp long").repartition(spread, "shard")
     return dealt.groupBy("shard").applyInArrow(search, "fp long, root long")
 
 
