@@ -124,8 +124,8 @@ _STORED = pa.schema([
     ("offset", pa.int64()), ("length", pa.int64())])
 
 
-def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, digest, shard, offset, length): write the payloads, address every row."""
+def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Write the payloads: rows (doc_id, n_bytes, digest) and addresses (digest, shard, offset, length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _Shards(folder, shard_bytes)
@@ -144,10 +144,10 @@ def store(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataF
         run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long"))
     place = F.min(F.struct("shard", "offset", "length")).alias("place")
     addresses = rows.groupBy("digest").agg(place).select("digest", "place.*")
-    return rows.select("doc_id", "n_bytes", "digest").join(addresses, "digest")
+    return rows.select("doc_id", "n_bytes", "digest"), cut(addresses)
 
 
-def _ranges(frame: DataFrame, folder: str, limit: int | None, fill, schema: str) -> DataFrame:
+def _ranges(addresses: DataFrame, folder: str, limit: int | None, fill, schema: str) -> DataFrame:
     """One row per address: ``fill(bytes)`` of its first ``limit`` bytes (None: all), in shard order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +163,14 @@ def _ranges(frame: DataFrame, folder: str, limit: int | None, fill, schema: str)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c)) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
-    spread = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = frame.select("digest", "shard", "offset", "length").distinct()
+    spread = int(addresses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = addresses.select("digest", "shard", "offset", "length")
     return members.repartition(spread, "digest").sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
 
 
-def metadata(stored: DataFrame, folder: str) -> DataFrame:
+def metadata(addresses: DataFrame, folder: str) -> DataFrame:
     """(digest, width, height, depth) from the headers alone."""
-    return _ranges(stored, folder, HEADER_BYTES, read_header, "digest string, width long, height long, depth long")
+    return _ranges(addresses, folder, HEADER_BYTES, read_header, "digest string, width long, height long, depth long")
 
 
 def _features(media: bytes) -> tuple:
@@ -183,9 +183,9 @@ def _features(media: bytes) -> tuple:
             hashlib.sha256(media).hexdigest(), feature)
 
 
-def features(stored: DataFrame, folder: str) -> DataFrame:
+def features(addresses: DataFrame, folder: str) -> DataFrame:
     """Read the members back: sizes, digests, and statistics of the samples."""
-    return _ranges(stored, folder, None, _features,
+    return _ranges(addresses, folder, None, _features,
                    "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
                    "media_sha256 string, feature string")
 
@@ -193,7 +193,9 @@ def features(stored: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Store, then fill: address, header columns and features of every row."""
     folder = folder or scratch_path(docs.sparkSession, "media")
-    stored = store(docs, folder, shard_bytes)
-    members = metadata(stored, folder).join(features(stored, folder), "digest")
-    size = F.concat_ws("x", "width", "height", "depth")
-    return stored.join(members, "digest").withColumn("feature", F.concat_ws(";", F.concat(F.lit("png="), size), "feature"))
+    rows, addresses = store(docs, folder, shard_bytes)
+    size = F.concat(F.lit("png="), F.concat_ws("x", "width", "height", "depth"))
+    members = metadata(addresses, folder).join(features(addresses, folder), "digest").withColumn(
+        "feature", F.concat_ws(";", size, "feature"))
+    # everything about a payload meets first, so that the rows of a frequent one are joined once and can be split
+    return rows.join(cut(addresses.join(members, "digest")), "digest")
