@@ -7,7 +7,7 @@ from textwrap import dedent
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docattr.llm import media, mixing, packing, simhash, urls
+from docattr.llm import media, mixing, packing, simhash, syncmers, urls
 
 QUERIES = {}
 SQL = {}
@@ -111,3 +111,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     ads = pages.filter(urls.host(F.col("url")).rlike(r"(^|\.)ads?[.-]")).select("url")
     return urls.judge(pages, ads).drop("maybe")
+
+
+@query("op10_syncmers")
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edit_report(table(spark, sf_dir, "documents"))
