@@ -86,11 +86,11 @@ def matches(a: Column, b: Column) -> Column:
 
 
 def with_next(rows: DataFrame, add: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
-    """``add(rows)`` with ``next_<column>`` of the next document in descending order of id; the last
-    one's is the first. ``rows`` has ``doc_id`` and ``text``; ``add`` appends columns row by row.
+    """(doc_id, columns, next_columns): ``columns`` of ``add(rows)``, and those of the next document in descending
+    order of id; the last one's is the first. ``rows`` has ``doc_id`` and ``text``; ``add`` works row by row.
 
     Rows are cut into ranges of ids at approximate quantiles; inside a range the next row is a window
-    away, and the first row of each range, one per range, follows the last row of the range before.
+    away, and the first row of each range, one per range, is copied behind the last row of the range before.
     """
     spark = rows.sparkSession
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -107,14 +107,14 @@ def with_next(rows: DataFrame, add: Callable[[DataFrame], DataFrame], columns: l
         F.col("_id").alias("_hid"), F.col("_first.tie").alias("_htie"),
         F.coalesce(F.lag("_at").over(loop), F.max("_at").over(Window.partitionBy())).alias("_before"))
     found = placed.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_hid")) & (tie == F.col("_htie")))
-    ahead = F.struct(*columns)
-    opening = add(found).groupBy("_before").agg(F.first(ahead).alias("_opening"))
-    order = Window.partitionBy("_at").orderBy(F.col("doc_id").desc_nulls_last(), tie)
-    inside = add(placed).withColumn("_next", F.lead(ahead).over(order))
-    last = inside.filter("_next IS NULL").drop("_next").join(
-        opening, F.col("_at") == F.col("_before"), "left").drop("_before")
-    whole = inside.filter("_next IS NOT NULL").unionByName(last.withColumnRenamed("_opening", "_next"))
-    return whole.select(*[c for c in inside.columns if c not in ("_at", "_next")],
+    # each range also gets a copy of the row that follows its last one; it is dropped after the window
+    ghosts = found.select("doc_id", "text", F.col("_before").alias("_at"), F.lit(1).alias("_ghost"))
+    every = placed.select("doc_id", "text", "_at", F.lit(0).alias("_ghost")).unionByName(ghosts)
+    # the text travels once, inside the struct that the window looks ahead to
+    every = add(every).select("doc_id", "_at", "_ghost", tie.alias("_tie"), F.struct(*columns).alias("_me"))
+    order = Window.partitionBy("_at").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), "_tie")
+    whole = every.withColumn("_next", F.lead("_me").over(order)).filter("_ghost = 0")
+    return whole.select("doc_id", *[F.col(f"_me.{c}").alias(c) for c in columns],
                         *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])
 
 
