@@ -7,7 +7,7 @@ from textwrap import dedent
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docattr.llm import media, mixing, packing, pii, simhash, substrings, syncmers, toxicity, urls
+from docattr.llm import chat, media, mixing, packing, pii, simhash, substrings, syncmers, toxicity, urls
 
 QUERIES = {}
 SQL = {}
@@ -80,6 +80,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+@query("op5_chat_formatting")
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.linked(chat.as_calls(table(spark, sf_dir, "conversations")))
+
+
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
