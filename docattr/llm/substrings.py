@@ -36,7 +36,7 @@ from docattr.llm.words import byte_words
 from docattr.session import cut
 
 WINDOW = 20
-ANCHOR = 5
+ANCHOR = 8
 SHARD_SEGMENTS = 2000
 LAST = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -166,25 +166,59 @@ def scanned(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
         run, "doc_id long, k1 long, k2 long, n_words long, whole string, anchors array<struct<hash:long,n:byte>>")
 
 
+_PLACES = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
+                     ("start", pa.int64()), ("n", pa.int64())])
+
+
 def segments(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(anchor, digest, k1, k2, start, n, words): the segments of the ``kept`` anchors of (k1, k2, text, kept)."""
-    schema = pa.schema([("anchor", pa.int64()), ("digest", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                        ("start", pa.int64()), ("n", pa.int64()), ("words", pa.binary())])
+    """(anchor, digest, k1, k2, start, n): where the segments of the ``kept`` anchors of (k1, k2, text, kept) lie.
+
+    A segment that comes again in its document is a repetition from end to end; such spans, merged, come
+    as rows without an anchor, and only a document's first ones go on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = []
             for k1, k2, text, kept in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, rows = byte_words(text), []
+                words, seen, again = byte_words(text), set(), []
+                if len(words) < window:
+                    continue
                 hashes, _, first, count = _anchors(words, window, anchor)
                 wanted = np.isin(hashes, np.array(kept, np.int64))
                 for h, at, n in zip(hashes[wanted].tolist(), first[wanted].tolist(), (count[wanted] + window - 1).tolist(), strict=True):
-                    part = b" ".join(words[at:at + n])
-                    digest = xxhash.xxh64_intdigest(part) - (1 << 63)
-                    rows.append((h, digest, k1, k2, at, n, part))
-                yield _batch(rows, schema)
+                    digest = xxhash.xxh64_intdigest(b" ".join(words[at:at + n])) - (1 << 63)
+                    if (h, digest) not in seen:
+                        seen.add((h, digest))
+                        rows.append((h, digest, k1, k2, at, n))
+                    elif again and at <= again[-1][1]:
+                        again[-1][1] = at + n
+                    else:
+                        again.append([at, at + n])
+                rows += [(None, None, k1, k2, a, b - a) for a, b in again]
+            yield _batch(rows, _PLACES)
 
     return docs.select("k1", "k2", "text", "kept").mapInArrow(
-        run, "anchor long, digest long, k1 long, k2 long, start long, n long, words binary")
+        run, "anchor long, digest long, k1 long, k2 long, start long, n long")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(anchor, size, k1, k2, start, words): the words at the ``places`` of (k1, k2, text, places)."""
+    schema = pa.schema([("anchor", pa.int64()), ("size", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
+                        ("start", pa.int64()), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k1, k2, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = byte_words(text)
+                for x in places:
+                    part = b" ".join(words[x["start"]:x["start"] + x["n"]])
+                    rows.append((x["anchor"], x["size"], k1, k2, x["start"], part))
+            yield _batch(rows, schema)
+
+    return docs.select("k1", "k2", "text", "places").mapInArrow(
+        run, "anchor long, size long, k1 long, k2 long, start long, words binary")
 
 
 _SPANS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -196,8 +230,11 @@ def _search_shards(distinct: DataFrame, window: int, shards) -> DataFrame:
 
     def run(_key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in ("anchor", "k1", "k2", "start", "words")), strict=True))
-        out, current, automaton = [], None, None
+        out, current, automaton, before = [], None, None, None
         for anchor, k1, k2, start, part in rows:
+            if (anchor, k1, k2, start) == before:
+                continue  # a document given twice
+            before = (anchor, k1, k2, start)
             if anchor != current:
                 current, automaton = anchor, SuffixAutomaton()
             words = part.split()
@@ -235,19 +272,24 @@ def repeated_spans(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                    shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """(k1, k2, start, stop): word spans that windows with an earlier occurrence cover; ``texts`` as for ``segments``."""
     place = F.struct("k1", "k2", "start")
-    found = segments(texts, window, anchor)
+    every = cut(segments(texts, window, anchor))
     # equal segments of an anchor are repetitions from end to end, but for the first
-    merged = cut(found.groupBy("anchor", "digest").agg(
-        F.min(F.struct("k1", "k2", "start", "words")).alias("f"), F.count(F.lit(1)).alias("times")).select(
+    merged = cut(every.filter("anchor IS NOT NULL").groupBy("anchor", "digest").agg(
+        F.min(F.struct("k1", "k2", "start", "n")).alias("f"), F.count(F.lit(1)).alias("times")).select(
         "anchor", "digest", "times", "f.*"))
     first = merged.filter("times > 1").select("anchor", "digest", place.alias("first"))
-    copies = found.drop("words").join(first, ["anchor", "digest"]).filter(F.col("first") != place)
-    copies = copies.select("k1", "k2", "start", (F.col("start") + F.col("n")).alias("stop"))
-    sizes = merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    several = cut(merged.select("anchor", "k1", "k2", "start", "words").join(sizes, "anchor"))
-    small = several.filter(F.col("size") <= shard_segments)
-    shards = F.greatest(F.lit(1), F.ceil(several.agg(F.count(F.lit(1)).alias("n")).scalar() / F.lit(4 * shard_segments)))
-    return copies.unionByName(_search_shards(small, window, shards)).unionByName(
+    inside = every.filter("anchor IS NULL").select("k1", "k2", "start", "n")
+    copies = every.filter("anchor IS NOT NULL").join(first, ["anchor", "digest"]).filter(F.col("first") != place)
+    copies = copies.select("k1", "k2", "start", "n").unionByName(inside).select(
+        "k1", "k2", "start", (F.col("start") + F.col("n")).alias("stop"))
+    # words are fetched only for anchors with segments that differ
+    sizes = cut(merged.groupBy("anchor").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    places = merged.join(sizes, "anchor").groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("anchor", "size", "start", "n")).alias("places"))
+    several = cut(passages(texts.select("k1", "k2", "text").join(places, ["k1", "k2"])))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).scalar()
+    shards = F.greatest(F.lit(1), F.ceil(total / F.lit(4 * shard_segments)))
+    return copies.unionByName(_search_shards(several.filter(F.col("size") <= shard_segments), window, shards)).unionByName(
         _search_windows(several.filter(F.col("size") > shard_segments), window))
 
 
@@ -275,12 +317,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """(scan, cleaned): one row per row of ``docs`` as ``scanned``, and (k1, k2, n_removed, kept) of those
     documents that lose words; ``kept`` holds the remaining words joined by blanks."""
     scan = cut(scanned(docs, window, anchor))
-    each = scan.select("k1", "k2", F.explode("anchors").alias("a")).select("k1", "k2", F.col("a.hash").alias("hash"), F.col("a.n").alias("n"))
+    each = scan.select("k1", F.explode("anchors").alias("a")).select("k1", F.col("a.hash").alias("hash"), F.col("a.n").alias("n"))
     shared = each.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
-    wanted = each.select("k1", "k2", "hash").join(shared, "hash", "left_semi").groupBy("k1", "k2").agg(
-        F.collect_set("hash").alias("kept"))
+    wanted = each.select("k1", "hash").join(shared, "hash", "left_semi").groupBy("k1").agg(F.collect_set("hash").alias("kept"))
     # from here on only documents that share an anchor
-    texts = cut(_key(docs).select("k1", "k2", "text").join(wanted, ["k1", "k2"]))
+    texts = cut(_key(docs).select("k1", "k2", "text").join(wanted, "k1"))
     spans = repeated_spans(texts, window, anchor, shard_segments)
     listed = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cleaned = _without(texts.select("k1", "k2", "text").join(listed, ["k1", "k2"]))
