@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docattr.functions.draws import key_hash
-from docattr.llm.words import GAP, WORD, word_count
+from docattr.llm.words import GAP, WORD, row_key, word_count
 from docattr.operators.ordered import global_index, running_totals
 from docattr.session import cut
 
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     Documents without words are not served. The columns are those of ``docs``; equal rows
     share what the mix takes from them together.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    keyed = docs.withColumn("_key", row_key("doc_id", "source", "text"))
     shares = plan(keyed, weights, share, epochs, seed, keep=["_key"]).filter("taken > 0")
     shares = shares.groupBy("_key").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
     rows = keyed.dropDuplicates(["_key"]).join(shares, "_key")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docattr.llm.components import star_components
-from docattr.llm.words import byte_words
+from docattr.llm.words import byte_words, row_key
 from docattr.session import cut
 
 SHINGLE = 3
@@ -74,15 +74,15 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; ``fp`` holds the 64 bits as a long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, row, fp): one row per row of ``docs``; ``row`` is its key, ``fp`` holds the 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=schema)
+            fps = np.fromiter((simhash(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), row_key("doc_id", "text").alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, row struct<a:long,b:long>, fp long")
 
 
 def masks(trees: int, among: int = ALL_BITS) -> list[int]:
@@ -240,11 +240,23 @@ def links(distinct: DataFrame, radius: int = RADIUS, trees: int = TREES, sample:
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, trees: int = TREES) -> DataFrame:
-    """(doc_id, fp, component_id) per row: the smallest id that the document reaches over links."""
+    """(doc_id, row, fp, root, component_id) per row: ``root`` is the class's smallest fingerprint,
+    ``component_id`` the smallest id that the document reaches over links."""
     rows = cut(fingerprints(docs, shingle))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("_min")))
     roots = cut(star_components(links(distinct.select("fp"), radius, trees), "fp", "root"))
     named = distinct.join(roots.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp"))
     lowest = named.groupBy("root").agg(F.min("_min").alias("component_id"))
-    return rows.join(named.join(lowest, "root").select("fp", "component_id"), "fp")
+    return rows.join(named.join(lowest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, trees: int = TREES) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each class stays: the one with the smallest id, ids that
+    are null last, rows with one id by their key; of equal rows one stays."""
+    found = classes(docs, shingle, radius, trees)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    keepers = cut(found.groupBy("root").agg(F.min(order).alias("k")).select("k.row.*"))
+    keyed = docs.withColumns({"_a": row_key("doc_id", "text")["a"], "_b": row_key("doc_id", "text")["b"]})
+    stay = keyed.join(keepers.select(F.col("a").alias("_a"), F.col("b").alias("_b")), ["_a", "_b"], "left_semi")
+    return stay.dropDuplicates(["_a", "_b"]).select(*docs.columns)

@@ -225,14 +225,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not rejected."""
-    keep = F.pandas_udf(_judge(model), "boolean")
-    return docs.filter(keep("text"))
-
-
-def _judge(model: Model):
     import pandas as pd
 
     def below(texts: pd.Series) -> pd.Series:
-        return pd.Series([not model.severity(t) > model.limit for t in texts], dtype=bool)
+        return pd.Series([model.severity(t) <= model.limit for t in texts], dtype=bool)
 
-    return below
+    # the types are given here because annotations are strings in this module
+    below.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return docs.filter(F.pandas_udf(below, "boolean")("text"))

@@ -23,3 +23,8 @@ def words(text: Column) -> Column:
 def byte_words(text: str | None) -> list[bytes]:
     """The same words as UTF-8, for code in tasks: ``bytes.split`` cuts at exactly these six bytes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def row_key(*columns: Column | str) -> Column:
+    """128-bit key that equal rows share; it keeps rows apart that have one id."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
