@@ -57,14 +57,19 @@ def g06(spark, d):
 
 @query("G03_leakage_safe_split", f"""
   WITH b AS (SELECT DISTINCT l_orderkey AS entity, l_partkey AS document FROM lineitem),
+  rws AS (SELECT DISTINCT l_orderkey AS entity, l_returnflag AS attribute FROM lineitem),
   t AS (SELECT DISTINCT entity FROM b WHERE {v.u_sql(6, 'entity')} < 0.01),
   res AS (SELECT DISTINCT document FROM b WHERE entity IN (SELECT entity FROM t)),
   e AS (SELECT entity, bool_or(document IN (SELECT document FROM res)) AS touch, bool_or(document NOT IN (SELECT document FROM res)) AS leak FROM b GROUP BY entity)
-  SELECT entity, CASE WHEN entity IN (SELECT entity FROM t) THEN 'test' WHEN touch AND NOT leak THEN 'dev' WHEN NOT touch THEN 'train' END AS partition FROM e""")
+  SELECT entity, attribute, CASE WHEN entity IN (SELECT entity FROM t) AND {v.u_sql(8, 'entity', 'attribute')} < 0.6 THEN 'test'
+    WHEN touch AND NOT leak THEN 'dev' WHEN NOT touch THEN 'train' END AS partition FROM rws JOIN e USING (entity)""")
 def g03(spark, d):
-    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_partkey").alias("document"))
-    test = b.select("entity").distinct().filter(uniform(6, "entity") < 0.01)
-    return graph.leakage_safe_split(b, "entity", "document", test)
+    lines = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("entity"), F.col("l_partkey").alias("document"), F.col("l_returnflag").alias("attribute"))
+    test = lines.select("entity").distinct().filter(uniform(6, "entity") < 0.01)
+    judged = (uniform(6, "entity") < 0.01) & (uniform(8, "entity", "attribute") < 0.6)
+    rows = lines.select("entity", "attribute").distinct().withColumn("label", F.when(judged, 1))
+    return graph.leakage_safe_split(lines, "entity", "document", test, rows, "attribute")
 
 
 COVER = """

@@ -57,7 +57,11 @@ def nested_pages(spark, d):
     return table(spark, d, "pages").select("page_id", html.alias("html"))
 
 
-@query("D04_strict_article_parser")
+@query("D04_strict_article_parser", f"""
+  WITH nav AS (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS n FROM pages WHERE contains(html, '<article>')),
+  l AS (SELECT page_id, generate_subscripts(hs, 1) AS i, unnest(hs) AS url, unnest(ts) AS raw FROM (
+    SELECT page_id, regexp_extract_all(n, '{ANCHOR}', 1) AS hs, regexp_extract_all(n, '{ANCHOR}', 2) AS ts FROM nav))
+  SELECT page_id, (i + 2)::INT AS pos, 'Body->Links->All' AS path, url, {plain_sql('raw')} AS explanation FROM l WHERE contains(url, '/')""")
 def d04(spark, d):
     return pg.entity_attributes(pg.article_stream(nested_pages(spark, d)), "page_id", "/")
 
@@ -221,7 +225,7 @@ TYPED = ["the", "of", "de", "la", "und", "que"]
 CUES = ["is", "on", "et", "en", "der", "por"]
 TOK = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 TOKENS = f"""sents AS (SELECT doc_id, generate_subscripts(ss, 1) - 1 AS sent, unnest(ss) AS s FROM (
-    SELECT doc_id, regexp_extract_all(text, '{sg.SENTENCE}') AS ss FROM documents)),
+    SELECT doc_id, regexp_extract_all(text, '{sg.SENTENCE.replace("++", "+").replace("*+", "*")}') AS ss FROM documents)),
   toks AS (SELECT doc_id, sent, generate_subscripts(ts, 1) - 1 AS pos, unnest(ts) AS tok FROM (
     SELECT doc_id, sent, regexp_extract_all(s, '{TOK}') AS ts FROM sents)),
   typed AS (SELECT *, CASE WHEN tok IN ({", ".join(f"'{t}'" for t in TYPED)}) THEN tok ELSE 'token' END AS type FROM toks)"""

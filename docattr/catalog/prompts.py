@@ -165,12 +165,20 @@ def d03(spark, d):
     return score_batches(rows, "text").drop("text")
 
 
+SHOWN = (('$ATTRIBUTE$', 'lang'), ('$DEFINITION$', "'texts written in ' || lang"), ('$ENTITY$', 'source'), ('$TEXT$', 'text'))
+
+
 @query("R06_few_shot_prompts", f"""
   WITH picks AS ({few_sql("source")}), ex AS (SELECT doc_id, generate_subscripts(es, 1) AS k, unnest(es)::BIGINT AS e FROM (SELECT doc_id, string_split(examples, ',') AS es FROM picks WHERE examples <> '')),
-  b AS (SELECT ex.doc_id, string_agg('Example ' || k || chr(10) || text, chr(10) || chr(10) ORDER BY k) AS body FROM ex JOIN documents q ON q.doc_id = ex.e GROUP BY ex.doc_id)
-  SELECT p.doc_id, 'Learn:' || chr(10) || coalesce(body, '') || chr(10) || 'Now: ' || text AS prompt FROM picks p JOIN documents USING (doc_id) LEFT JOIN b ON b.doc_id = p.doc_id""")
+  txt AS (SELECT doc_id, quality, {fill_sql(pr.EXAMPLE_TEMPLATE, *SHOWN)} AS t FROM labels JOIN documents USING (doc_id)),
+  b AS (SELECT ex.doc_id, string_agg(replace(replace(t, '$HEADER$', 'Example ' || k), '$LABEL$', CASE quality WHEN 1 THEN 'yes' ELSE 'no' END),
+    chr(10) || chr(10) ORDER BY k) AS body FROM ex JOIN txt q ON q.doc_id = ex.e GROUP BY ex.doc_id)
+  SELECT p.doc_id, 'Learn:' || chr(10) || coalesce(body, '') || chr(10) || 'Now: ' || rtrim(replace(replace(t, '$HEADER$', 'Query'), '$LABEL$', ''), ' ') AS prompt
+  FROM picks p JOIN txt USING (doc_id) LEFT JOIN b ON b.doc_id = p.doc_id""")
 def r06p(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    rows = table(spark, d, "labels").join(docs.drop("text"), "doc_id").select("doc_id", "quality", "source")
-    picks = sm.few_shot(rows, "doc_id", "quality", 3, 31, "source")
-    return pr.few_shot_prompts(picks, docs, "doc_id", "text", "Learn:\n$EXAMPLES$\nNow: $QUERY$")
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    rows = table(spark, d, "labels").select("doc_id", "quality").join(docs, "doc_id")
+    picks = sm.few_shot(rows.select("doc_id", "quality", "source"), "doc_id", "quality", 3, 31, "source")
+    fields = {"$ATTRIBUTE$": F.col("lang"), "$DEFINITION$": F.concat(F.lit("texts written in "), "lang"),
+              "$ENTITY$": F.col("source"), "$TEXT$": F.col("text")}
+    return pr.few_shot_prompts(picks, rows, "doc_id", "quality", fields, "Learn:\n$EXAMPLES$\nNow: $QUERY$")

@@ -62,6 +62,9 @@ def f05(spark, d):
   UNION ALL SELECT 'parts_are_known', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
   UNION ALL SELECT 'labels_have_documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
   UNION ALL SELECT 'total_status', count(*) FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('F','O','P')
+  UNION ALL SELECT 'titles_one_to_one', (SELECT count(*) FROM (SELECT n_regionkey FROM nation GROUP BY 1 HAVING count(DISTINCT n_name) > 1))
+    + (SELECT count(*) FROM (SELECT n_name FROM nation GROUP BY 1 HAVING count(DISTINCT n_regionkey) > 1))
+  UNION ALL SELECT 'no_leakage', count(*) FROM (SELECT o_custkey FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1)
   UNION ALL SELECT 'length_matches_text', count(*) FROM documents WHERE length(text) <> n_chars""")
 def f07(spark, d):
     from docattr.operators.votes import one_vote_per_worker
@@ -75,6 +78,8 @@ def f07(spark, d):
             t("lineitem").select("l_partkey"), t("part").select(F.col("p_partkey").alias("l_partkey")), ["l_partkey"]),
         "labels_have_documents": joins.anti(t("labels"), t("documents"), ["doc_id"]),
         "total_status": t("orders").filter("o_orderstatus IS NULL OR o_orderstatus NOT IN ('F','O','P')"),
+        "titles_one_to_one": filters.not_one_to_one(t("nation"), "n_regionkey", "n_name"),
+        "no_leakage": filters.leaks(t("orders"), "o_custkey", "o_orderstatus", ["F", "P"]),
         "length_matches_text": t("documents").filter("length(text) <> n_chars"),
     })
 

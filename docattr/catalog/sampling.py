@@ -26,9 +26,9 @@ ROWS = f"""{v.FACTS}, {v.RELATION}, pos AS (SELECT DISTINCT entity, document, at
   anto AS (SELECT p.entity, p.document, p.attribute, arg_min(antonym, {v.h_sql(12, 'p.entity', 'p.document', 'p.attribute', 'antonym')}) AS anto
     FROM pos p JOIN relation r ON r.attribute = p.attribute AND r.antonym <> p.attribute
     WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.entity = p.entity AND h.attribute = r.antonym) GROUP BY ALL),
-  pick AS (SELECT p.entity, p.document, CASE WHEN anto IS NOT NULL AND {v.u_sql(11, 'p.entity', 'p.document', 'p.attribute')} < 0.5 THEN anto
+  pick AS (SELECT p.entity, p.document, CASE WHEN anto IS NOT NULL AND (len(f) = 0 OR {v.u_sql(11, 'p.entity', 'p.document', 'p.attribute')} < 0.5) THEN anto
       ELSE f[floor({v.u_sql(13, 'p.entity', 'p.document', 'p.attribute')} * len(f))::INT + 1] END AS attribute
-    FROM pos p JOIN free USING (entity) LEFT JOIN anto a ON a.entity = p.entity AND a.document = p.document AND a.attribute = p.attribute WHERE len(f) > 0)
+    FROM pos p JOIN free USING (entity) LEFT JOIN anto a ON a.entity = p.entity AND a.document = p.document AND a.attribute = p.attribute WHERE len(f) > 0 OR anto IS NOT NULL)
   SELECT entity, document, attribute, 1 AS label FROM pos UNION ALL SELECT DISTINCT entity, document, attribute, 0 FROM pick""")
 def r02(spark, d):
     return sm.inject_negatives(
@@ -40,17 +40,20 @@ MULTI = f"""{v.FACTS}, {v.RELATION}, held AS (SELECT DISTINCT entity, attribute
     WHERE NOT EXISTS (SELECT 1 FROM held x WHERE x.entity = h.entity AND x.attribute = r.antonym)),
   chosen AS (SELECT entity, attribute, list(o ORDER BY o) AS antos FROM (
     SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY entity, attribute ORDER BY {v.h_sql(21, 'entity', 'attribute', 'o')}, o) <= 2) GROUP BY ALL),
-  excluded AS (SELECT entity, list_distinct(list(o)) AS ex FROM (SELECT entity, attribute AS o FROM held UNION ALL SELECT entity, o FROM own) GROUP BY entity),
+  ex AS (SELECT DISTINCT entity, o FROM (SELECT entity, attribute AS o FROM held UNION ALL SELECT entity, o FROM own)),
   freq AS (SELECT attribute AS o, count(*) AS w FROM held GROUP BY 1),
-  wts AS (SELECT o, w, sum(w) OVER (ORDER BY o) - w AS lo, sum(w) OVER (ORDER BY o) AS hi FROM freq),
-  rws AS (SELECT h.entity, h.attribute, coalesce(antos, []) AS antos, 4 - coalesce(len(antos), 0) AS need, ex
-    FROM held h LEFT JOIN chosen c ON c.entity = h.entity AND c.attribute = h.attribute JOIN excluded e ON e.entity = h.entity),
-  drawn AS (SELECT entity, attribute, need, antos, ex, dd, floor({v.u_sql(22, 'entity', 'attribute', 'dd')} * (SELECT sum(w) FROM freq)) AS t FROM rws, (SELECT unnest(range(1, 17)) AS dd)),
-  hits AS (SELECT dr.entity, dr.attribute, wts.o, min(dd) AS dd FROM drawn dr JOIN wts ON t >= lo AND t < hi WHERE NOT list_contains(ex, wts.o) GROUP BY ALL),
+  wts AS (SELECT o, w, sum(w) OVER (ORDER BY o) - w AS lo FROM freq),
+  rws AS (SELECT h.entity, h.attribute, coalesce(antos, []) AS antos, 4 - coalesce(len(antos), 0) AS need
+    FROM held h LEFT JOIN chosen c ON c.entity = h.entity AND c.attribute = h.attribute),
+  drawn AS (SELECT entity, attribute, dd, floor({v.u_sql(22, 'entity', 'attribute', 'dd')} * (SELECT sum(w) FROM freq)) AS t FROM held, (SELECT unnest(range(1, 17)) AS dd)),
+  landed AS (SELECT dr.entity, dr.attribute, wts.o, min(dd) AS dd FROM drawn dr ASOF JOIN wts ON dr.t >= wts.lo GROUP BY ALL),
+  hits AS (SELECT l.* FROM landed l LEFT JOIN ex ON ex.entity = l.entity AND ex.o = l.o WHERE ex.o IS NULL),
   picked AS (SELECT entity, attribute, list(o ORDER BY dd) AS l FROM hits GROUP BY ALL),
   found AS (SELECT r.*, coalesce(l, [])[:need] AS p FROM rws r LEFT JOIN picked k ON k.entity = r.entity AND k.attribute = r.attribute),
-  fill AS (SELECT f.entity, f.attribute, list(q.o ORDER BY -ln(greatest({v.u_sql(23, 'f.entity', 'f.attribute', 'q.o')}, 1e-12)) / w) AS l
-    FROM found f, freq q WHERE len(p) < need AND NOT list_contains(ex, q.o) AND NOT list_contains(p, q.o) GROUP BY ALL),
+  short AS (SELECT * FROM found WHERE len(p) < need),
+  lefts AS (SELECT s.entity, s.attribute, s.p, q.o, q.w FROM short s, freq q WHERE NOT list_contains(s.p, q.o)),
+  fill AS (SELECT f.entity, f.attribute, list(f.o ORDER BY -ln(greatest({v.u_sql(23, 'f.entity', 'f.attribute', 'f.o')}, 1e-12)) / w, f.o) AS l
+    FROM lefts f LEFT JOIN ex ON ex.entity = f.entity AND ex.o = f.o WHERE ex.o IS NULL GROUP BY f.entity, f.attribute),
   filled AS (SELECT f.entity, f.attribute, [f.attribute] || antos || p || coalesce(x.l, [])[:need - len(p)] AS opts
     FROM found f LEFT JOIN fill x ON x.entity = f.entity AND x.attribute = f.attribute),
   mixed AS (SELECT entity, attribute, [s.o FOR s IN list_sort([{{'h': {v.h_sql(24, 'entity', 'y')}, 'o': y}} FOR y IN opts])] AS opts FROM filled)"""

@@ -49,7 +49,7 @@ def s05(spark, d):
 def s06(spark, d):
     path = scratch_path(spark, "s06")
     table(spark, d, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
-    return rd.read_texts(spark, path, r"page_id=(\d+)")
+    return rd.read_texts(spark, path, r"page_id=(\d+)", drop_final_newline=True)
 
 
 @query("S07_nested_json", """

@@ -49,3 +49,16 @@ def run_checks(checks: dict[str, DataFrame]) -> DataFrame:
 def duplicates_within(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """Keys that map to more than one value (violations of a function key -> value)."""
     return df.groupBy(*key).agg(F.min(value).alias("_a"), F.max(value).alias("_b")).filter("_a <> _b").select(*key)
+
+
+def not_one_to_one(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(side, value) of values that map to more than one value of the other column, either way."""
+    def side(x, y):
+        return duplicates_within(df, [x], y).select(F.lit(x).alias("side"), F.col(x).cast("string").alias("value"))
+
+    return side(a, b).unionByName(side(b, a))
+
+
+def leaks(df: DataFrame, shared: str, partition: str, apart: list[str]) -> DataFrame:
+    """Values of ``shared``, such as documents, that occur in more than one of the partitions that must stay apart."""
+    return duplicates_within(df.filter(F.col(partition).isin(apart)), [shared], partition)

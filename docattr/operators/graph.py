@@ -6,45 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docattr.operators.identity import numbered
-from docattr.session import cut
+from docattr.session import cut, discard
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): connected components of an undirected graph, root = smallest node.
+def star_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root) for every node of an edge between two nodes, root = smallest node of its component.
 
-    Every round each node points at the neighbour (or itself) with the smallest seeded hash,
-    follows the pointers four steps, and the graph is contracted. This shrinks it by a
-    constant factor whatever its shape or numbering; a hub's neighbours are reduced
-    map-side to one candidate.
+    Alternating large-star and small-star rounds: every node's greater neighbours, then its smaller ones, move to
+    the smallest neighbour. Smallest neighbours are plain aggregates, reduced map-side, so a hub ships one row
+    a task. Each round writes one table and deletes the one before; the loop ends when a round changes nothing.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    belongs = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
-    belongs = cut(belongs.select("node", F.col("node").alias("root")))
-    links = cut(links.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    seed = 0
-    while not links.isEmpty():
+    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
+    links = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = None
+    while True:
+        mark = F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))
+        state = links.agg(F.count(F.lit(1)).alias("n"), mark.alias("h")).first()
+        if state == before or not state["n"]:
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = state
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        last, links = links, cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
+
 
-        def order(c, seed=seed):
-            return F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("h"), F.col(c).alias("n"))
-
-        best = both.groupBy("u").agg(F.min(order("v")).alias("o"))
-        step = cut(best.select(F.col("u").alias("root"), F.least(order("u"), F.col("o"))["n"].alias("to")))
-        for _ in range(2):
-            ahead = step.select(F.col("root").alias("to"), F.col("to").alias("far"))
-            step = step.join(ahead, "to").select("root", F.col("far").alias("to"))
-        step = cut(step)
-        left = step.select(F.col("root").alias("u"), F.col("to").alias("nu"))
-        right = step.select(F.col("root").alias("v"), F.col("to").alias("nv"))
-        moved = links.join(left, "u").join(right, "v").filter("nu <> nv")
-        links = cut(moved.select(F.least("nu", "nv").alias("u"), F.greatest("nu", "nv").alias("v")).distinct())
-        belongs = belongs.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        seed += 1
-        if seed % 3 == 0:
-            belongs = cut(belongs)
-    belongs = cut(belongs)
-    smallest = belongs.groupBy("root").agg(F.min("node").alias("_min"))
-    return belongs.join(smallest, "root").select("node", F.col("_min").alias("root"))
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): connected components of an undirected graph, root = smallest node; a node may be alone."""
+    nodes = edges.select(F.col(a).alias("node")).unionByName(edges.select(F.col(b).alias("node"))).distinct()
+    return nodes.join(star_components(edges, a, b), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def bipartite_components(bridge: DataFrame, entity: str, document: str) -> DataFrame:
@@ -52,12 +46,20 @@ def bipartite_components(bridge: DataFrame, entity: str, document: str) -> DataF
 
     Documents sort before entities, so a root is the smallest document of its component.
     """
-    def typed(kind, c):
-        return F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id"))
-
-    edges = bridge.select(typed("d", document).alias("a"), typed("e", entity).alias("b")).distinct()
-    found = components(edges, "a", "b")
-    return found.select("node.kind", "node.id", F.col("root.id").alias("root"))
+    pairs = bridge.select(F.col(document).cast("string").alias("d"), F.col(entity).cast("string").alias("e")).distinct()
+    # an entity of one document adds no connection: it takes that document's root afterwards
+    degree = pairs.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("only"))
+    held = cut(degree)
+    edges = pairs.join(held.filter("n > 1").select("e"), "e", "left_semi")
+    # the first document stands for its entity, so nodes are documents only
+    linked = edges.join(held.filter("n > 1").select("e", "only"), "e").select("d", "only")
+    roots = cut(star_components(linked, "d", "only"))
+    documents = pairs.select("d").distinct().join(roots.withColumnRenamed("node", "d"), "d", "left").select(
+        "d", F.coalesce("root", "d").alias("root"))
+    entities = held.join(roots.withColumnRenamed("node", "only"), "only", "left").select(
+        "e", F.coalesce("root", "only").alias("root"))
+    return documents.select(F.lit("d").alias("kind"), F.col("d").alias("id"), "root").unionByName(
+        entities.select(F.lit("e").alias("kind"), F.col("e").alias("id"), "root"))
 
 
 def number_components(nodes: DataFrame, order, prefix: str = "N") -> DataFrame:
@@ -72,12 +74,14 @@ def tag_bridge(bridge: DataFrame, document: str, nodes: DataFrame, ids: DataFram
     return bridge.join(docs, F.col(document).cast("string") == F.col("_d")).drop("_d").join(ids, "root").drop("root")
 
 
-def leakage_safe_split(bridge: DataFrame, entity: str, document: str, test: DataFrame) -> DataFrame:
-    """(entity, partition) from a test set of entities.
+def leakage_safe_split(
+    bridge: DataFrame, entity: str, document: str, test: DataFrame, rows: DataFrame, attribute: str, label: str = "label"
+) -> DataFrame:
+    """(entity, attribute, partition) of labelled and unlabelled rows, from a test set of entities.
 
-    Documents of test entities are reserved. Entities wholly inside them are ``dev``
-    (``test`` where they are test entities), entities that touch none are ``train``,
-    boundary entities get no partition.
+    Documents of test entities are reserved. Rows of entities wholly inside them are ``dev``, rows of entities that
+    touch none are ``train``, rows of boundary entities get no partition; a row with a label is ``test``
+    whatever its entity. ``rows`` has (entity, attribute, label) with a null label where there is none.
     """
     pairs = bridge.select(entity, document).distinct()
     reserved = pairs.join(test.select(entity), entity, "left_semi").select(document).distinct()
@@ -87,14 +91,15 @@ def leakage_safe_split(bridge: DataFrame, entity: str, document: str, test: Data
         pairs.select(entity).distinct()
         .join(touching.withColumn("_t", F.lit(True)), entity, "left")
         .join(leaking.withColumn("_l", F.lit(True)), entity, "left")
-        .join(test.select(entity).distinct().withColumn("_test", F.lit(True)), entity, "left")
+        .withColumn("_known", F.lit(True))
     )
+    each = rows.groupBy(entity, attribute).agg(F.max(F.col(label).isNotNull()).alias("_labelled"))
     part = (
-        F.when(F.col("_test"), "test")
+        F.when(F.col("_labelled"), "test")
         .when(F.col("_t") & F.col("_l").isNull(), "dev")
-        .when(F.col("_t").isNull(), "train")
+        .when(F.col("_known") & F.col("_t").isNull(), "train")
     )
-    return flags.select(entity, part.alias("partition"))
+    return each.join(flags, entity, "left").select(entity, attribute, part.alias("partition"))
 
 
 def greedy_cover(bridge: DataFrame, document: str, sample: str) -> DataFrame:
@@ -115,7 +120,8 @@ def greedy_cover(bridge: DataFrame, document: str, sample: str) -> DataFrame:
         chosen = cut(wins.filter("won = gain").select("d", "gain"))
         rounds.append(chosen)
         covered = open_pairs.join(chosen.select("d"), "d", "left_semi").select("s").distinct()
-        open_pairs = cut(open_pairs.join(covered, "s", "left_anti"))
+        last, open_pairs = open_pairs, cut(open_pairs.join(covered, "s", "left_anti"))
+        discard(last)
     out = rounds[0] if rounds else open_pairs.select("d", F.lit(0).cast("long").alias("gain"))
     for more in rounds[1:]:
         out = out.unionByName(more)

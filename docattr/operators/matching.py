@@ -6,52 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docattr.operators.ordered import bind, keep_where
-from docattr.session import cut
+from docattr.session import cut, discard
 
 
 def _chars(x: Column) -> Column:
     return F.filter(F.split(x, ""), lambda c: c != "")
 
 
-def _lcs_bits(a: Column, b: Column) -> Column:
-    """Bit-parallel length for up to 60 characters in ``a``: one machine word is a whole table row."""
-    one = F.lit(1).cast("long")
+BLOCK = 60
 
-    def compute(x):
-        full = F.call_function("shiftleft", one, x["n"]) - 1
-
-        def row(v, ch):
-            at = F.transform(x["a"], lambda c, i: F.when(c == ch, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long")))
-            hit = v.bitwiseAND(F.aggregate(at, F.lit(0).cast("long"), lambda s, m: s + m))
-            return (v + hit).bitwiseOR(v - hit).bitwiseAND(full)
-
-        return x["n"] - F.bit_count(F.aggregate(x["b"], full, row))
 
-    return bind(F.struct(a.alias("a"), b.alias("b"), F.size(a).alias("n")), compute)
+def _lcs(a: Column, b: Column) -> Column:
+    """Bit-parallel length: a machine word is ``BLOCK`` cells of a table row, and a row is as many words as needed.
 
+    Per character of ``b`` every word adds its matching cells, the carry goes on to the next word.
+    """
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
-def _lcs_table(a: Column, b: Column) -> Column:
-    """Row-by-row dynamic programme for long names."""
     def compute(x):
-        zeros = F.concat(F.array(F.lit(0)), F.transform(x["b"], lambda _: F.lit(0)))
-
-        def row(prev, ch):
-            def cell(acc, j):
-                same = F.get(x["b"], j) == ch
-                return F.concat(acc, F.array(
-                    F.when(same, F.get(prev, j) + 1).otherwise(F.greatest(F.get(prev, j + 1), F.element_at(acc, -1)))))
-
-            steps = F.transform(x["b"], lambda _, j: j)
-            return F.aggregate(steps, F.array(F.lit(0)), cell)
-
-        return F.element_at(F.aggregate(x["a"], zeros, row), -1)
+        steps = F.sequence(F.lit(0), F.floor((F.size(x["a"]) - 1) / BLOCK).cast("int"))
+        blocks = F.transform(steps, lambda i: F.slice(x["a"], i * BLOCK + 1, F.lit(BLOCK)))
+
+        def row(words, ch):
+            def word(s, w):
+                part, v = w["p"], w["v"]
+                full = F.call_function("shiftleft", one, F.size(part)) - 1
+                at = F.transform(part, lambda c, i: F.when(c == ch, F.call_function("shiftleft", one, i)).otherwise(zero))
+                hit = v.bitwiseAND(F.aggregate(at, zero, lambda t, m: t + m))
+                total = v + hit + s["carry"]
+                new = total.bitwiseOR(v - hit).bitwiseAND(full)
+                return F.struct(
+                    F.concat(s["out"], F.array(F.struct(part.alias("p"), new.alias("v")))).alias("out"),
+                    F.call_function("shiftright", total, F.size(part)).alias("carry"))
+
+            begin = F.struct(F.slice(words, 1, 0).alias("out"), zero.alias("carry"))
+            return F.aggregate(words, begin, word, lambda s: s["out"])
+
+        first = F.transform(blocks, lambda p: F.struct(p.alias("p"), (F.call_function("shiftleft", one, F.size(p)) - 1).alias("v")))
+        left = F.aggregate(F.aggregate(x["b"], first, row), F.lit(0), lambda n, w: n + F.bit_count(w["v"]))
+        return F.when(F.size(x["a"]) == 0, F.lit(0)).otherwise(F.size(x["a"]) - left)
 
     return bind(F.struct(a.alias("a"), b.alias("b")), compute)
 
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two names."""
-    return F.when(F.length(a) <= 60, _lcs_bits(_chars(a), _chars(b))).otherwise(_lcs_table(_chars(a), _chars(b)))
+    return _lcs(_chars(a), _chars(b))
 
 
 def lcs_ratio(a: Column, b: Column) -> Column:
@@ -62,6 +62,11 @@ def name_tokens(name: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit(r"[\p{L}\p{N}]+"), 0)))
 
 
+def blank_tokens(name: Column) -> Column:
+    """Distinct lower-case pieces between blanks; signs inside a name, as in O'Brien, stay."""
+    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(name), r"\s+"), lambda t: t != "")))
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Best similarity (0..1, two digits) of common tokens and common-plus-own tokens of both names."""
     def compute(x):
@@ -90,14 +95,14 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     return F.when(empty, F.lit(0.0)).otherwise(bind(tokens, compute))
 
 
-def shared_tokens(a: DataFrame, b: DataFrame, block: str, left: str, right: str) -> DataFrame:
+def shared_tokens(a: DataFrame, b: DataFrame, block: str, left: str, right: str, tokens=name_tokens) -> DataFrame:
     """(block, left, right, shared, left_size, right_size) of name pairs of a block with a common token.
 
     Names are deduplicated first and joined on (block, token); pairs without a common
     token are never formed.
     """
     def exploded(df, name, size):
-        distinct = df.select(block, name).distinct().withColumn("_t", name_tokens(F.col(name)))
+        distinct = df.select(block, name).distinct().withColumn("_t", tokens(F.col(name)))
         return distinct.select(block, name, F.size("_t").alias(size), F.explode("_t").alias("_token"))
 
     pairs = exploded(a, left, "left_size").join(exploded(b, right, "right_size"), [block, "_token"])
@@ -105,11 +110,42 @@ def shared_tokens(a: DataFrame, b: DataFrame, block: str, left: str, right: str)
         F.count(F.lit(1)).alias("shared"), F.first("left_size").alias("left_size"), F.first("right_size").alias("right_size"))
 
 
-def fuzzy_pairs(a: DataFrame, b: DataFrame, block: str, left: str, right: str, min_lcs: float = 0.5) -> DataFrame:
-    """Scored name pairs of a block: one token set contains the other and the LCS ratio is high enough."""
-    contained = shared_tokens(a, b, block, left, right).filter("shared = least(left_size, right_size)")
+def contained_pairs(a: DataFrame, b: DataFrame, block: str, left: str, right: str) -> DataFrame:
+    """(block, left, right) of name pairs of a block where one token set contains the other.
+
+    Containment needs only one token to meet on: the smaller set's rarest one in the other table. Each name asks
+    with that token, and a token that many names have is asked for only by names that have no rarer one.
+    """
+    def asking(df, name, other, by):
+        names = df.select(block, name).distinct().withColumn("_ts", name_tokens(F.col(name)))
+        each = names.select(block, name, "_ts", F.explode("_ts").alias("_token"))
+        known = other.select(block, by).distinct().select(block, by, name_tokens(F.col(by)).alias("_os"))
+        held = known.select(block, by, "_os", F.explode("_os").alias("_token"))
+        counts = held.groupBy(block, "_token").agg(F.count(F.lit(1)).alias("_n"))
+        # a token that the other side lacks rules the name out
+        rarest = each.join(counts, [block, "_token"], "left").groupBy(block, name, "_ts").agg(
+            F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_token")).alias("_r")).filter("_r.n > 0")
+        asked = rarest.select(block, name, "_ts", F.col("_r._token").alias("_token"))
+        return asked.join(held, [block, "_token"]).filter(
+            F.size(F.array_except("_ts", "_os")) == 0).select(block, left, right)
+
+    return asking(a, left, b, right).unionByName(asking(b, right, a, left)).distinct()
+
+
+def fuzzy_pairs(
+    a: DataFrame, b: DataFrame, block: str, left: str, right: str, min_lcs: float = 0.5, min_tok: float = 1.0
+) -> DataFrame:
+    """Scored name pairs of a block whose LCS and token-set ratios are high enough.
+
+    A ratio of 1 means that one token set contains the other; below that, pairs need a common token.
+    """
     score = lcs_ratio(F.lower(F.col(left)), F.lower(F.col(right)))
-    return keep_where(contained, "lcs", score, lambda x: x >= min_lcs).select(block, left, right, "lcs", F.lit(1.0).alias("tok"))
+    if min_tok >= 1:
+        scored = contained_pairs(a, b, block, left, right).withColumn("tok", F.lit(1.0))
+    else:
+        pairs = shared_tokens(a, b, block, left, right).select(block, left, right)
+        scored = keep_where(pairs, "tok", token_set_ratio(F.col(left), F.col(right)), lambda x: x >= min_tok)
+    return keep_where(scored, "lcs", score, lambda x: x >= min_lcs).select(block, left, right, "lcs", "tok")
 
 
 def greedy_matching(pairs: DataFrame, block: str, left: str, right: str, scores: list[str]) -> DataFrame:
@@ -129,7 +165,8 @@ def greedy_matching(pairs: DataFrame, block: str, left: str, right: str, scores:
         won = cut(open_pairs.join(mutual.select(block, left, right), [block, left, right], "left_semi"))
         taken.append(won)
         rest = open_pairs.join(won.select(block, left), [block, left], "left_anti")
-        open_pairs = cut(rest.join(won.select(block, right), [block, right], "left_anti"))
+        last, open_pairs = open_pairs, cut(rest.join(won.select(block, right), [block, right], "left_anti"))
+        discard(last)
     out = taken[0] if taken else open_pairs
     for more in taken[1:]:
         out = out.unionByName(more)
@@ -138,7 +175,7 @@ def greedy_matching(pairs: DataFrame, block: str, left: str, right: str, scores:
 
 def best_unique_match(names: DataFrame, cast: DataFrame, block: str, name: str, member: str) -> DataFrame:
     """Cast member sharing most tokens with a name, only where that maximum is not tied."""
-    counts = shared_tokens(names, cast, block, name, member)
+    counts = shared_tokens(names, cast, block, name, member, blank_tokens)
     per_level = counts.groupBy(block, name, "shared").agg(
         F.count(F.lit(1)).alias("_ties"), F.min(member).alias(member))
     top = per_level.groupBy(block, name).agg(F.max(F.struct("shared", "_ties", member)).alias("_b"))

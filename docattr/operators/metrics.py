@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docattr.functions.draws import key_hash
+from docattr.operators.ordered import global_index
 
 
 def keyed_predictions(preds: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -91,22 +94,30 @@ def multiclass_accuracy(preds: DataFrame) -> DataFrame:
 
 
 def permutation_test(
-    a: DataFrame, b: DataFrame, keys: list[str], metric: str, seed: int, resamples: int = 1000, factor: int = 1
+    a: DataFrame, b: DataFrame, keys: list[str], metric: str, seed: int, resamples: int = 1000, factor: int = 1,
+    method: str = "resample",
 ) -> DataFrame:
     """Paired two-sided permutation test of a metric difference between two systems.
 
     Only rows on which the systems disagree change under a swap, so only those are
     repeated per resample; partial aggregation leaves a few counts per resample and
-    task before the shuffle. With so few rows that all 2^n swaps are not more than
-    ``resamples``, every swap pattern is used once instead.
+    task before the shuffle. ``method`` says how swaps are chosen: ``resample`` draws ``resamples``
+    patterns, ``exact`` uses every pattern of at most 20 rows once.
     """
+    if method not in ("resample", "exact"):
+        raise ValueError(f"unknown method {method!r}")
+    exact = method == "exact"
     pairs = (
         a.select(*keys, F.col("label"), F.col("pred").alias("x"))
         .join(b.select(*keys, F.col("pred").alias("y")), keys)
     )
-    n = pairs.limit(32).count()
-    exact = n < 32 and 2 ** n <= resamples
-    rounds = 2 ** n if exact else resamples
+    rounds = resamples
+    if exact:
+        n = pairs.count()
+        if n > 20:
+            raise ValueError(f"{n} rows have too many swap patterns; use method='resample'")
+        rounds = 2 ** n
+        pairs = global_index(pairs, keys, "_spot")
 
     def cells(x, y):
         out = []
@@ -134,10 +145,7 @@ def permutation_test(
     differ = pairs.filter("x <> y")
     numbered = differ.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     if exact:
-        # at most 2^n <= resamples rows of input: their order is a bounded list
-        ranked = pairs.select(F.array_sort(F.collect_list(F.struct(*keys)))).scalar()
-        spot = F.array_position(ranked, F.struct(*keys)).cast("int") - 1
-        swap = F.expr("1") == (F.floor(F.col("_r") / F.pow(F.lit(2.0), spot)) % 2)
+        swap = F.floor(F.col("_r") / F.pow(F.lit(2.0), F.col("_spot"))) % 2 == 1
     else:
         swap = F.substring(key_hash(seed, F.col("_r"), *keys), 1, 1) >= "8"
     swapped = numbered.select(
@@ -168,3 +176,35 @@ def permutation_test(
     return tails.select(
         d0.alias("statistic"), p.alias("p"), F.least(F.lit(1.0), p * factor).alias("p_corrected")
     )
+
+
+def compare_systems(
+    predictions: DataFrame, system: str, run: str, keys: list[str], metric: str, seed: int, run_pairs: int = 3,
+    resamples: int = 1000,
+) -> DataFrame:
+    """Permutation tests over all pairs of systems and up to ``run_pairs`` sampled pairs of their runs.
+
+    ``predictions`` has (system, run, keys, label, pred). With k systems, p is corrected by the k(k-1)
+    ordered comparisons. Systems and runs are configurations, a handful, so their list is read
+    first and one test is planned per pair.
+    """
+    listed = predictions.select(system, run).distinct().orderBy(system, run).collect()
+    runs: dict = {}
+    for r in listed:
+        runs.setdefault(r[0], []).append(r[1])
+    names = list(runs)
+    factor = len(names) * (len(names) - 1)
+    out = None
+    for i, one in enumerate(names):
+        for other in names[i + 1:]:
+            pairs = sorted(((x, y) for x in runs[one] for y in runs[other]),
+                           key=lambda p: hashlib.md5(f"{seed}|{one}|{other}|{p[0]}|{p[1]}".encode()).hexdigest())
+            for x, y in pairs[:run_pairs]:
+                a = predictions.filter((F.col(system) == one) & (F.col(run) == x))
+                b = predictions.filter((F.col(system) == other) & (F.col(run) == y))
+                test = permutation_test(a, b, keys, metric, seed, resamples, factor).select(
+                    F.lit(one).alias("system_a"), F.lit(x).alias("run_a"), F.lit(other).alias("system_b"), F.lit(y).alias("run_b"), "*")
+                out = test if out is None else out.unionByName(test)
+    if out is None:
+        raise ValueError("a comparison needs two systems")
+    return out

@@ -37,12 +37,12 @@ def _with_offsets(ranged: DataFrame, by: list[str], order: list, values: dict[st
     before = before.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # only groups that cross into a further range keep a row: fewer rows than ranges
     carried = totals.select(
-        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_at"),
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_carried_part"),
         F.count(F.lit(1)).over(before).alias("_crossed"),
         *[F.sum(f"_total_{n}").over(before).alias(f"_carry_{n}") for n in values],
     ).filter("_crossed > 0").drop("_crossed")
     # null is a group of its own
-    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_part") == F.col("_at"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_part") == F.col("_carried_part"))
     return (
         ranged.withColumns({n: F.sum(v).over(inside) for n, v in values.items()})
         .join(F.broadcast(carried), same, "left")

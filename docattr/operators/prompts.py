@@ -19,24 +19,6 @@ DOCUMENT_TEMPLATE = (
 )
 OPTION_TEMPLATE = "$STORY$\nDoes $CHARACTER$ show the trait $ATTRIBUTE$? Answer yes or no."
 
-# The catalogue of sample tables.
-PARTITIONS = ["train", "dev", "test"]
-PREPROCESSING = ["original", "anonymized"]
-STRATEGIES = ["first", "semantic"]
-BUDGETS = [250, 500, 1000, 1500, 2000]
-
-
-def dataset_names() -> list[str]:
-    """Every sample table: traits, whole segments, and contexts by strategy and budget."""
-    names = []
-    for part in PARTITIONS:
-        names.append(f"traits-{part}")
-        for pre in PREPROCESSING:
-            names.append(f"segments-{pre}-{part}")
-            names += [f"contexts-{pre}-{strategy}-{size}-{part}" for strategy in STRATEGIES for size in BUDGETS]
-    return names
-
-
 def zero_shot_prompts(
     labels: DataFrame, texts: DataFrame, definitions: DataFrame, entity: str, attribute: str,
     template: str = DOCUMENT_TEMPLATE, name: str | None = None, text: str = "text",
@@ -63,17 +45,33 @@ def prior_prompts(
     }))
 
 
-def few_shot_prompts(queries: DataFrame, examples: DataFrame, key: str, example_text: str, template: str) -> DataFrame:
-    """Numbered examples, then the query. ``queries`` holds the ordered example ids of each row."""
+EXAMPLE_TEMPLATE = "$HEADER$\nAttribute: $ATTRIBUTE$. $DEFINITION$\nCharacter: $ENTITY$\nText: $TEXT$\nAnswer: $LABEL$"
+
+
+def few_shot_prompts(
+    queries: DataFrame, rows: DataFrame, key: str, label: str, fields: dict[str, Column], template: str,
+    example_template: str = EXAMPLE_TEMPLATE,
+) -> DataFrame:
+    """Numbered, answered examples, then the query without its answer.
+
+    ``queries`` holds (key, examples): the ordered example ids of each row. ``rows`` holds one row per key
+    with its label and whatever ``fields`` (placeholder -> column) fill into the example
+    template besides ``$HEADER$`` and ``$LABEL$``, which is yes, no, or empty for the query.
+    """
+    texts = rows.select(F.col(key).alias("_example"), F.col(label).alias("_label"), tx.fill_template(example_template, fields).alias("_t"))
+
+    def filled(header: Column, answer: Column) -> Column:
+        return tx.fill_template(F.col("_t"), {"$HEADER$": header, "$LABEL$": answer})
+
     picked = queries.select(key, F.posexplode("examples").alias("_pos", "_example"))
-    shown = picked.join(examples.select(F.col(key).alias("_example"), F.col(example_text).alias("_t")), "_example")
+    answer = F.when(F.col("_label") == 1, "yes").otherwise("no")
+    header = F.concat(F.lit("Example "), (F.col("_pos") + 1).cast("string"))
+    shown = picked.join(texts, "_example").select(key, "_pos", filled(header, answer).alias("_t"))
     lines = F.array_sort(F.collect_list(F.struct("_pos", "_t")))
-    joined = shown.groupBy(key).agg(lines.alias("_l"))
-    numbered = F.transform("_l", lambda x, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit("\n"), x["_t"]))
-    body = joined.select(key, F.array_join(numbered, "\n\n").alias("_body"))
-    rows = queries.join(examples.select(key, F.col(example_text).alias("_q")), key).join(body, key, "left")
-    return rows.select(key, tx.fill_template(template, {
-        "$EXAMPLES$": F.coalesce("_body", F.lit("")), "$QUERY$": F.col("_q")}).alias("prompt"))
+    body = shown.groupBy(key).agg(lines.alias("_l")).select(key, F.array_join(F.col("_l._t"), "\n\n").alias("_body"))
+    asked = queries.select(key).join(texts.withColumnRenamed("_example", key), key).join(body, key, "left")
+    query = F.rtrim(filled(F.lit("Query"), F.lit("")))
+    return asked.select(key, tx.fill_template(template, {"$EXAMPLES$": F.coalesce("_body", F.lit("")), "$QUERY$": query}).alias("prompt"))
 
 
 def option_prompts(samples: DataFrame, options: str, answer: str, values: dict[str, Column], template: str = OPTION_TEMPLATE) -> DataFrame:

@@ -6,10 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docattr.functions.draws import key_hash, uniform
 from docattr.operators.ordered import first_k, global_index, gold_index, running_total
-from docattr.session import cut, spread
+from docattr.session import cut
 
 
 def sample_n(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
@@ -55,20 +56,25 @@ def _kth_missing(requests: DataFrame, held: DataFrame, vocab: DataFrame, entity:
 
 
 def inject_negatives(
-    facts: DataFrame, key: list[str], entity: str, attribute: str, relation: DataFrame, seed: int, p: float = 0.5
+    facts: DataFrame, key: list[str], entity: str, attribute: str, relation: DataFrame, seed: int, p: float = 0.5,
+    vocab: DataFrame | None = None, blank: list[str] | None = None,
 ) -> DataFrame:
     """Positives with label 1 plus one distinct negative per (key without attribute) draw with label 0.
 
     A negative is, with probability ``p``, an unheld antonym of the row's attribute if there
-    is one, otherwise any attribute the entity does not hold. Draws are uniform.
+    is one, otherwise any attribute of the vocabulary that the entity does not hold. Draws are uniform.
+    The vocabulary is ``vocab`` (a column ``attribute``), or the attributes that occur. An entity that holds
+    all of it gets an unheld antonym where there is one, else no negative. Columns in
+    ``blank``, such as an explanation of the label, are kept on positives and empty on negatives.
     """
     # read by six branches below
     held = cut(facts.select(entity, attribute).distinct())
-    vocab = global_index(held.select(attribute).distinct(), [attribute], "_pos")
+    listed = (held if vocab is None else vocab).select(attribute).filter(F.col(attribute).isNotNull()).distinct()
+    vocab = global_index(listed, [attribute], "_pos")
     size = vocab.agg(F.count(F.lit(1))).scalar()
-    holds = held.groupBy(entity).agg(F.count(F.lit(1)).alias("_n_held"))
-    rows = facts.select(*key).distinct().join(holds, entity)
-    rows = rows.withColumn("_free", size - F.col("_n_held")).filter("_free > 0")
+    holds = held.join(vocab.select(attribute), attribute, "left_semi").groupBy(entity).agg(F.count(F.lit(1)).alias("_n_held"))
+    rows = facts.select(*key).distinct().join(holds, entity, "left")
+    rows = rows.withColumn("_free", size - F.coalesce("_n_held", F.lit(0))).drop("_n_held")
 
     # unheld antonym with the smallest hash per (entity, attribute) row; antonyms per attribute are few
     options = rows.select(*key).join(relation.select(attribute, F.col("antonym").alias("_anto")), attribute)
@@ -78,8 +84,8 @@ def inject_negatives(
     best = options.groupBy(*key).agg(F.min(F.struct(key_hash(seed + 1, *key, "_anto").alias("h"), "_anto")).alias("_b"))
     rows = rows.join(best.select(*key, F.col("_b._anto").alias("_anto")), key, "left")
 
-    use_antonym = F.col("_anto").isNotNull() & (uniform(seed, *key) < p)
-    rows = rows.withColumn("_use", use_antonym).withColumn("_r", F.floor(uniform(seed + 2, *key) * F.col("_free")).cast("long"))
+    use_antonym = F.col("_anto").isNotNull() & ((uniform(seed, *key) < p) | (F.col("_free") == 0))
+    rows = rows.filter("_free > 0 OR _anto IS NOT NULL").withColumn("_use", use_antonym).withColumn("_r", F.floor(uniform(seed + 2, *key) * F.col("_free")).cast("long"))
     # requests and the final pick read the same rows
     rows = cut(rows.select(*key, "_anto", "_use", "_r"))
     requests = rows.filter(~F.col("_use")).select(entity, "_r").distinct()
@@ -88,8 +94,10 @@ def inject_negatives(
         "_negative", F.when(F.col("_use"), F.col("_anto")).otherwise(F.col("_other")))
     outer = [c for c in key if c != attribute]
     negatives = picked.select(*outer, F.col("_negative").alias(attribute)).distinct().withColumn("label", F.lit(0))
-    positives = facts.select(*key).distinct().withColumn("label", F.lit(1))
-    return positives.unionByName(negatives)
+    kept = [F.col(c) for c in blank or []]
+    empty = [F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in blank or []]
+    positives = facts.select(*key, *kept).distinct().withColumn("label", F.lit(1))
+    return positives.unionByName(negatives.select(*key, *empty, "label"))
 
 
 # --- five-way samples -----------------------------------------------------------------------
@@ -105,7 +113,7 @@ def multiclass_samples(
     sampling without replacement over the entity's whole remaining vocabulary, so the set
     is short only when that vocabulary is.
     """
-    held = spread(cut(facts.select(entity, attribute).distinct()))
+    held = cut(facts.select(entity, attribute).distinct())
     near = relation.select(attribute, F.col("antonym").alias("_o")).filter(F.col(attribute) != F.col("_o")).distinct()
     held_o = held.withColumnRenamed(attribute, "_o")
     own = cut(held.join(near, attribute).join(held_o, [entity, "_o"], "left_anti"))
@@ -253,7 +261,7 @@ def few_shot(
     out = base.select(key)
     for p in picks:
         out = out.join(p, key, "left")
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast(T.ArrayType(rows.schema[key].dataType))
     every = F.concat(*[F.coalesce(c, none) for c in out.columns if c != key])
     mixed = F.array_sort(F.transform(every, lambda e: F.struct(key_hash(seed + 9, key, e).alias("h"), e.alias("e"))))
     return out.select(key, F.transform(mixed, lambda s: s["e"]).alias("examples"))

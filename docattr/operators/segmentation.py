@@ -63,9 +63,10 @@ def segment_table(docs: DataFrame, key: str, lines: Column, tags: Column, drop_t
 
 # --- typed tokens and negation cues ---------------------------------------------------------
 
-TAG = r"<attr value=[^>]*>[^<]*</attr>"
+TAG = r"<attr value=[^>]*+>[^<]*+</attr>"
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
-SENTENCE = rf"(?:{TAG}|[^.!?<]+|<)+[.!?]*|[.!?]+"
+# possessive loops: a loop over a group that may back up recurses once per round and overflows the stack
+SENTENCE = rf"(?:{TAG}|[^.!?<]++|<)++[.!?]*+|[.!?]++"
 
 # Words that signal that an attribute is named as an opposite.
 CUES = ["contrast", "opposite", "not", "never", "nor", "inverse", "conflict", "conflicts", "unlike", "different",

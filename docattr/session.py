@@ -35,13 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder; on a cluster a missing
     setting is an error, because a machine-local folder is lost with its executor.
     """
+    local = spark.sparkContext.master.split("[")[0] == "local"
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not local and "://" not in configured and not configured.startswith("file:"):
+            raise RuntimeError("spark.checkpoint.dir must name its scheme on a cluster")
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     folder = tempfile.mkdtemp(prefix="docattr-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -61,13 +64,25 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that nothing reads any more, such as a round's input once its result is written."""
+    for df in tables:
+        path = df.__dict__.pop("_scratch", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Split a scan of few large row groups over the cores before heavy row-local work.
+    """Deal a table that is read as a single split to all cores before heavy row-local work.
 
-    A table with at least as many splits as cores, as at scale, is returned unchanged.
+    Such a table is at most ``spark.sql.files.maxPartitionBytes`` of one file; any larger one is returned
+    as it is and never shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() > 1 else df.repartition(df.sparkSession.sparkContext.defaultParallelism)

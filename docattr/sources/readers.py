@@ -6,16 +6,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true", "nullValue": "", "emptyValue": '""'}
+CSV_OPTIONS = {"quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""'}
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: str | T.StructType, header: bool = True) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS).option("header", header).csv(paths)
+def read_csv(
+    spark: SparkSession, paths: str | list[str], schema: str | T.StructType, header: bool = True, multiline: bool = False
+) -> DataFrame:
+    """``multiline`` is for values with line breaks; it keeps Spark from splitting a file, so it is off by default."""
+    return spark.read.schema(schema).options(**CSV_OPTIONS).option("header", header).option("multiLine", multiline).csv(paths)
 
 
-def read_csv_strings(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> DataFrame:
+def read_csv_strings(spark: SparkSession, path: str, columns: list[str], header: bool = True, multiline: bool = False) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return read_csv(spark, path, schema, header)
+    return read_csv(spark, path, schema, header, multiline)
 
 
 def read_csv_sniffed(spark: SparkSession, path: str, key: str) -> DataFrame:
@@ -25,16 +28,19 @@ def read_csv_sniffed(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
-    options = {k: v for k, v in CSV_OPTIONS.items() if k not in ("multiLine", "emptyValue")}
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "emptyValue"}
     df.write.mode("overwrite").options(**options).option("header", header).csv(path)
 
 
-def read_texts(spark: SparkSession, path: str, key_pattern: str, key: str = "key") -> DataFrame:
-    """Whole files as (key, text); the key is cut out of the file path."""
+def read_texts(spark: SparkSession, path: str, key_pattern: str, key: str = "key", drop_final_newline: bool = False) -> DataFrame:
+    """Whole files as (key, text); the key is cut out of the file path.
+
+    With ``drop_final_newline`` the one newline that line-based writers put behind the last line goes.
+    """
     files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     return files.select(
         F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1).alias(key),
-        F.regexp_replace("value", r"\n$", "").alias("text"),
+        (F.regexp_replace("value", r"\n\z", "") if drop_final_newline else F.col("value")).alias("text"),
     )
 
 

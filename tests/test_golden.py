@@ -120,7 +120,7 @@ def test_accuracy_at_k(spark):
 def test_permutation_of_few_rows_is_exact(spark):
     a = spark.createDataFrame([(i, 1, 1) for i in range(4)], "k int, label int, pred int")
     b = spark.createDataFrame([(i, 1, 0) for i in range(4)], "k int, label int, pred int")
-    got = metrics.permutation_test(a, b, ["k"], "accuracy", seed=1).first()
+    got = metrics.permutation_test(a, b, ["k"], "accuracy", seed=1, method="exact").first()
     assert (got["statistic"], got["p"]) == (1.0, 2 / 16)
 
 
@@ -183,8 +183,11 @@ def test_components_and_numbers(spark):
 def test_leakage_safe_split(spark):
     bridge = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1), ("c", 2), ("d", 2)], "e string, d int")
     test = spark.createDataFrame([("a",)], "e string")
-    got = graph.leakage_safe_split(bridge, "e", "d", test)
-    assert {r["e"]: r["partition"] for r in got.collect()} == {"a": "test", "b": "dev", "c": None, "d": "train"}
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", None), ("b", "x", None), ("c", "x", None), ("d", "x", None)],
+                                 "e string, t string, label int")
+    got = graph.leakage_safe_split(bridge, "e", "d", test, rows, "t")
+    assert {(r["e"], r["t"]): r["partition"] for r in got.collect()} == {
+        ("a", "x"): "test", ("a", "y"): "dev", ("b", "x"): "dev", ("c", "x"): None, ("d", "x"): "train"}
 
 
 def test_greedy_cover(spark):
