@@ -142,13 +142,33 @@ def m09(spark, d):
         "doc_id", "seg_no", "m.entity", "m.start", "m.end", "m.text")
 
 
-@query("A29_match_report", f"""
-  WITH {MENTIONS}, spk AS (SELECT doc_id, seg_no, regexp_extract(text, '^(\\S+)', 1) AS text FROM segments),
-  {mentions_sql('spk', 'spoken')}
-  SELECT n.doc_id, n.entity, coalesce(m.c, 0) AS n_mentions, coalesce(u.c, 0) AS n_utterances, coalesce(m.c, 0) + coalesce(u.c, 0) > 0 AS matched
+REPORT = f"""{MENTIONS}, spk AS (SELECT doc_id, seg_no, regexp_extract(text, '^(\\S+)', 1) AS text FROM segments),
+  {mentions_sql('spk', 'spoken')},
+  report AS (SELECT n.doc_id, n.entity, coalesce(m.c, 0) AS n_mentions, coalesce(u.c, 0) AS n_utterances, coalesce(m.c, 0) + coalesce(u.c, 0) > 0 AS matched
   FROM names n LEFT JOIN (SELECT doc_id, entity, count(*) AS c FROM mentions GROUP BY ALL) m USING (doc_id, entity)
-  LEFT JOIN (SELECT doc_id, entity, count(*) AS c FROM spoken WHERE i = 1 GROUP BY ALL) u USING (doc_id, entity)""")
-def a29(spark, d):
+  LEFT JOIN (SELECT doc_id, entity, count(*) AS c FROM spoken WHERE i = 1 GROUP BY ALL) u USING (doc_id, entity))"""
+
+
+def matches(spark, d):
     segs, cast = v.segments(spark, d), roster(spark, d)
     speakers = segs.withColumn("text", F.regexp_extract("text", r"^(\S+)", 1))
-    return mn.match_report(cast, mn.find_mentions(segs, cast), mn.find_utterances(speakers, cast))
+    return cast, mn.find_mentions(segs, cast), mn.find_utterances(speakers, cast)
+
+
+@query("A29_match_report", f"WITH {REPORT} SELECT * FROM report")
+def a29(spark, d):
+    return mn.match_report(*matches(spark, d))
+
+
+@query("A29_match_totals", f"""
+  WITH {REPORT} SELECT count(*) AS entities, count(*) FILTER (n_mentions > 0) AS with_mentions, count(*) FILTER (n_utterances > 0) AS with_utterances,
+    sum(n_mentions)::BIGINT AS n_mentions, sum(n_utterances)::BIGINT AS n_utterances FROM report""")
+def a29b(spark, d):
+    return mn.match_totals(mn.match_report(*matches(spark, d)))
+
+
+@query("A29_alias_flags", f"""
+  WITH {REPORT}, hit AS (SELECT DISTINCT doc_id, entity, text AS alias FROM mentions UNION SELECT doc_id, entity, text FROM spoken WHERE i = 1)
+  SELECT a.doc_id, a.entity, a.alias, h.alias IS NOT NULL AS matched FROM alias a LEFT JOIN hit h ON h.doc_id = a.doc_id AND h.entity = a.entity AND h.alias = a.alias""")
+def a29c(spark, d):
+    return mn.alias_report(*matches(spark, d))

@@ -186,3 +186,20 @@ def match_report(roster: DataFrame, mentions: DataFrame, utterances: DataFrame,
     for df, name in ((mentions, "n_mentions"), (utterances, "n_utterances")):
         out = out.join(counted(df, name), [key, "entity"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out.withColumn("matched", (F.col("n_mentions") > 0) | (F.col("n_utterances") > 0))
+
+
+def alias_report(roster: DataFrame, mentions: DataFrame, utterances: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, entity, alias, matched): whether a spelling of an entity was found at all."""
+    spelled = roster.select(key, "entity", F.explode("aliases").alias("alias")).distinct()
+    hits = mentions.select(key, "entity", F.col("text").alias("alias")).unionByName(
+        utterances.select(key, "entity", F.col("text").alias("alias"))).distinct().withColumn("_hit", F.lit(True))
+    return spelled.join(hits, [key, "entity", "alias"], "left").select(
+        key, "entity", "alias", F.coalesce("_hit", F.lit(False)).alias("matched"))
+
+
+def match_totals(report: DataFrame) -> DataFrame:
+    """One row for the corpus: entities, those with mentions and those with utterances, and the counts of both."""
+    return report.agg(
+        F.count(F.lit(1)).alias("entities"), F.count_if(F.col("n_mentions") > 0).alias("with_mentions"),
+        F.count_if(F.col("n_utterances") > 0).alias("with_utterances"), F.sum("n_mentions").alias("n_mentions"),
+        F.sum("n_utterances").alias("n_utterances"))

@@ -104,14 +104,16 @@ def inject_negatives(
 
 
 def multiclass_samples(
-    facts: DataFrame, entity: str, attribute: str, relation: DataFrame, seed: int, options: int = 5, antonyms: int = 2, draws: int = 16
+    facts: DataFrame, entity: str, attribute: str, relation: DataFrame, seed: int, options: int = 5, antonyms: int = 2, draws: int = 16,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """(entity, attribute, options, label) with up to two unheld antonyms and frequency-weighted others.
 
     Others come from the inverse of the cumulative frequencies, excluded or repeated draws
     are skipped. Rows that are still short after ``draws`` draws are completed by weighted
     sampling without replacement over the entity's whole remaining vocabulary, so the set
-    is short only when that vocabulary is.
+    is short only when that vocabulary is. Columns in ``keep``, such as a sample's weight and partition, are
+    those of the row's facts (of differing ones the smallest).
     """
     held = cut(facts.select(entity, attribute).distinct())
     near = relation.select(attribute, F.col("antonym").alias("_o")).filter(F.col(attribute) != F.col("_o")).distinct()
@@ -155,7 +157,10 @@ def multiclass_samples(
     full = full.join(antos, [entity, attribute], "left")
     every = F.concat(F.array(attribute), F.coalesce("_antos", F.array().cast("array<string>")), F.col("_others"))
     shuffled, gold = gold_index(every, F.col(attribute), seed + 3, F.col(entity))
-    return full.select(entity, attribute, shuffled.alias("options"), gold.alias("label"))
+    out = full.select(entity, attribute, shuffled.alias("options"), gold.alias("label"))
+    if not keep:
+        return out
+    return out.join(facts.groupBy(entity, attribute).agg(*[F.min(c).alias(c) for c in keep]), [entity, attribute])
 
 
 def _fill_short(

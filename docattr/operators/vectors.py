@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,11 @@ def cosine_join(a: DataFrame, b: DataFrame, on: list[str], left: str, right: str
 
 
 def _weighted_mean(df: DataFrame, key: str, vec: str, weight: Column | None, name: str) -> DataFrame:
-    """Dimension-wise (weighted) mean per group, as an ordered array of the fixed dimension."""
+    """Dimension-wise (weighted) mean per group; whole vectors are merged map-side."""
     w = weight if weight is not None else F.lit(1.0)
-    dims = df.select(key, w.alias("_w"), F.posexplode(vx.as_double(F.col(vec))).alias("_i", "_x"))
-    means = dims.groupBy(key, "_i").agg((F.sum(F.col("_x") * F.col("_w")) / F.sum("_w")).alias("_m"))
-    packed = means.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_l"))
-    return packed.select(key, F.col("_l._m").alias(name))
+    rows = df.filter(F.col(vec).isNotNull()).select(key, w.cast("double").alias("_w"), array_to_vector(vx.as_double(F.col(vec))).alias("_v"))
+    means = rows.groupBy(key).agg(Summarizer.mean(F.col("_v"), F.col("_w")).alias("_m"))
+    return means.select(key, vector_to_array("_m").alias(name))
 
 
 def mean_pool(df: DataFrame, key: str, vec: str, mask: Column | None = None, name: str = "pooled") -> DataFrame:

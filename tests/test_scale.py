@@ -124,3 +124,27 @@ def test_components_keep_lone_nodes_and_drop_their_tables(spark):
     path = table._scratch
     session.discard(table)
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_five_way_samples_keep_weight_and_partition(spark):
+    facts = spark.createDataFrame([(e, t, e * 0.5, "dev") for e in range(4) for t in "AB"] + [(9, c, 1.0, "train") for c in "CDEFGH"],
+                                  "e int, t string, weight double, partition string")
+    relation = spark.createDataFrame([("A", "C")], "t string, antonym string")
+    got = sampling.multiclass_samples(facts, "e", "t", relation, 2, keep=["weight", "partition"]).collect()
+    assert len(got) == 14 and all((r.weight, r.partition) == ((r.e * 0.5, "dev") if r.e < 9 else (1.0, "train")) for r in got)
+    assert all(r.options[r.label - 1] == r.t for r in got)
+
+
+def test_breaker_over_batches(spark, tmp_path):
+    """A run that goes on over batches, one that a success breaks, and a source that trips only once."""
+    from docattr.streaming import ingest
+
+    schema = "s string, o int, bad boolean"
+    batches = [[("a", 1, True), ("a", 2, True), ("b", 1, True), ("c", 1, True), ("c", 2, True), ("c", 3, True)],
+               [("b", 2, False), ("b", 3, True), ("c", 4, True)], [("a", 5, True), ("b", 6, True), ("b", 7, True), ("c", 8, True)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(f"{tmp_path}/in")
+        ingest.breaker_stream(stream, "s", "o", F.col("bad"), 3, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {(r.s, r.tripped_at) for r in got} == {("a", 5), ("b", 7), ("c", 3)} and len(got) == 3
