@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docattr.session import cut
+from docattr.session import cut, discard
 
 SCHEMAS = {
     "reply": {
@@ -163,7 +163,8 @@ def levels(calls: DataFrame) -> DataFrame:
         moved = waiting.select("conv_id", "call_id", F.col("_to").alias("to"), F.when(
             F.col("_i").isNull(), F.col("level") - 1).otherwise(F.col("level") + F.col("_level")).alias("level"),
             (F.col("_i").isNull() | F.coalesce("_lost", F.lit(False))).alias("lost"))
-        step = cut(step.filter("to IS NULL").unionByName(moved))
+        last, step = step, cut(step.filter("to IS NULL").unionByName(moved))
+        discard(last)
     state = F.when(F.col("to").isNotNull(), "cycle").when(F.col("lost"), "missing_dependency").otherwise("ok")
     return step.select("conv_id", "call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"), state.alias("state"))
 

@@ -80,12 +80,52 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
-@query("op5_chat_formatting")
+@query("op5_chat_formatting", r"""
+    WITH RECURSIVE c AS (SELECT * FROM conversations),
+    calls AS (SELECT conv_id, turn, text FROM c WHERE role = 'user'),
+    walk AS (
+      SELECT conv_id, turn, turn AS at, 0::BIGINT AS n, turn >= 2 AS waits, false AS lost FROM calls
+      UNION ALL
+      SELECT w.conv_id, w.turn, w.at - 2, w.n + (p.turn IS NOT NULL)::BIGINT, p.turn IS NOT NULL AND w.at - 2 >= 2, p.turn IS NULL
+      FROM walk w LEFT JOIN calls p ON p.conv_id = w.conv_id AND p.turn = w.at - 2 WHERE w.waits),
+    level AS (SELECT conv_id, turn, n AS level, lost FROM walk WHERE NOT waits),
+    results AS (SELECT conv_id, turn, text FROM c WHERE role = 'assistant'),
+    linked AS (
+      SELECT k.conv_id, level, k.turn, 'call' AS kind, k.turn::VARCHAR AS call_id, lost, r.turn IS NOT NULL AS answered,
+             length(coalesce(k.text, '')) > 0 AS valid, k.text, r.text AS result
+      FROM calls k JOIN level USING (conv_id, turn) LEFT JOIN results r ON r.conv_id = k.conv_id AND r.turn = k.turn + 1)
+    SELECT conv_id, level, turn, 0::BIGINT AS place, kind, call_id,
+           CASE WHEN lost THEN 'missing_dependency' WHEN NOT valid THEN 'invalid' WHEN NOT answered THEN 'unanswered' ELSE 'ok' END AS status,
+           CASE WHEN valid THEN '' WHEN text IS NULL THEN '$.question: missing' ELSE '$.question: length' END AS problems,
+           '{"arguments":{' || CASE WHEN text IS NULL THEN '' ELSE '"question":' || to_json(text)::VARCHAR || ',' END || '"turn":' || turn || '},"id":"'
+           || call_id || '","name":"reply"' || CASE WHEN answered THEN ',"result":' || coalesce(to_json(result)::VARCHAR, 'null') ELSE '' END || '}' AS json
+    FROM linked
+    UNION ALL
+    SELECT conv_id, 0, turn, 0, 'message', NULL, 'ok', NULL,
+           '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}'
+    FROM c WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+    UNION ALL
+    SELECT r.conv_id, 0, r.turn, 0, 'result', (r.turn - 1)::VARCHAR, 'orphan_result', NULL, coalesce(to_json(r.text)::VARCHAR, 'null')
+    FROM results r LEFT JOIN calls k ON k.conv_id = r.conv_id AND k.turn = r.turn - 1 WHERE k.turn IS NULL
+""")
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.linked(chat.as_calls(table(spark, sf_dir, "conversations")))
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (
+      SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS n FROM win) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM again)),
+    pos AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+    kept AS (
+      SELECT pos.doc_id, count(*) - count(gone.p) AS n, string_agg(word, ' ' ORDER BY pos.p) FILTER (gone.p IS NULL) AS t
+      FROM pos LEFT JOIN gone ON gone.doc_id = pos.doc_id AND gone.p = pos.p GROUP BY pos.doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+""")
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 

@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docattr.llm.components import star_components
 from docattr.llm.words import byte_words, row_key
+from docattr.operators.graph import star_components
 from docattr.session import cut
 
 SHINGLE = 3

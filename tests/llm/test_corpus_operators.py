@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docattr.llm import chat, components, media, queries, simhash, toxicity, urls
+from docattr.llm import chat, media, queries, simhash, toxicity, urls
+from docattr.operators.graph import star_components
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, fp long, root long"
 
@@ -100,7 +101,7 @@ def test_shards_lose_no_link(spark, monkeypatch, trees):
     monkeypatch.setattr(simhash, "LEAF", 8)
     monkeypatch.setattr(simhash, "SEARCH", 20)
     found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 3, trees, sample=200, shard=40)
-    roots = {r.node: r.root for r in components.star_components(found, "fp", "root").collect()}
+    roots = {r.node: r.root for r in star_components(found, "fp", "root").collect()}
     assert [roots.get(f, f) for f in fps] == [fps[i] for i in plain_labels(fps)]
 
 
@@ -114,7 +115,7 @@ def test_a_ball_of_near_copies_is_one_class():
 
 def test_long_chains_of_links(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 1001)], "u long, v long")
-    roots = {r.node: r.root for r in components.star_components(edges, "u", "v").collect()}
+    roots = {r.node: r.root for r in star_components(edges, "u", "v").collect()}
     assert roots == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
 
 
