@@ -20,7 +20,8 @@ HEADLINE = [
     "P04_ascii_fold", "P20_budget_and_labels", "M03_typed_tokens", "M04_cued_attributes", "M05_find_mentions", "M12_entity_segments",
     "M13_contexts_first", "M14_document_prompts", "J10_greedy_matching", "R02_inject_negatives", "R05_best_split",
     "R06_few_shot_entity", "G01_connected_components", "G03_leakage_safe_split", "G04_greedy_cover", "V01_cosine_similarity",
-    "V05_best_candidate", "ST1_resumable_ingestion",
+    "V05_best_candidate", "ST1_resumable_ingestion", "R03_multiclass_samples", "M09_anonymise_with_spans", "J12_spans_in_paragraphs", "P21_entity_mask",
+    "G02_component_numbers", "G06_tagged_bridge", "ST2_failure_breaker", "M14_segment_prompts",
 ]
 
 
