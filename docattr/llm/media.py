@@ -198,4 +198,4 @@ def media_columns(docs: DataFrame, folder: str | None = None, shard_bytes: int =
     members = metadata(addresses, folder).join(features(addresses, folder), "digest").withColumn(
         "feature", F.concat_ws(";", size, "feature"))
     # everything about a payload meets first, so that the rows of a frequent one are joined once and can be split
-    return rows.join(cut(addresses.join(members, "digest")), "digest")
+    return rows.join(addresses.join(members, "digest"), "digest")
