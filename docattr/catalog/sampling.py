@@ -45,17 +45,24 @@ MULTI = f"""{v.FACTS}, {v.RELATION}, held AS (SELECT DISTINCT entity, attribute
   wts AS (SELECT o, w, sum(w) OVER (ORDER BY o) - w AS lo FROM freq),
   rws AS (SELECT h.entity, h.attribute, coalesce(antos, []) AS antos, 4 - coalesce(len(antos), 0) AS need
     FROM held h LEFT JOIN chosen c ON c.entity = h.entity AND c.attribute = h.attribute),
-  drawn AS (SELECT entity, attribute, dd, floor({v.u_sql(22, 'entity', 'attribute', 'dd')} * (SELECT sum(w) FROM freq)) AS t FROM held, (SELECT unnest(range(1, 17)) AS dd)),
-  landed AS (SELECT dr.entity, dr.attribute, wts.o, min(dd) AS dd FROM drawn dr ASOF JOIN wts ON dr.t >= wts.lo GROUP BY ALL),
-  hits AS (SELECT l.* FROM landed l LEFT JOIN ex ON ex.entity = l.entity AND ex.o = l.o WHERE ex.o IS NULL),
-  picked AS (SELECT entity, attribute, list(o ORDER BY dd) AS l FROM hits GROUP BY ALL),
-  found AS (SELECT r.*, coalesce(l, [])[:need] AS p FROM rws r LEFT JOIN picked k ON k.entity = r.entity AND k.attribute = r.attribute),
-  short AS (SELECT * FROM found WHERE len(p) < need),
-  lefts AS (SELECT s.entity, s.attribute, s.p, q.o, q.w FROM short s, freq q WHERE NOT list_contains(s.p, q.o)),
-  fill AS (SELECT f.entity, f.attribute, list(f.o ORDER BY -ln(greatest({v.u_sql(23, 'f.entity', 'f.attribute', 'f.o')}, 1e-12)) / w, f.o) AS l
-    FROM lefts f LEFT JOIN ex ON ex.entity = f.entity AND ex.o = f.o WHERE ex.o IS NULL GROUP BY f.entity, f.attribute),
-  filled AS (SELECT f.entity, f.attribute, [f.attribute] || antos || p || coalesce(x.l, [])[:need - len(p)] AS opts
-    FROM found f LEFT JOIN fill x ON x.entity = f.entity AND x.attribute = f.attribute),
+  free AS (SELECT e.entity, q.o, q.w, sum(q.w) OVER (PARTITION BY e.entity ORDER BY q.o) - q.w AS lo
+    FROM (SELECT DISTINCT entity FROM held) e CROSS JOIN freq q LEFT JOIN ex ON ex.entity = e.entity AND ex.o = q.o WHERE ex.o IS NULL),
+  sums AS (SELECT entity, sum(w) AS free FROM free GROUP BY entity),
+  s0 AS (SELECT r.*, coalesce(free, 0)::BIGINT AS free, []::STRUCT(lo BIGINT, w BIGINT, o VARCHAR, rd INT)[] AS ps
+    FROM rws r LEFT JOIN sums USING (entity)),"""
+
+# one round: a point on what is left, moved past this row's earlier picks (sorted by place)
+for _n in range(1, 5):
+    MULTI += f"""
+  t{_n} AS (SELECT *, floor({v.u_sql(22, 'entity', 'attribute', _n)} * free)::BIGINT AS t FROM s{_n - 1} WHERE len(ps) < need AND free > 0),
+  a{_n} AS (SELECT * EXCLUDE (t), t + coalesce(list_sum([p.w FOR p, i IN ps
+    IF p.lo - coalesce(list_sum([e.w FOR e IN ps[:i - 1]]), 0) <= t]), 0)::BIGINT AS t FROM t{_n}),
+  s{_n} AS (SELECT a.entity, a.attribute, antos, need, free - f.w AS free,
+      list_sort(list_append(ps, {{'lo': f.lo::BIGINT, 'w': f.w, 'o': f.o, 'rd': {_n}}})) AS ps
+    FROM a{_n} a ASOF JOIN free f ON a.entity = f.entity AND a.t >= f.lo
+    UNION ALL SELECT entity, attribute, antos, need, free, ps FROM s{_n - 1} WHERE NOT (len(ps) < need AND free > 0)),"""
+MULTI += f"""
+  filled AS (SELECT entity, attribute, [attribute] || antos || [x.o FOR x IN list_sort([{{'rd': p.rd, 'o': p.o}} FOR p IN ps])] AS opts FROM s4),
   mixed AS (SELECT entity, attribute, [s.o FOR s IN list_sort([{{'h': {v.h_sql(24, 'entity', 'y')}, 'o': y}} FOR y IN opts])] AS opts FROM filled)"""
 
 

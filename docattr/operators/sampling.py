@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docattr.functions.draws import key_hash, uniform
-from docattr.operators.ordered import first_k, global_index, gold_index, running_total
+from docattr.operators.ordered import first_k, global_index, gold_index, running_total, union_all
 from docattr.session import cut
 
 
@@ -104,86 +104,74 @@ def inject_negatives(
 
 
 def multiclass_samples(
-    facts: DataFrame, entity: str, attribute: str, relation: DataFrame, seed: int, options: int = 5, antonyms: int = 2, draws: int = 16,
+    facts: DataFrame, entity: str, attribute: str, relation: DataFrame, seed: int, options: int = 5, antonyms: int = 2,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """(entity, attribute, options, label) with up to two unheld antonyms and frequency-weighted others.
+    """(entity, attribute, options, label) with up to ``antonyms`` unheld antonyms and frequency-weighted others.
 
-    Others come from the inverse of the cumulative frequencies, excluded or repeated draws
-    are skipped. Rows that are still short after ``draws`` draws are completed by weighted
-    sampling without replacement over the entity's whole remaining vocabulary, so the set
-    is short only when that vocabulary is. Columns in ``keep``, such as a sample's weight and partition, are
-    those of the row's facts (of differing ones the smallest).
+    Others are drawn one after the other without replacement from the attributes that the entity neither holds nor has as
+    an antonym, with odds by frequency, so the set is short only when that vocabulary is. Facts without an entity or
+    an attribute are no samples. Columns in ``keep``, such as a sample's weight and partition, are those of the
+    row's facts (of differing ones the smallest).
+
+    Attributes lie on an axis as intervals as long as their frequency. What an entity may not draw is cut out of the axis,
+    a draw is a point on what is left, and a running sum of the cut lengths before it gives its place on the whole axis.
+    There are as many rounds as options to draw, and no entity's free vocabulary is ever listed.
     """
-    held = cut(facts.select(entity, attribute).distinct())
+    held = cut(facts.select(entity, attribute).dropna().distinct())
     near = relation.select(attribute, F.col("antonym").alias("_o")).filter(F.col(attribute) != F.col("_o")).distinct()
     held_o = held.withColumnRenamed(attribute, "_o")
     own = cut(held.join(near, attribute).join(held_o, [entity, "_o"], "left_anti"))
     chosen = first_k(own.withColumn("_h", key_hash(seed, entity, attribute, "_o")), [entity, attribute], ["_h", "_o"], antonyms)
-    excluded = cut(held_o.unionByName(own.select(entity, "_o")).distinct())
 
     freq = held.groupBy(F.col(attribute).alias("_o")).agg(F.count(F.lit(1)).alias("_w"))
-    weights = running_total(freq, ["_o"], F.col("_w"), "_hi").withColumn("_lo", F.col("_hi") - F.col("_w"))
-    total = freq.agg(F.sum("_w")).scalar()
-    n_anto = chosen.groupBy(entity, attribute).agg(F.count(F.lit(1)).alias("_n"))
-    rows = held.join(n_anto, [entity, attribute], "left").withColumn("_need", F.lit(options - 1) - F.coalesce("_n", F.lit(0))).drop("_n")
-
-    # a cell of the weight axis holds the attributes that overlap it: at most attributes + cells rows
+    weights = cut(running_total(freq, ["_o"], F.col("_w"), "_hi").withColumn("_lo", F.col("_hi") - F.col("_w")))
+    total = weights.agg(F.coalesce(F.sum("_w"), F.lit(0))).first()[0]
+    # a cell of the axis holds the attributes that overlap it: at most attributes + cells rows
     cells = 1024
-    cell = lambda at: F.floor(at * F.lit(cells) / total)
-    # written out, so that the join with the many draws knows how small it is
+    cell = lambda at: F.floor(at * F.lit(cells) / max(total, 1))
     axis = cut(weights.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi") - 1)))))
-    drawn = rows.withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    drawn = drawn.withColumn("_t", F.floor(uniform(seed + 1, entity, attribute, "_d") * total))
-    drawn = drawn.withColumn("_cell", cell(F.col("_t"))).join(axis, "_cell").filter("_t >= _lo AND _t < _hi")
-    valid = drawn.join(excluded, [entity, "_o"], "left_anti")
-    firsts = valid.groupBy(entity, attribute, "_need", "_o").agg(F.min("_d").alias("_d"))
-    others = firsts.groupBy(entity, attribute, "_need").agg(F.array_sort(F.collect_list(F.struct("_d", "_o"))).alias("_l"))
-    found = rows.join(others, [entity, attribute, "_need"], "left").withColumn(
-        "_picked", F.coalesce(F.slice(F.col("_l._o"), F.lit(1), F.col("_need").cast("int")), F.array().cast("array<string>")))
-
-    # the draws are the expensive part; both the check and the completion read their result
-    found = cut(found.select(entity, attribute, "_need", "_picked"))
-    short = found.filter(F.size("_picked") < F.col("_need"))
-    if short.isEmpty():
-        full = found.withColumn("_others", F.col("_picked"))
-    else:
-        filled = _fill_short(short, excluded, freq, entity, attribute, options, seed + 2)
-        full = found.join(filled, [entity, attribute], "left")
-        extra = F.slice("_f", F.lit(1), (F.col("_need") - F.size("_picked")).cast("int"))
-        full = full.withColumn("_others", F.when(F.col("_f").isNull(), F.col("_picked")).otherwise(F.concat("_picked", extra)))
+
+    # a cut has the place it takes on the axis without the cuts ahead of it
+    cuts = held_o.unionByName(own.select(entity, "_o")).distinct().join(weights.select("_o", "_w", "_lo"), "_o")
+    cuts = running_total(cuts.select(entity, "_w", "_lo"), ["_lo"], F.col("_w"), "_sum", [entity])
+    marks = cut(cuts.select(entity, (F.col("_lo") - F.col("_sum") + F.col("_w")).alias("_at"), F.col("_w").alias("_gap")))
+    barred = marks.groupBy(entity).agg(F.sum("_gap").alias("_barred"))
 
     antos = chosen.groupBy(entity, attribute).agg(F.array_sort(F.collect_list("_o")).alias("_antos"))
-    full = full.join(antos, [entity, attribute], "left")
-    every = F.concat(F.array(attribute), F.coalesce("_antos", F.array().cast("array<string>")), F.col("_others"))
-    shuffled, gold = gold_index(every, F.col(attribute), seed + 3, F.col(entity))
+    no_names, no_picks = F.array().cast("array<string>"), F.array().cast("array<struct<at:bigint,w:bigint,o:string,round:int>>")
+    rows = held.join(antos, [entity, attribute], "left").join(barred, entity, "left").select(
+        entity, attribute, F.coalesce("_antos", no_names).alias("_antos"),
+        (F.lit(total) - F.coalesce("_barred", F.lit(0))).alias("_free"), no_picks.alias("_picks"))
+
+    done, round_ = [], 0
+    more = (F.size("_antos") + F.size("_picks") < options - 1) & (F.col("_free") > 0)
+    while round_ < options - 1:
+        round_ += 1
+        done.append(rows.filter(~more))
+        point = F.floor(uniform(seed + 1, entity, attribute, F.lit(round_)) * F.col("_free"))
+        # what this row has drawn before is cut out as well; picks are sorted by place
+        point = F.aggregate("_picks", point, lambda at, p: at + F.when(at >= p["at"], p["w"]).otherwise(0))
+        asks = rows.filter(more).select("*", point.alias("_at"), F.lit(0).cast("long").alias("_gap"), F.lit(1).alias("_kind"))
+        both = asks.unionByName(marks.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+        placed = running_total(both, ["_at", "_kind"], F.col("_gap"), "_before", [entity]).filter("_kind = 1")
+        placed = placed.withColumn("_t", F.col("_at") + F.col("_before")).withColumn("_cell", cell(F.col("_t")))
+        hit = placed.join(axis, "_cell").filter("_t >= _lo AND _t < _hi")
+        pick = F.struct((F.col("_lo") - F.col("_before")).alias("at"), F.col("_w").alias("w"), F.col("_o").cast("string").alias("o"), F.lit(round_).alias("round"))
+        rows = hit.select(
+            entity, attribute, "_antos", (F.col("_free") - F.col("_w")).alias("_free"),
+            F.array_sort(F.concat("_picks", F.array(pick))).alias("_picks"))
+    full = union_all([*done, rows])
+
+    drawn = F.transform(F.array_sort(F.transform("_picks", lambda p: F.struct(p["round"].alias("r"), p["o"].alias("o")))), lambda p: p["o"])
+    every = F.concat(F.array(F.col(attribute).cast("string")), "_antos", drawn)
+    shuffled, gold = gold_index(every, F.col(attribute).cast("string"), seed + 3, F.col(entity))
     out = full.select(entity, attribute, shuffled.alias("options"), gold.alias("label"))
     if not keep:
         return out
     return out.join(facts.groupBy(entity, attribute).agg(*[F.min(c).alias(c) for c in keep]), [entity, attribute])
 
 
-def _fill_short(
-    short: DataFrame, excluded: DataFrame, freq: DataFrame, entity: str, attribute: str, options: int, seed: int
-) -> DataFrame:
-    """(entity, attribute, _f): a weighted order of what is left for rows the draws left short.
-
-    Only their entities list their remaining vocabulary. Many draws miss only where little
-    weight is left, and pairs are formed by entity, never with the whole vocabulary.
-    """
-    vocab = global_index(freq.select("_o"), ["_o"], "_pos")
-    taken = cut(excluded.join(short.select(entity).distinct(), entity, "left_semi").join(vocab.select("_o"), "_o", "left_semi"))
-    size = vocab.agg(F.count(F.lit(1))).scalar()
-    left = taken.groupBy(entity).agg((size - F.count(F.lit(1))).alias("_left")).filter("_left > 0")
-    requests = left.select(entity, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_left") - 1)).alias("_r"))
-    remaining = _kth_missing(requests, taken, vocab, entity, "_o").select(entity, F.col("_other").alias("_o"))
-    rest = short.join(remaining, entity).filter(~F.array_contains("_picked", F.col("_o"))).join(freq, "_o")
-    key = -F.ln(F.greatest(uniform(seed, entity, attribute, "_o"), F.lit(1e-12))) / F.col("_w")
-    few = first_k(rest.withColumn("_k", key), [entity, attribute], ["_k", "_o"], options)
-    ordered = F.array_sort(F.collect_list(F.struct("_k", "_o")))
-    return few.groupBy(entity, attribute).agg(ordered.alias("_l")).select(entity, attribute, F.col("_l._o").alias("_f"))
-
-
 # --- divergence-minimising split ------------------------------------------------------------
 
 

@@ -79,7 +79,7 @@ def test_negatives_are_never_held(spark, sf_dir):
 def test_short_rows_are_completed_from_what_is_left(spark):
     facts = spark.createDataFrame([("hot", f"a{i}") for i in range(8)] + [("x", f"a{i}") for i in (0, 8, 9)] * 3, "e string, a string")
     relation = spark.createDataFrame([("none", "none")], "a string, antonym string")
-    out = sampling.multiclass_samples(facts, "e", "a", relation, 1, draws=2).collect()
+    out = sampling.multiclass_samples(facts, "e", "a", relation, 1).collect()
     for r in out:
         # two attributes are left for the hot entity, seven for the other
         assert len(set(r["options"])) == len(r["options"]) == (3 if r["e"] == "hot" else 5)
