@@ -140,9 +140,10 @@ def multiclass_samples(
 
     antos = chosen.groupBy(entity, attribute).agg(F.array_sort(F.collect_list("_o")).alias("_antos"))
     no_names, no_picks = F.array().cast("array<string>"), F.array().cast("array<struct<at:bigint,w:bigint,o:string,round:int>>")
-    rows = held.join(antos, [entity, attribute], "left").join(barred, entity, "left").select(
+    # each round's rows are written once: the range sort reads its input twice, and finished rows come from them as well
+    rows = cut(held.join(antos, [entity, attribute], "left").join(barred, entity, "left").select(
         entity, attribute, F.coalesce("_antos", no_names).alias("_antos"),
-        (F.lit(total) - F.coalesce("_barred", F.lit(0))).alias("_free"), no_picks.alias("_picks"))
+        (F.lit(total) - F.coalesce("_barred", F.lit(0))).alias("_free"), no_picks.alias("_picks")))
 
     done, round_ = [], 0
     more = (F.size("_antos") + F.size("_picks") < options - 1) & (F.col("_free") > 0)
@@ -158,9 +159,9 @@ def multiclass_samples(
         placed = placed.withColumn("_t", F.col("_at") + F.col("_before")).withColumn("_cell", cell(F.col("_t")))
         hit = placed.join(axis, "_cell").filter("_t >= _lo AND _t < _hi")
         pick = F.struct((F.col("_lo") - F.col("_before")).alias("at"), F.col("_w").alias("w"), F.col("_o").cast("string").alias("o"), F.lit(round_).alias("round"))
-        rows = hit.select(
+        rows = cut(hit.select(
             entity, attribute, "_antos", (F.col("_free") - F.col("_w")).alias("_free"),
-            F.array_sort(F.concat("_picks", F.array(pick))).alias("_picks"))
+            F.array_sort(F.concat("_picks", F.array(pick))).alias("_picks")))
     full = union_all([*done, rows])
 
     drawn = F.transform(F.array_sort(F.transform("_picks", lambda p: F.struct(p["round"].alias("r"), p["o"].alias("o")))), lambda p: p["o"])
@@ -181,21 +182,40 @@ def best_split(
     """(component, partition, divergence) of the random split whose dev and test attribute
     distributions diverge least from train, over the q most frequent attributes.
 
-    ``members`` has one row per (component, entity, attribute). All trials run in one job.
+    ``members`` has one row per (component, entity, attribute). All trials run in one job: a trial is its two
+    thresholds in the seeded order of the components, so only components are ranked, and members
+    meet one row per component that names its partition in every trial.
     """
-    counts = members.groupBy(component, attribute).agg(F.count(F.lit(1)).alias("_n"))
-    comps = counts.select(component).distinct()
-    n = comps.agg(F.count(F.lit(1))).scalar()
-    tried = comps.withColumn("_trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    tried = tried.withColumn("_h", key_hash(seed, "_trial", component))
-    ranked = global_index(tried, ["_h", component], "_rank", ["_trial"]).drop("_h")
-    n_train, n_dev = F.floor(n * F.lit(train)), F.floor(n * F.lit(dev))
-    part = F.when(F.col("_rank") < n_train, "train").when(F.col("_rank") < n_train + n_dev, "dev").otherwise("test")
-    split = ranked.select(component, "_trial", part.alias("partition"))
+    counts = cut(members.filter(F.col(component).isNotNull()).groupBy(component, attribute).agg(F.count(F.lit(1)).alias("_n")))
+    comps = cut(counts.select(component).distinct())
+    n = comps.count()
+    n_train, n_dev = math.floor(n * train), math.floor(n * dev)
+    every = F.sequence(F.lit(0), F.lit(trials - 1))
+    tried = comps.withColumn("_trial", F.explode(every)).withColumn("_h", key_hash(seed, "_trial", component))
+    ranked = global_index(tried, ["_h", component], "_rank", ["_trial"])
+
+    kind = members.schema[component].dataType
+    # two rows per trial, the first components of dev and test, come to the plan as constants; none where nothing is left
+    firsts = {(r["_trial"], r["_rank"]): r for r in ranked.filter(F.col("_rank").isin(n_train, n_train + n_dev)).collect()}
+
+    def ahead(place, trial, rank):
+        if rank >= n:
+            return F.lit(True)
+        marks = [firsts[(t, rank)] for t in range(trials)]
+        typed = [F.struct(F.lit(m["_h"]).alias("_h"), F.lit(m[component]).cast(kind).alias(component)) for m in marks]
+        return place < F.get(F.array(*typed), trial)
+
+    def part(trial):
+        place = F.struct(key_hash(seed, trial, component).alias("_h"), F.col(component))
+        return F.when(ahead(place, trial, n_train), "train").when(ahead(place, trial, n_train + n_dev), "dev").otherwise("test")
+
+    parts = comps.withColumn("_parts", F.transform(every, part))
+    split = counts.join(parts, component).select(attribute, "_n", F.posexplode("_parts").alias("_trial", "partition"))
 
     # attribute counts per trial and partition; the total of a partition counts every attribute
-    sums = split.join(counts, component).groupBy("_trial", attribute).pivot("partition", ["train", "dev", "test"]).agg(F.sum("_n"))
-    sums = sums.na.fill(0, ["train", "dev", "test"])
+    sums = split.groupBy("_trial", attribute).pivot("partition", ["train", "dev", "test"]).agg(F.sum("_n"))
+    # one row per trial and attribute, read for the totals and for the shares
+    sums = cut(sums.na.fill(0, ["train", "dev", "test"]))
     totals = sums.groupBy("_trial").agg(*[F.sum(c).alias(f"_{c}") for c in ("train", "dev", "test")])
     top = counts.groupBy(attribute).agg(F.sum("_n").alias("_n")).orderBy(F.col("_n").desc(), attribute).limit(q)
     dist = sums.join(top.select(attribute), attribute, "left_semi").join(totals, "_trial")
@@ -208,8 +228,10 @@ def best_split(
 
     kl = rel_entr(share("dev"), share("train")) + rel_entr(share("test"), share("train"))
     scores = dist.groupBy("_trial").agg(F.sum(kl).alias("divergence"))
-    best = scores.agg(F.min(F.struct("divergence", "_trial")).alias("b")).select("b.divergence", "b._trial")
-    return split.join(best, "_trial").select(component, "partition", "divergence")
+    best = scores.agg(F.min(F.struct("divergence", "_trial")).alias("b")).select("b.divergence", "b._trial").first()
+    if best is None or best["_trial"] is None:
+        return comps.limit(0).select(component, F.lit("").alias("partition"), F.lit(0.0).alias("divergence"))
+    return comps.select(component, part(F.lit(best["_trial"])).alias("partition"), F.lit(best["divergence"]).alias("divergence"))
 
 
 # --- few-shot examples ----------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Documents and a roster -> budgeted contexts: one lazy plan without files between the steps."""
+"""Documents and a roster -> budgeted contexts. Only the packed roster is written on the way, when the plan is built."""
 
 from __future__ import annotations
 
