@@ -135,6 +135,28 @@ def test_five_way_samples_keep_weight_and_partition(spark):
     assert all(r.options[r.label - 1] == r.t for r in got)
 
 
+def test_weighted_draws_follow_the_frequencies(spark):
+    """First draws of many entities: odds by frequency among what is neither held nor an antonym."""
+    import collections
+
+    # A is held by all, B is the antonym; C, D, E are free with frequencies 300, 200 and 100
+    rows = [(e, "A") for e in range(3000)] + [(10_000 + i, t) for t, n in (("B", 50), ("C", 300), ("D", 200), ("E", 100)) for i in range(n)]
+    facts = spark.createDataFrame(rows + [(None, "A"), (5, None)], "e int, t string")
+    relation = spark.createDataFrame([("A", "B")], "t string, antonym string")
+    got = sampling.multiclass_samples(facts, "e", "t", relation, 7, options=3).filter("e < 3000").collect()
+    others = collections.Counter(o for r in got for o in r.options if o not in "AB")
+    assert len(got) == 3000 and all(len(r.options) == 3 and {"A", "B"} <= set(r.options) for r in got)
+    assert all(abs(others[t] / 3000 - share) < 0.04 for t, share in (("C", 1 / 2), ("D", 1 / 3), ("E", 1 / 6)))
+
+
+def test_best_split_of_little(spark):
+    members = spark.createDataFrame([(f"c{i}", "x") for i in range(6)] + [(None, "x")], "c string, t string")
+    got = sampling.best_split(members, "c", "t", 0.5, 0.25, 3, 4, 1).collect()
+    assert sorted(r.partition for r in got) == ["dev", "test", "test", "train", "train", "train"]
+    assert {r.partition for r in sampling.best_split(members, "c", "t", 1.0, 0.0, 3, 4, 1).collect()} == {"train"}
+    assert sampling.best_split(members.limit(0), "c", "t", 0.5, 0.25, 3, 4, 1).collect() == []
+
+
 def test_breaker_over_batches(spark, tmp_path):
     """A run that goes on over batches, one that a success breaks, and a source that trips only once."""
     from docattr.streaming import ingest
