@@ -113,13 +113,12 @@ def split_paragraphs(text: Column, spans: Column, min_words: int) -> Column:
         starts = offsets(F.transform(lines, lambda t: F.length(t)), 1)
 
         def numbered(y):
-            last = F.element_at(y["g"], -1)
+            # lines at which a group begins; groups are runs, so each ends where the next begins
+            begins = F.transform(y["g"], lambda g, i: F.when((i == 0) | (g != F.get(y["g"], i - 1)), i))
 
-            def part(g):
-                first = F.array_position(y["g"], g).cast("int")
-                n = F.size(F.filter(y["g"], lambda h: h == g))
-                t = F.array_join(F.slice(lines, first, n), "\n")
-                lo = F.get(y["at"], first - 1)
+            def part(first, n):
+                t = F.array_join(F.slice(lines, first + 1, n), "\n")
+                lo = F.get(y["at"], first)
 
                 def inner(z):
                     hi = lo + F.length(z)
@@ -129,7 +128,8 @@ def split_paragraphs(text: Column, spans: Column, min_words: int) -> Column:
 
                 return bind(t, inner)
 
-            return F.transform(F.sequence(F.lit(0), last), part)
+            return bind(F.filter(begins, lambda i: i.isNotNull()), lambda f: F.transform(
+                f, lambda first, k: part(first, F.coalesce(F.get(f, k + 1), F.size(y["g"])) - first)))
 
         return bind(F.struct(groups.alias("g"), starts.alias("at")), numbered)
 
