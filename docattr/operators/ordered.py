@@ -192,24 +192,16 @@ def pack_min(sizes: Column, minimum: int) -> Column:
 
 def islands(flags: Column) -> Column:
     """Maximal runs of true flags as array<struct(lo, hi)> of 0-based inclusive positions."""
-    empty = F.array().cast("array<struct<lo:int,hi:int>>")
-    start = F.struct(empty.alias("runs"), F.lit(0).alias("i"), F.lit(False).alias("prev"))
-
-    def step(s, flag):
-        i, runs = s["i"], s["runs"]
-        n = F.size(runs)
-        grown = F.concat(
-            F.slice(runs, F.lit(1), F.greatest(n - 1, F.lit(0))),
-            F.array(F.struct(F.get(runs, n - 1)["lo"].alias("lo"), i.alias("hi"))),
-        )
-        added = F.concat(runs, F.array(F.struct(i.alias("lo"), i.alias("hi"))))
-        return F.struct(
-            F.when(~flag, runs).when(s["prev"], grown).otherwise(added).alias("runs"),
-            (i + 1).alias("i"),
-            flag.alias("prev"),
-        )
 
-    return F.aggregate(flags, start, step, lambda s: s["runs"])
+    def build(fs):
+        def edges(step):
+            at = F.transform(fs, lambda f, i: F.when(f & ~F.coalesce(F.get(fs, i + step), F.lit(False)), i))
+            return F.filter(at, lambda i: i.isNotNull())
+
+        # a run begins where the flag before is not set and ends where the next is not
+        return F.zip_with(edges(-1), edges(1), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+
+    return bind(flags, build)
 
 
 def budget_prefix(sizes: Column, budget: int) -> Column:
