@@ -254,7 +254,11 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, trees
 def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, trees: int = TREES) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each class stays: the one with the smallest id, ids that
     are null last, rows with one id by their key; of equal rows one stays."""
-    found = classes(docs, shingle, radius, trees)
+    return kept(docs, classes(docs, shingle, radius, trees))
+
+
+def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The representatives of the classes ``found``, which have (doc_id, row, root) of every row."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     keepers = cut(found.groupBy("root").agg(F.min(order).alias("k")).select("k.row.*"))
     keyed = docs.withColumns({"_a": row_key("doc_id", "text")["a"], "_b": row_key("doc_id", "text")["b"]})

@@ -123,6 +123,51 @@ def test_no_documents(spark):
     assert simhash.classes(frame(spark, [])).collect() == [] and simhash.representatives(frame(spark, [])).collect() == []
 
 
+def plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_corpus():
+    """Groups of texts with 1 to 14 words of 300 changed, whose five-word similarity is far above and around 0.8."""
+    rnd = random.Random(8)
+    rows = []
+    for group in range(25):
+        base = [f"g{rnd.randint(0, 3000)}" for _ in range(300)]
+        for copy in range(4):
+            words = list(base)
+            for at in rnd.sample(range(300), rnd.randint(1, 14) if copy else 0):
+                words[at] = f"e{rnd.randint(0, 10**6)}"
+            rows.append((group * 10 + copy, " ".join(words), "s"))
+    return rows + [(900, "Four short words here", "s"), (901, "four  short words HERE", "s"), (902, None, "s"), (903, " ", "s"),
+                   (None, rows[0][1].upper(), "s"), rows[1]]
+
+
+def test_near_copies_of_the_pipeline(spark):
+    rows = similar_corpus()
+    fps, sets = [plain_simhash(t) for _, t, _ in rows], [plain_shingles(t) for _, t, _ in rows]
+    parent, far = list(range(len(rows))), 0
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            similar = sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            far += bool(similar and (fps[i] ^ fps[j]).bit_count() > 3)
+            if similar or (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    groups = {}
+    for i, (key, _, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append((key is None, key))
+    stay = corpus_pipeline.drop_near_copies(spark, frame(spark, rows).repartition(3), "")
+    assert far > 20  # pairs that op3's radius does not hold
+    assert sorted(r.doc_id for r in stay.collect()) == sorted(min(g)[1] for g in groups.values())
+
+
 # --- chats --------------------------------------------------------------------------------
 
 MESSAGES = "conv_id long, turn long, role string, text string, level long, status string"
