@@ -238,6 +238,12 @@ def test_redaction_of_edges(spark, docs, empty):
     assert sorted(r.text for r in pii.redact(both).collect()) == ["[EMAIL]", "at [EMAIL] now", "at [EMAIL] now", "at noon"]
 
 
+def test_overlapping_spans_leave_no_tail(spark):
+    texts = ["a +49 12345678901@mail.com b", "4111 1111 1111 111 1.2.3.4 c", "10.1.1.1@h.de +49 12345678901@mail.com", "+49 1234567890 a@b.co"]
+    got = {r.doc_id: r.text for r in pii.redact(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: "a [PHONE] b", 1: "[CARD] c", 2: "[EMAIL] [PHONE]", 3: "[PHONE] [EMAIL]"}
+
+
 # --- substrings ---------------------------------------------------------------------------
 
 
