@@ -1,14 +1,15 @@
 """Chat formatting: linking tool calls with their results.
 
 Messages (conv_id, turn, role, text) hold calls and results as JSON: an assistant's text is an object
-with ``tool_calls`` (a list of id, name, arguments and, where a call waits for another, ``after``, its
-id), a tool's text an object with ``tool_call_id`` and ``content``. Every call is joined with its
+with ``tool_calls`` (a list of id, name, arguments and, where a call waits for others, ``after``, their
+id or a list of ids), a tool's text an object with ``tool_call_id`` and ``content``. Every call is joined with its
 result by (conversation, identifier), ordered behind the calls it waits for, checked against its tool's
 schema and written as one canonical JSON record; other messages are records of their own.
 
-The waiting relation is a forest, so a call's depth is found by pointer doubling: each round a call looks
+Calls that wait for one other form chains, and depth along them is found by pointer doubling: each round a call looks
 at the pointer of its pointer, which takes logarithmically many rounds for a chain, and calls on a cycle are those that
-never reach a root. Records are ordered by (depth-respecting) ``level``, turn and place; no
+never reach a root. Chains end at calls that wait for several; these take one more round for each such call on
+the longest path, a call's level being one more than the highest it waits for. Records are ordered by (depth-respecting) ``level``, turn and place; no
 conversation is ever gathered in one task, whatever its length.
 
 Canonical JSON has sorted keys, no blanks, no escapes but the necessary ones, and no NaN.
@@ -17,8 +18,10 @@ Defined cases: a null or unreadable text is a plain message; a call without id o
 message, too; of several calls with one id in a conversation the first by (turn, place) stands and the
 others are ``duplicate_call``, likewise results (``duplicate_result``); a result without call is an
 ``orphan_result``; a call without result is ``unanswered``; a result ahead of its call is linked and put behind it; a
-call that waits for itself, a later cycle or an unknown id is ``cycle`` or ``missing_dependency``; null
-conversations form one conversation; repeated rows are messages of their own; an empty table gives
+call that waits for itself, a later cycle or an unknown id is ``cycle`` or ``missing_dependency`` (``cycle`` if
+both), and what stands in ``after`` but is no string is an unknown id; null
+conversations form one conversation; repeated rows are messages of their own, so all calls but one of equal rows
+are ``duplicate_call``; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -95,8 +98,8 @@ def violations(value, schema: dict, at: str = "$") -> list[str]:
 
 _ITEMS = pa.schema([
     ("conv_id", pa.int64()), ("turn", pa.int64()), ("place", pa.int64()), ("kind", pa.string()), ("call_id", pa.string()),
-    ("after", pa.string()), ("name", pa.string()), ("body", pa.string()), ("problems", pa.string())])
-_ITEMS_SQL = ("conv_id long, turn long, place long, kind string, call_id string, after string, name string, body string, "
+    ("after", pa.list_(pa.string())), ("name", pa.string()), ("body", pa.string()), ("problems", pa.string())])
+_ITEMS_SQL = ("conv_id long, turn long, place long, kind string, call_id string, after array<string>, name string, body string, "
               "problems string")
 
 
@@ -122,7 +125,8 @@ def items(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 for c in calls:
                     arguments, after = c.get("arguments", {}), c.get("after")
                     broken = violations(arguments, schemas[c["name"]]) if c["name"] in schemas else ["unknown tool"]
-                    after = after if isinstance(after, str) else None
+                    after = [] if after is None else after if isinstance(after, list) else [after]
+                    after = sorted({x if isinstance(x, str) else f"\0{canonical(x)}" for x in after})
                     rows.append(("call", c["id"], after, c["name"], canonical(arguments), ";".join(broken)))
                 return rows
         except (ValueError, RecursionError):
@@ -142,40 +146,72 @@ def items(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 
 
 def _first(rows: DataFrame) -> DataFrame:
-    """The first row of every (conv_id, call_id), reduced map-side; ``copies`` counts all of them."""
-    order = F.struct("turn", "place", "body", "after", "name", "problems")
-    return rows.groupBy("conv_id", "call_id").agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("copies")).select(
-        "conv_id", "call_id", "f.*", "copies")
+    """The first row of every (conv_id, call_id), reduced map-side; of equal rows the one with the smallest ``number``."""
+    order = F.struct("turn", "place", "body", "after", "name", "problems", "number")
+    return rows.groupBy("conv_id", "call_id").agg(F.min(order).alias("f")).select("conv_id", "call_id", "f.*")
 
 
 def levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level, state): number of calls to wait for; state is ``ok``, ``missing_dependency`` or ``cycle``."""
-    step = cut(calls.select("conv_id", "call_id", F.col("after").alias("to"), F.when(
-        F.col("after").isNull(), 0).otherwise(1).cast("long").alias("level"), F.lit(False).alias("lost")))
+    several = F.size("after") > 1
+    step = cut(calls.select(
+        "conv_id", "call_id", F.when(~several, F.get("after", F.lit(0))).alias("to"),
+        F.when(F.size("after") == 1, 1).otherwise(0).cast("long").alias("level"), F.lit(False).alias("lost"),
+        F.when(several, F.col("call_id")).alias("base")))
     rounds = max(1, math.ceil(math.log2(step.count() + 1)) + 1)
     for _ in range(rounds):
         if step.filter("to IS NOT NULL").isEmpty():
             break
         ahead = step.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.col("to").alias("_to"),
-                            F.col("level").alias("_level"), F.col("lost").alias("_lost"))
+                            F.col("level").alias("_level"), F.col("lost").alias("_lost"), F.col("base").alias("_base"))
         waiting = step.filter("to IS NOT NULL").join(
             ahead, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("to") == F.col("_i")), "left")
         moved = waiting.select("conv_id", "call_id", F.col("_to").alias("to"), F.when(
             F.col("_i").isNull(), F.col("level") - 1).otherwise(F.col("level") + F.col("_level")).alias("level"),
-            (F.col("_i").isNull() | F.coalesce("_lost", F.lit(False))).alias("lost"))
+            (F.col("_i").isNull() | F.coalesce("_lost", F.lit(False))).alias("lost"), F.col("_base").alias("base"))
         last, step = step, cut(step.filter("to IS NULL").unionByName(moved))
         discard(last)
+    if not step.filter("base IS NOT NULL").isEmpty():
+        solved = _joined_levels(calls.filter(several), step)
+        same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("base") == F.col("_b"))
+        step = step.join(solved, same, "left").select(
+            "conv_id", "call_id", F.when(F.col("_b").isNull(), F.coalesce("to", "base")).alias("to"),
+            (F.col("level") + F.coalesce("_high", F.lit(0))).alias("level"),
+            (F.col("lost") | F.coalesce("_gone", F.lit(False))).alias("lost"))
     state = F.when(F.col("to").isNotNull(), "cycle").when(F.col("lost"), "missing_dependency").otherwise("ok")
     return step.select("conv_id", "call_id", F.when(F.col("to").isNull(), F.col("level")).alias("level"), state.alias("state"))
 
 
+def _joined_levels(several: DataFrame, step: DataFrame) -> DataFrame:
+    """(_c, _b, _high, _gone): level of every call that waits for several and reaches no cycle, and whether one it
+    waits for is unknown; ``step`` has the ends of all chains."""
+    ends = step.select(F.col("conv_id").alias("_ec"), F.col("call_id").alias("_e"), "to", "level", "lost", "base")
+    waits = several.select("conv_id", "call_id", F.explode("after").alias("on")).join(
+        ends, F.col("conv_id").eqNullSafe(F.col("_ec")) & (F.col("on") == F.col("_e")), "left")
+    waits = cut(waits.select("conv_id", "call_id", F.col("_e").isNull().alias("unknown"), "to", "level", "lost", "base"))
+    solved = cut(several.sparkSession.createDataFrame([], "_c long, _b string, _high long, _gone boolean"))
+    count = 0
+    while True:
+        met = waits.join(solved, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("base") == F.col("_b")), "left")
+        known = F.col("to").isNull() & (F.col("base").isNull() | F.col("_b").isNotNull())
+        high = F.when(F.col("unknown"), F.lit(0)).otherwise(F.col("level") + F.coalesce("_high", F.lit(0)) + 1)
+        gone = F.col("unknown") | F.coalesce("lost", F.lit(False)) | F.coalesce("_gone", F.lit(False))
+        ready = met.groupBy("conv_id", "call_id").agg(
+            F.bool_and(known).alias("ready"), F.max(high).alias("_high"), F.bool_or(gone).alias("_gone")).filter("ready")
+        last, solved = solved, cut(ready.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_b"), "_high", "_gone"))
+        discard(last)
+        before, count = count, solved.count()
+        if count == before:
+            return solved
+
+
 def linked(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame:
     """One record per call, unlinked result and plain message.
 
     Columns: conv_id, level, turn, place, kind, call_id, status, problems, json. Sorted by (conv_id, level,
     turn, place) calls come behind what they wait for, each with its result in the record.
     """
-    rows = cut(items(messages, schemas))
+    rows = cut(items(messages, schemas).withColumn("number", F.monotonically_increasing_id()))
     calls = _first(rows.filter("kind = 'call'"))
     results = _first(rows.filter("kind = 'result'"))
     answer = results.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.col("body").alias("result"))
@@ -203,10 +239,9 @@ def linked(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame
 
     def others(kind: str, firsts: DataFrame) -> DataFrame:
         """Rows of a kind behind the first of their identifier."""
-        f = firsts.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.col("turn").alias("_t"), F.col("place").alias("_p"))
+        f = firsts.select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), F.col("number").alias("_n"))
         same = F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("call_id") == F.col("_i"))
-        later = rows.filter(F.col("kind") == kind).join(f, same).filter(
-            ~(F.col("turn").eqNullSafe(F.col("_t")) & F.col("place").eqNullSafe(F.col("_p"))))
+        later = rows.filter(F.col("kind") == kind).join(f, same).filter(F.col("number") != F.col("_n"))
         return later.select("conv_id", zero.alias("level"), "turn", "place", "kind", "call_id",
                             F.lit(f"duplicate_{kind}").alias("status"), "problems", F.col("body").alias("json"))
 

@@ -213,6 +213,29 @@ def test_long_chains_of_calls(spark):
     assert {r.turn: r.level for r in got} == {i: i for i in range(200)}
 
 
+def test_repeated_turns_are_all_there(spark):
+    turns = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, "assistant", "r"), (1, 1, "assistant", "r"),
+             (1, 1, "assistant", "s"), (2, 5, "assistant", "lost"), (2, 5, "assistant", "lost"), (None, 0, "user", "n"), (None, 0, "user", "n")]
+    got = chat.linked(chat.as_calls(spark.createDataFrame([(*r, 0, "") for r in turns], MESSAGES))).collect()
+    assert sorted((r.conv_id or 0, r.turn, r.status) for r in got) == [
+        (0, 0, "duplicate_call"), (0, 0, "unanswered"), (1, 0, "duplicate_call"), (1, 0, "duplicate_call"), (1, 0, "ok"),
+        (1, 1, "duplicate_result"), (1, 1, "duplicate_result"), (2, 5, "duplicate_result"), (2, 5, "orphan_result")]
+    assert sorted(json.loads(r.json)["question"] for r in got if r.status == "duplicate_call" and r.conv_id) == ["a", "b"]
+
+
+def test_calls_that_wait_for_several(spark):
+    waits = {"a": None, "b": "a", "c": ["a", "b"], "d": ["c"], "e": ["d", "a", "c"], "f": ["e", "none"], "g": "f", "h": ["a", "i"],
+             "i": "h", "j": ["a", "i"], "k": [], "l": ["a", 5], "m": ["m", "a"], "n": ["none", "j"]}
+    calls = [{"id": i, "name": "reply", "arguments": {"question": "q", "turn": 1}, "after": after} for i, after in waits.items()]
+    rows = [(c, 0, "assistant", json.dumps({"tool_calls": calls}), 0, "") for c in (1, None)]
+    got = chat.linked(spark.createDataFrame(rows, MESSAGES)).collect()
+    want = {"a": ("unanswered", 0), "b": ("unanswered", 1), "c": ("unanswered", 2), "d": ("unanswered", 3), "e": ("unanswered", 4),
+            "f": ("missing_dependency", 5), "g": ("missing_dependency", 6), "h": ("cycle", None), "i": ("cycle", None),
+            "j": ("cycle", None), "k": ("unanswered", 0), "l": ("missing_dependency", 1), "m": ("cycle", None), "n": ("cycle", None)}
+    assert {(r.conv_id, r.call_id): (r.status, r.level) for r in got} == {(c, i): w for c in (1, None) for i, w in want.items()}
+    assert len(got) == 2 * len(waits)
+
+
 def test_no_messages(spark):
     assert chat.linked(spark.createDataFrame([], MESSAGES)).collect() == []
 
