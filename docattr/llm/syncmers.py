@@ -8,7 +8,8 @@ of a document's anchors, and the likeness of two fingerprints estimates the shar
 anchors among all of both. Everything is built-in expressions inside the row.
 
 Defined cases: a null or blank text has no anchors and the empty fingerprint; a text of fewer than ``k`` words
-has one anchor, its whole word sequence; two empty fingerprints have likeness 1, an empty and another
+has one anchor, its whole word sequence; one of ``k`` words or more without a closed syncmer (some of up to
+11 words at 8 and 3) has one anchor, its k-run of the smallest hash; two empty fingerprints have likeness 1, an empty and another
 one 0; ties of the smallest hash count as an edge if an edge has it; equal texts have equal
 fingerprints; other columns are ignored. For ``with_next``: rows are ordered by descending id, then by
 text hash, nulls last; repeated rows are documents of their own, and a single document is its
@@ -44,10 +45,15 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
                 edge = F.least(F.get(h, i), F.get(h, i + (k - s)))
                 return edge <= F.least(*[F.get(h, i + j) for j in range(1, k - s)])
 
-            starts = F.filter(F.sequence(F.lit(0), size - k), closed)
-            return F.transform(starts, lambda i: F.struct(
-                i.alias("pos"), F.xxhash64(F.get(h, i), *[F.get(h, i + j) for j in range(s, k - s + 1, s)],
-                                           F.get(h, i + (k - s))).alias("hash")))
+            def anchor(i: Column) -> Column:
+                return F.struct(i.alias("pos"), F.xxhash64(
+                    F.get(h, i), *[F.get(h, i + j) for j in range(s, k - s + 1, s)], F.get(h, i + (k - s))).alias("hash"))
+
+            every = F.sequence(F.lit(0), size - k)
+            lone = F.array_min(F.transform(every, lambda i: F.struct(anchor(i)["hash"].alias("hash"), i.alias("pos"))))
+            return bind(F.filter(every, closed), lambda starts: F.when(
+                F.size(starts) > 0, F.transform(starts, anchor)).otherwise(
+                F.array(F.struct(lone["pos"].alias("pos"), lone["hash"].alias("hash")))))
 
         one = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(w).alias("hash")))
         none = F.slice(one, 1, 0)

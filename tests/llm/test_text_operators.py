@@ -321,6 +321,14 @@ def test_anchors_do_not_depend_on_context(spark):
     assert one and one == two
 
 
+def test_every_text_with_words_has_an_anchor(spark):
+    rnd = random.Random(6)
+    texts = [" ".join(f"v{rnd.randint(0, 10**6)}" for _ in range(n)) for n in range(1, 14) for _ in range(12)]
+    got = syncmers.edit_report(frame(spark, [(i, t, "s") for i, t in enumerate(texts)] + [(-1, " ", "s")])).collect()
+    assert len({r.fingerprint for r in got}) == len(texts) + 1
+    assert all(r.near_next == 0 for r in got)
+
+
 def test_positional_matches(spark):
     text = " ".join(f"p{i}" for i in range(60))
     df = spark.createDataFrame([(text, "new words ahead " + text)], "a string, b string").select(
