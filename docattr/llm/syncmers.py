@@ -3,9 +3,8 @@
 Of the ``k - s + 1`` runs of ``s`` words inside a run of ``k`` words, take the one with the smallest hash; the
 k-run is a closed syncmer if that is its first or its last one. Whether a run is chosen depends on
 its own words only, so two texts that share a passage share its anchors wherever it stands, and the
-anchors' positions align the passages. A fingerprint is the ``SKETCH`` smallest distinct hashes
-of a document's anchors, and the likeness of two fingerprints estimates the share of common
-anchors among all of both. Everything is built-in expressions inside the row.
+anchors' positions align the passages (``matches``). The likeness of two texts is the share of common anchors among all
+distinct ones of both, none left out, whatever the length; the fingerprint is a digest of all of them. Everything is built-in expressions inside the row.
 
 Defined cases: a null or blank text has no anchors and the empty fingerprint; a text of fewer than ``k`` words
 has one anchor, its whole word sequence; one of ``k`` words or more without a closed syncmer (some of up to
@@ -28,7 +27,6 @@ from docattr.operators.ordered import bind
 
 K = 8
 S = 3
-SKETCH = 32
 #: Ranges of the document order per shuffle partition.
 RANGES = 4
 
@@ -62,21 +60,23 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return bind(words(text), chosen)
 
 
-def sketch(found: Column, size: int = SKETCH) -> Column:
-    """The ``size`` smallest distinct anchor hashes, in order."""
-    return F.slice(F.array_sort(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, size)
+def hashes(found: Column) -> Column:
+    """The distinct anchor hashes, in order."""
+    return F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"])))
 
 
-def as_text(fingerprint: Column) -> Column:
-    """Fixed-width hexadecimal digits of the hashes, joined."""
-    return F.array_join(F.transform(fingerprint, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+def fingerprint(every: Column) -> Column:
+    """SHA-256 over all hashes as fixed-width hexadecimal digits; empty if there are none."""
+    digits = F.array_join(F.transform(every, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+    return F.when(F.size(every) == 0, "").otherwise(F.sha2(digits, 256))
 
 
-def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Share of common anchors among the ``size`` smallest of both fingerprints, 0 to 1."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    common = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    return F.when(F.size(union) == 0, F.lit(1.0)).otherwise(common / F.size(union))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common hashes among all of both, 0 to 1."""
+    def of(common: Column) -> Column:
+        return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(common / (F.size(a) + F.size(b) - common))
+
+    return bind(F.size(F.array_intersect(a, b)), of)
 
 
 def matches(a: Column, b: Column) -> Column:
@@ -130,15 +130,15 @@ def edited(text: Column, following: Column) -> Column:
     return F.concat(F.left(text, F.length(text) - half), F.left(following, half))
 
 
-def edit_report(docs: DataFrame, k: int = K, s: int = S, size: int = SKETCH) -> DataFrame:
+def edit_report(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likeness."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows, lambda r: r.withColumn("print", sketch(anchors(F.col("text"), k, s), size)), ["text", "print"])
-    rows = rows.select("doc_id", F.length("text").alias("n_chars"), "print", "next_print",
-                       edited(F.col("text"), F.col("next_text")).alias("text"))
-    rows = rows.withColumn("edited", F.explode(F.array(sketch(anchors(F.col("text"), k, s), size))))
+    rows = with_next(rows, lambda r: r, ["text"])
+    rows = rows.withColumn("changed", edited(F.col("text"), F.col("next_text")))
+    # the texts travel, not their anchors, which would take more room
+    for c, name in (("text", "own"), ("changed", "new"), ("next_text", "other")):
+        rows = rows.withColumn(name, F.explode(F.array(hashes(anchors(F.col(c), k, s)))))
     return rows.select(
-        "doc_id", F.col("n_chars").cast("long"), F.sha2("text", 256).alias("edited_sha256"),
-        as_text(F.col("print")).alias("fingerprint"), as_text(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("print"), F.col("edited"), size).alias("near_edited"),
-        likeness(F.col("print"), F.col("next_print"), size).alias("near_next"))
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"),
+        fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("new")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("new")).alias("near_edited"), likeness(F.col("own"), F.col("other")).alias("near_next"))

@@ -337,6 +337,20 @@ def test_positional_matches(spark):
     assert shifts == {3}
 
 
+def test_a_passage_of_long_texts_is_found(spark):
+    """Likeness counts all anchors: a shared passage of 100 words of 5000 shows."""
+    rnd = random.Random(9)
+    own = [[f"v{rnd.randint(0, 10**7)}" for _ in range(5000)] for _ in range(2)]
+    own[1][2000:2100] = own[0][700:800]
+    df = spark.createDataFrame([tuple(map(" ".join, own))], "a string, b string").select(
+        syncmers.anchors("a").alias("a"), syncmers.anchors("b").alias("b"))
+    r = df.first()
+    a, b = {x.hash for x in r.a}, {x.hash for x in r.b}
+    assert len(a & b) > 10
+    got = {r.doc_id: r.near_next for r in syncmers.edit_report(frame(spark, [(i, " ".join(w), "s") for i, w in enumerate(own)])).collect()}
+    assert got == {0: pytest.approx(len(a & b) / len(a | b)), 1: pytest.approx(len(a & b) / len(a | b))}
+
+
 def test_edit_report(spark, docs, rows):
     got = syncmers.edit_report(docs).collect()
     assert len(got) == len(rows)
