@@ -230,11 +230,8 @@ def _search_shards(distinct: DataFrame, window: int, shards) -> DataFrame:
 
     def run(_key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table[c].to_pylist() for c in ("anchor", "k1", "k2", "start", "words")), strict=True))
-        out, current, automaton, before = [], None, None, None
+        out, current, automaton = [], None, None
         for anchor, k1, k2, start, part in rows:
-            if (anchor, k1, k2, start) == before:
-                continue  # a document given twice
-            before = (anchor, k1, k2, start)
             if anchor != current:
                 current, automaton = anchor, SuffixAutomaton()
             words = part.split()
@@ -314,14 +311,17 @@ def _without(texts: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
              shard_segments: int = SHARD_SEGMENTS) -> tuple[DataFrame, DataFrame]:
-    """(scan, cleaned): one row per row of ``docs`` as ``scanned``, and (k1, k2, n_removed, kept) of those
+    """(scan, cleaned): one row per row of ``docs`` as ``scanned``, and one (k1, k2, n_removed, kept) for each of those
     documents that lose words; ``kept`` holds the remaining words joined by blanks."""
     scan = cut(scanned(docs, window, anchor))
-    each = scan.select("k1", F.explode("anchors").alias("a")).select("k1", F.col("a.hash").alias("hash"), F.col("a.n").alias("n"))
+    each = scan.select("k1", "k2", F.explode("anchors").alias("a")).select(
+        "k1", "k2", F.col("a.hash").alias("hash"), F.col("a.n").alias("n"))
     shared = each.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash")
-    wanted = each.select("k1", "hash").join(shared, "hash", "left_semi").groupBy("k1").agg(F.collect_set("hash").alias("kept"))
-    # from here on only documents that share an anchor
-    texts = cut(_key(docs).select("k1", "k2", "text").join(wanted, "k1"))
+    wanted = each.select("k1", "k2", "hash").join(shared, "hash", "left_semi").groupBy("k1", "k2").agg(
+        F.collect_set("hash").alias("kept"))
+    # from here on only documents that share an anchor, and equal rows are one
+    unique = _key(docs).groupBy("k1", "k2").agg(F.min("text").alias("text"))
+    texts = cut(unique.join(wanted, ["k1", "k2"]))
     spans = repeated_spans(texts, window, anchor, shard_segments)
     listed = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cleaned = _without(texts.select("k1", "k2", "text").join(listed, ["k1", "k2"]))
@@ -331,7 +331,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 def report(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     scan, cleaned = repeated(docs, window, anchor, shard_segments)
-    lost = cleaned.select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("sha")).dropDuplicates(["k1", "k2"])
+    lost = cleaned.select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("sha"))
     joined = scan.join(lost, ["k1", "k2"], "left")
     return joined.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
                          F.coalesce("sha", "whole").alias("kept_sha256"))

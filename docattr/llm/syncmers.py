@@ -29,6 +29,8 @@ K = 8
 S = 3
 #: Ranges of the document order per shuffle partition.
 RANGES = 4
+#: Rows that the ranges are fitted on; they steer sizes only.
+SAMPLE = 16384
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -95,30 +97,35 @@ def with_next(rows: DataFrame, add: Callable[[DataFrame], DataFrame], columns: l
     """(doc_id, columns, next_columns): ``columns`` of ``add(rows)``, and those of the next document in descending
     order of id; the last one's is the first. ``rows`` has ``doc_id`` and ``text``; ``add`` works row by row.
 
-    Rows are cut into ranges of ids at approximate quantiles; inside a range the next row is a window
-    away, and the first row of each range, one per range, is copied behind the last row of the range before.
+    Rows are cut into ranges of (id, text hash) at quantiles of a sample, so rows without id or with one id are spread
+    like others; inside a range the next row is a window away, and the first row of each range, one per
+    range, is copied behind the last row of the range before.
     """
     spark = rows.sparkSession
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    points = [i / ranges for i in range(1, ranges)]
-    bounds = rows.agg(F.percentile_approx("doc_id", points, 10 * ranges).alias("b")).first()["b"] or []
-    at = F.aggregate(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<bigint>"), F.lit(0),
-                     lambda n, b: n + (F.col("doc_id") <= b).cast("int"))
-    placed = rows.withColumn("_at", F.when(F.col("doc_id").isNull(), F.lit(1 << 30)).otherwise(at))
-    tie = F.xxhash64("text")
+    # ~x is -x - 1, which no id overflows
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.bitwise_not(F.coalesce("doc_id", F.lit(0))).alias("d"),
+                     F.xxhash64("text").alias("tie"))
+    keyed = rows.select("doc_id", "text", place.alias("_place"))
+    sample = keyed.select("_place").orderBy(F.xxhash64(F.lit(3), "_place"), "_place").limit(SAMPLE).collect()
+    seen = sorted(tuple(r["_place"]) for r in sample)
+    bounds = sorted({seen[len(seen) * i // ranges] for i in range(1, ranges)}) if seen else []
+    listed = F.array(*[F.struct(F.lit(n).alias("none"), F.lit(d).cast("long").alias("d"), F.lit(h).cast("long").alias("tie"))
+                       for n, d, h in bounds]).cast("array<struct<none:boolean,d:bigint,tie:bigint>>")
+    at = F.aggregate(listed, F.lit(0), lambda n, b: n + (b <= F.col("_place")).cast("int"))
+    placed = keyed.withColumn("_at", at)
     # one row per range: its number, the key of its first row and the range before it
-    first = F.min(F.struct((-F.coalesce("doc_id", F.lit(0))).alias("d"), tie.alias("tie")))
     loop = Window.orderBy("_at")
-    heads = placed.groupBy("_at").agg(first.alias("_first"), F.max("doc_id").alias("_id")).select(
-        F.col("_id").alias("_hid"), F.col("_first.tie").alias("_htie"),
+    heads = placed.groupBy("_at").agg(F.min("_place").alias("_first")).select(
+        F.col("_first").alias("_head"),
         F.coalesce(F.lag("_at").over(loop), F.max("_at").over(Window.partitionBy())).alias("_before"))
-    found = placed.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_hid")) & (tie == F.col("_htie")))
+    found = placed.join(F.broadcast(heads), F.col("_place") == F.col("_head"))
     # each range also gets a copy of the row that follows its last one; it is dropped after the window
-    ghosts = found.select("doc_id", "text", F.col("_before").alias("_at"), F.lit(1).alias("_ghost"))
-    every = placed.select("doc_id", "text", "_at", F.lit(0).alias("_ghost")).unionByName(ghosts)
+    ghosts = found.select("doc_id", "text", "_place", F.col("_before").alias("_at"), F.lit(1).alias("_ghost")).dropDuplicates(["_at"])
+    every = placed.select("doc_id", "text", "_place", "_at", F.lit(0).alias("_ghost")).unionByName(ghosts)
     # the text travels once, inside the struct that the window looks ahead to
-    every = add(every).select("doc_id", "_at", "_ghost", tie.alias("_tie"), F.struct(*columns).alias("_me"))
-    order = Window.partitionBy("_at").orderBy("_ghost", F.col("doc_id").desc_nulls_last(), "_tie")
+    every = add(every).select("doc_id", "_at", "_ghost", "_place", F.struct(*columns).alias("_me"))
+    order = Window.partitionBy("_at").orderBy("_ghost", "_place")
     whole = every.withColumn("_next", F.lead("_me").over(order)).filter("_ghost = 0")
     return whole.select("doc_id", *[F.col(f"_me.{c}").alias(c) for c in columns],
                         *[F.col(f"_next.{c}").alias(f"next_{c}") for c in columns])

@@ -275,6 +275,23 @@ def test_repeated_passages_of_short_windows(docs, rows):
     assert got == plain_removal(rows, 6)
 
 
+def test_rows_without_id_are_documents_of_their_own(spark, monkeypatch):
+    """Neither anchors nor words of one of them reach the others, and equal rows go on once."""
+    rnd = random.Random(3)
+    shared = " ".join(f"s{i}" for i in range(30))
+    texts = [" ".join([*(f"v{rnd.randint(0, 10**6)}" for _ in range(20)), shared, f"e{i}", *(f"w{i}x{j} w{j}" for j in range(15))])
+             for i in range(8)]
+    rows = [(key, t, "s") for i, t in enumerate(texts) for key in (None, 7, i) for _ in range(3)]
+    seen, whole = [], substrings.repeated_spans
+    monkeypatch.setattr(substrings, "repeated_spans", lambda t, *a: seen.append(t.collect()) or whole(t, *a))
+    got = substrings.report(frame(spark, rows).repartition(4)).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == plain_removal(rows, 20)
+    keys = [(r.k1, r.k2) for r in seen[0]]
+    assert len(keys) == len(set(keys))
+    for r in seen[0]:
+        assert set(r.kept) <= set(substrings._anchors(r.text.encode().split(), 20, 8)[0].tolist())
+
+
 def test_no_passages(empty):
     assert substrings.report(empty).collect() == []
 
@@ -371,6 +388,22 @@ def test_edit_report(spark, docs, rows):
     assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got])
 
 
+def test_rows_of_one_id_are_spread(spark, monkeypatch):
+    seen = []
+    rows = [(None if i % 2 else 5, f"text number {i} of many", "s") for i in range(400)] + [(-2**63, "least", "s")]
+
+    def counted(r):
+        seen.append([x["count"] for x in r.filter("_ghost = 0").groupBy("_at").count().collect()])
+        return r
+
+    got = syncmers.with_next(frame(spark, rows).select("doc_id", "text"), counted, ["text"]).collect()
+    keyed = frame(spark, rows).selectExpr("doc_id", "text", "xxhash64(text) h").collect()
+    order = sorted(keyed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h))
+    assert max(seen[0]) <= 60 and len(seen[0]) > 8
+    assert {(r.text, r.next_text) for r in got} == {(a.text, b.text) for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    assert len(got) == len(rows)
+
+
 def test_no_fingerprints_and_a_single_document(spark, empty):
     assert syncmers.edit_report(empty).collect() == []
     one = syncmers.edit_report(frame(spark, [(5, "abcd", "s")])).first()
