@@ -7,7 +7,7 @@ from textwrap import dedent
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docattr.llm import chat, media, mixing, packing, pii, simhash, substrings, syncmers, toxicity, urls
+from docattr.llm import chat, lines, media, merkle, mixing, negatives, packing, pii, simhash, substrings, syncmers, toxicity, urls
 
 QUERIES = {}
 SQL = {}
@@ -231,3 +231,92 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_syncmers")
 def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", r"""
+    WITH e AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+             list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def _merkle_sql() -> str:
+    def digest(n_chars: str) -> str:
+        fields = ("doc_id", "source", "lang", n_chars, "text")
+        return "sha256(" + " || ".join(f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+    # CRC-32 by eight shifts a byte
+    step = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    return rf"""
+    WITH RECURSIVE
+    crc AS (
+      SELECT doc_id, doc_id::VARCHAR AS s, 1 AS byte, 0 AS bit, xor(4294967295, ascii(substr(doc_id::VARCHAR, 1, 1))::BIGINT) AS c FROM documents WHERE doc_id IS NOT NULL
+      UNION ALL
+      SELECT doc_id, s, CASE WHEN bit = 7 THEN byte + 1 ELSE byte END, (bit + 1) % 8,
+             CASE WHEN bit = 7 AND byte < length(s) THEN xor({step.format('c')}, ascii(s[byte + 1])::BIGINT) ELSE {step.format('c')} END
+      FROM crc WHERE byte <= length(s)),
+    hit AS (SELECT doc_id FROM crc WHERE byte > length(s) AND xor(c, 4294967295) % 7 = 0),
+    leaf AS (
+      SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS LAST, h) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+      FROM (SELECT doc_id, lang, {digest('n_chars')} AS h,
+              CASE WHEN doc_id IN (SELECT doc_id FROM hit) THEN {digest('n_chars + 1')} ELSE {digest('n_chars')} END AS claimed FROM documents)),
+    ranked AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT lang FROM documents)),
+    base AS (SELECT leaf.*, tree FROM leaf JOIN ranked ON leaf.lang IS NOT DISTINCT FROM ranked.lang),
+    low AS (
+      SELECT tree, 0 AS level, pos, n, h FROM base
+      UNION ALL
+      SELECT tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY tree, level, pos // 2, n),
+    sub AS (SELECT tree, h, level FROM low WHERE n = 1),
+    top AS (
+      SELECT 0 AS level, tree AS pos, count(*) OVER () AS n, h FROM sub
+      UNION ALL
+      SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+    node AS (
+      SELECT tree, level, pos, n, h FROM low WHERE n > 1
+      UNION ALL SELECT sub.tree, sub.level + top.level, top.pos, top.n, top.h FROM sub, top WHERE top.n > 1),
+    climb AS (
+      SELECT tree, pos AS place, 0 AS level, pos, claimed AS folded, '' AS proof FROM base
+      UNION ALL
+      SELECT c.tree, c.place, c.level + 1, c.at // 2,
+             sha256(CASE WHEN c.at % 2 = 1 THEN s.h || folded ELSE folded || coalesce(s.h, '') END), proof || coalesce(s.h, '')
+      FROM (SELECT climb.*, CASE WHEN climb.level = sub.level THEN climb.tree ELSE climb.pos END AS at FROM climb JOIN sub USING (tree)) c
+      JOIN (SELECT DISTINCT tree, level FROM node) l ON l.tree = c.tree AND l.level = c.level
+      LEFT JOIN node s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.at, 1)),
+    done AS (SELECT tree, place, folded, proof FROM climb QUALIFY row_number() OVER (PARTITION BY tree, place ORDER BY level DESC) = 1)
+    SELECT doc_id, base.h AS leaf, sub.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.h AS verified
+    FROM base JOIN sub USING (tree) JOIN done ON done.tree = base.tree AND done.place = base.pos, (SELECT h FROM top WHERE n = 1) r"""
+
+
+@query("op12_merkle_manifest", _merkle_sql())
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_line_dedup", r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    l AS (
+      SELECT r, doc_id, i, ls[i] AS line,
+             translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+    f AS (SELECT key, min(doc_id) AS first FROM l WHERE length(key) >= 10 GROUP BY key),
+    k AS (SELECT l.*, first IS NULL OR doc_id IS NOT DISTINCT FROM first AS stays FROM l LEFT JOIN f ON l.key = f.key)
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (stays), '')) AS kept_sha256
+    FROM k GROUP BY r
+""")
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
