@@ -7,7 +7,10 @@ import os
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, HERE)
+# Python workers import the package, too
+os.environ["PYTHONPATH"] = os.pathsep.join([HERE, *filter(None, [os.environ.get("PYTHONPATH")])])
 
 from docattr import catalog, session  # noqa: E402
 from docattr.catalog import registry  # noqa: E402
@@ -32,7 +35,7 @@ def main() -> None:
     catalog.load()
     spark = session.build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
-        "spark.ui.showConsoleProgress": "false"})
+        "spark.ui.showConsoleProgress": "false", registry.READ_TASKS: cpus})
     spark.sparkContext.setLogLevel("ERROR")
     # start the engine before the first measurement
     registry.table(spark, sf_dir, "lineitem").groupBy("l_returnflag").count().collect()

@@ -45,7 +45,7 @@ SHOW = "string_agg(s || '-' || e, ';' ORDER BY s)"
 
 def rows(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return sp.entity_rows(docs, roster(spark, d), "doc_id", F.split("text", "\n"))
+    return sp.entity_rows(docs, roster(spark, d), "doc_id")
 
 
 def segments(spark, d):

@@ -7,8 +7,6 @@ from textwrap import dedent
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docattr.session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -25,9 +23,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Tasks the text tables are dealt to before row-local work, for small files that are read as one split; unset, they are as read.
+READ_TASKS = "docattr.catalog.tasks"
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    tasks = spark.conf.get(READ_TASKS, None)
+    return df.repartition(int(tasks)) if tasks and name in TEXT_TABLES else df

@@ -1,6 +1,6 @@
 """Name rosters, mention finding and anonymisation.
 
-Offsets count code points. A mention needs a non-word character or a text end on both
+All names of a document are found in one pass over each of its lines, by an automaton of its roster. Offsets count code points. A mention needs a non-word character or a text end on both
 sides and uses those characters up, so of two adjacent repeats only the first counts.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docattr.functions import names as nm
 from docattr.functions import text as tx
 from docattr.operators.ordered import bind, first_k, global_index, offsets
 from docattr.session import cut
@@ -26,14 +27,14 @@ def name_roster(occurrences: DataFrame, key: str, name: str, k: int, min_count:
 
 
 def pack_roster(roster: DataFrame, key: str, extra: list[str] | None = None) -> DataFrame:
-    """One row per document with its roster; a roster is bounded by the cast size.
+    """One row per document with its roster and the JSON of its spellings; a roster is bounded by the cast size.
 
     Written out, because the join with the texts should know its size: small rosters are
     broadcast to the texts, never the texts to the rosters, and large ones are shuffled.
     """
-    fields = [F.col("entity"), F.col("aliases"), mention_pattern(F.col("aliases")).alias("pattern")]
-    fields += [F.col(c) for c in extra or []]
-    return cut(roster.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("roster")))
+    fields = [F.col("entity"), F.col("aliases"), *[F.col(c) for c in extra or []]]
+    packed = roster.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("roster"))
+    return cut(packed.withColumn("names", F.to_json(F.col("roster.aliases"))))
 
 
 # Noncharacters reserved for internal use; they mark where a match and its parts begin.
@@ -68,38 +69,26 @@ def _spans(scan: Column) -> Column:
 
 
 def mention_spans(text: Column, pattern: Column) -> Column:
-    """All mentions of one pattern in a text."""
+    """All mentions of one pattern in a text; the automaton finds the same."""
     return F.flatten(F.transform(F.array(_scan(text, pattern)), _spans))
 
 
-def may_mention(text: Column, aliases: Column) -> Column:
-    """Cheap literal test before the pattern is run."""
-    return F.exists(aliases, lambda a: F.contains(text, a))
-
-
-def roster_mentions(text: Column, roster: Column, extra: list[str] | None = None, first_only: bool = False) -> Column:
+def roster_mentions(text: Column, roster: Column, names: Column, extra: list[str] | None = None, first_only: bool = False) -> Column:
     """array<struct<entity,start,end,text,...>> of every roster entry, sorted by start, longest first."""
-    scanned = F.transform(
-        F.filter(roster, lambda r: may_mention(text, r["aliases"])),
-        lambda r: F.struct(r.alias("r"), _scan(text, r["pattern"]).alias("s")),
-    )
-
-    def hits(x):
-        spans = _spans(x["s"])
-        if first_only:
-            spans = F.slice(spans, 1, 1)
-        return F.transform(spans, lambda m: F.struct(
-            m["start"].alias("start"), (-m["end"]).alias("_neg_end"), x["r"]["entity"].alias("entity"),
-            m["end"].alias("end"), m["text"].alias("text"), *[x["r"][c].alias(c) for c in extra or []],
-        ))
+    def named(m):
+        entry = F.get(roster, m["entry"])
+        return F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), entry["entity"].alias("entity"), m["text"].alias("text"),
+            *[entry[c].alias(c) for c in extra or []])
 
-    return F.array_sort(F.flatten(F.transform(scanned, hits)))
+    return F.transform(nm.mentions(text, names, first_only), named)
 
 
 def find_mentions(segments: DataFrame, roster: DataFrame, key: str = "doc_id", first_only: bool = False) -> DataFrame:
-    """(key, seg_no, entity, start, end, text): one scan of every segment, nothing is paired up."""
+    """(key, seg_no, entity, start, end, text): one pass over every segment, however many names there are."""
     joined = segments.join(pack_roster(roster, key), key)
-    rows = joined.select(key, "seg_no", F.explode(roster_mentions(F.col("text"), F.col("roster"), first_only=first_only)).alias("m"))
+    rows = joined.select(key, "seg_no", F.explode(
+        roster_mentions(F.col("text"), F.col("roster"), F.col("names"), first_only=first_only)).alias("m"))
     return rows.select(key, "seg_no", "m.entity", "m.start", "m.end", "m.text")
 
 
@@ -167,9 +156,9 @@ def anonymize(segments: DataFrame, coded_roster: DataFrame, key: str = "doc_id")
     """Segments with every mention replaced by its code, and the rewritten mentions as an array."""
     packed = pack_roster(coded_roster, key, ["code"])
     joined = segments.join(packed, key, "left")
-    found = roster_mentions(F.col("text"), F.col("roster"), ["code"])
-    new = bind(bind(found, drop_overlaps), lambda k: F.when(F.size(k) > 0, replace_mentions(F.col("text"), k)))
-    return joined.withColumn("_new", new).select(
+    found = joined.withColumn("_found", roster_mentions(F.col("text"), F.col("roster"), F.col("names"), ["code"]))
+    new = bind(drop_overlaps(F.col("_found")), lambda k: F.when(F.size(k) > 0, replace_mentions(F.col("text"), k)))
+    return found.withColumn("_new", new).select(
         key, "seg_no", F.coalesce("_new.text", "text").alias("text"), F.col("_new.mentions").alias("mentions"))
 
 

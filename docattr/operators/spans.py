@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docattr.functions import names as nm
 from docattr.functions import text as tx
 from docattr.operators import mentions as mn
-from docattr.operators.ordered import bind, budget_prefix, islands, keep_where, offsets, order_for, pack_min
+from docattr.operators.ordered import bind, budget_prefix, keep_where, offsets, order_for, pack_min
 
 
 def shift(spans: Column, by: Column) -> Column:
@@ -61,37 +62,32 @@ def clean_between_spans(text: Column, spans: Column) -> Column:
     return bind(F.struct(text.alias("t"), spans.alias("s")), build)
 
 
-def entity_rows(docs: DataFrame, roster: DataFrame, key: str, lines: Column) -> DataFrame:
-    """One row per (document, entity): the lines and the spans of the entity in every line."""
-    packed = mn.pack_roster(roster, key)
-    rows = docs.select(key, lines.alias("lines")).join(packed, key).select(key, "lines", F.explode("roster").alias("r"))
+def entity_rows(docs: DataFrame, roster: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, entity, parts): per document and entity the lines that mention it, with their number and spans.
 
-    def spans(line):
-        found = F.transform(
-            mn.mention_spans(line, F.col("r.pattern")),
-            lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")),
-        )
-        none = F.array().cast("array<struct<start:int,end:int>>")
-        return F.when(mn.may_mention(line, F.col("r.aliases")), found).otherwise(none)
-
-    return rows.select(key, F.col("r.entity").alias("entity"), "lines", F.transform("lines", spans).alias("line_spans"))
+    The lines of a document are scanned once for all its entities, and only those with a mention are copied.
+    """
+    joined = docs.select(key, text).join(mn.pack_roster(roster, key), key)
+    rows = joined.select(key, "roster", F.explode(nm.parts(F.col(text), F.col("names"))).alias("_p"))
+    return rows.select(key, F.get("roster", F.col("_p.entry"))["entity"].alias("entity"), F.col("_p.parts").alias("parts"))
 
 
 def paragraphs(rows: DataFrame, clean: bool = True) -> DataFrame:
     """Adjacent lines that mention the entity become one paragraph with rebased spans."""
-    parts = F.zip_with("lines", "line_spans", lambda t, s: F.struct(t.alias("text"), s.alias("spans")))
-
     def build(p):
-        # lines and spans are bound here, else the optimizer may inline them into the lambda below
-        runs = islands(F.transform(p, lambda x: F.size(x["spans"]) > 0))
+        # lines with consecutive numbers are a run, which ends where the next begins
+        begins = F.transform(p, lambda x, i: F.when((i == 0) | (x["no"] != F.get(p, i - 1)["no"] + 1), i))
 
         def paragraph(run):
-            joined = join_parts(F.slice(p, run["lo"] + 1, run["hi"] - run["lo"] + 1), " ")
+            joined = join_parts(run, " ")
             return bind(joined, lambda j: clean_between_spans(j["text"], j["spans"])) if clean else joined
 
-        return F.transform(runs, paragraph)
+        def cut_at(b):
+            return F.transform(b, lambda lo, k: paragraph(F.slice(p, lo + 1, F.coalesce(F.get(b, k + 1), F.size(p)) - lo)))
+
+        return bind(F.filter(begins, lambda i: i.isNotNull()), cut_at)
 
-    return rows.withColumn("paragraphs", bind(parts, build)).drop("lines", "line_spans")
+    return rows.withColumn("paragraphs", bind(F.col("parts"), build)).drop("parts")
 
 
 def entity_segments(rows: DataFrame) -> DataFrame:
@@ -104,7 +100,8 @@ def entity_segments(rows: DataFrame) -> DataFrame:
 def split_paragraphs(text: Column, spans: Column, min_words: int) -> Column:
     """Text -> array<struct<text,spans,words>>: lines packed to a minimum size, spans inside each, rebased.
 
-    A span may end exactly at the paragraph end.
+    Paragraph starts and spans are sorted together once: a paragraph's spans are those between its start and
+    the next one. A span may end exactly at the paragraph end.
     """
 
     def build(x):
@@ -116,24 +113,35 @@ def split_paragraphs(text: Column, spans: Column, min_words: int) -> Column:
             # lines at which a group begins; groups are runs, so each ends where the next begins
             begins = F.transform(y["g"], lambda g, i: F.when((i == 0) | (g != F.get(y["g"], i - 1)), i))
 
-            def part(first, n):
-                t = F.array_join(F.slice(lines, first + 1, n), "\n")
-                lo = F.get(y["at"], first)
+            def placed(firsts):
+                los = F.transform(firsts, lambda f: F.get(y["at"], f))
+                marks = F.concat(
+                    F.transform(los, lambda lo: F.struct(lo.alias("at"), F.lit(0).alias("kind"))),
+                    F.transform(x["spans"], lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("kind"))))
+                places = F.transform(F.array_sort(marks), lambda m, i: F.when(m["kind"] == 0, i))
+                return F.struct(firsts.alias("f"), F.filter(places, lambda i: i.isNotNull()).alias("p"))
+
+            def cut_at(z):
+                def part(first, k):
+                    n = F.coalesce(F.get(z["f"], k + 1), F.size(y["g"])) - first
+                    # spans before this paragraph and before the next one
+                    before = F.get(z["p"], k) - k
+                    until = F.coalesce(F.get(z["p"], k + 1) - k - 1, F.size(x["spans"]))
+                    here = F.slice(x["spans"], before + 1, until - before)
+                    return bind(F.struct(
+                        F.array_join(F.slice(lines, first + 1, n), "\n").alias("t"), F.get(y["at"], first).alias("lo"), here.alias("s")), inner)
 
-                def inner(z):
-                    hi = lo + F.length(z)
-                    inside = F.filter(x["spans"], lambda s: (s["start"] >= lo) & (s["end"] <= hi))
-                    return F.struct(
-                        z.alias("text"), shift(inside, -lo).alias("spans"), tx.word_count(z).alias("words"))
+                return F.transform(z["f"], part)
 
-                return bind(t, inner)
+            def inner(w):
+                inside = F.filter(w["s"], lambda s: s["end"] <= w["lo"] + F.length(w["t"]))
+                return F.struct(w["t"].alias("text"), shift(inside, -w["lo"]).alias("spans"), tx.word_count(w["t"]).alias("words"))
 
-            return bind(F.filter(begins, lambda i: i.isNotNull()), lambda f: F.transform(
-                f, lambda first, k: part(first, F.coalesce(F.get(f, k + 1), F.size(y["g"])) - first)))
+            return bind(bind(F.filter(begins, lambda i: i.isNotNull()), placed), cut_at)
 
         return bind(F.struct(groups.alias("g"), starts.alias("at")), numbered)
 
-    return bind(F.struct(F.split(text, "\n").alias("lines"), spans.alias("spans")), build)
+    return bind(F.struct(F.split(text, "\n").alias("lines"), F.array_sort(spans).alias("spans")), build)
 
 
 def build_context(parts: Column, order: Column, budget: int) -> Column:

@@ -10,8 +10,7 @@ from docattr.operators import spans as sp
 
 def entity_segments(docs: DataFrame, roster: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, entity, text, spans): all paragraphs in which an entity is mentioned."""
-    rows = sp.entity_rows(docs, roster, key, F.split(F.col(text), "\n"))
-    return sp.entity_segments(rows)
+    return sp.entity_segments(sp.entity_rows(docs, roster, key, text))
 
 
 def entity_contexts(

@@ -77,12 +77,3 @@ def discard(*tables: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a table that is read as a single split to all cores before heavy row-local work.
-
-    Such a table is at most ``spark.sql.files.maxPartitionBytes`` of one file; any larger one is returned
-    as it is and never shuffled.
-    """
-    return df if df.rdd.getNumPartitions() > 1 else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
