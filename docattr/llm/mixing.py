@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docattr.functions.draws import key_hash
-from docattr.llm.words import GAP, WORD, row_key, word_count
+from docattr.llm.words import GAP, WORD, row_keys, unpacked, whole_row, word_count
 from docattr.operators.ordered import global_index, running_totals
 from docattr.session import cut
 
@@ -108,18 +108,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     Documents without words are not served. The columns are those of ``docs``; equal rows
     share what the mix takes from them together.
     """
-    keyed = docs.withColumn("_key", row_key("doc_id", "source", "text"))
-    shares = plan(keyed, weights, share, epochs, seed, keep=["_key"]).filter("taken > 0")
-    shares = shares.groupBy("_key").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
-    rows = keyed.dropDuplicates(["_key"]).join(shares, "_key")
-    whole = F.array_repeat(F.lit(0).cast("long"), (F.col("_taken") / F.col("_size")).cast("int"))
-    rest = F.col("_taken") % F.col("_size")
-    rows = rows.withColumn("_cut", F.explode(F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.array()))))
-    return rows.withColumn("text", F.when(F.col("_cut") > 0, first_words("text", "_cut")).otherwise(F.col("text"))).select(
-        *docs.columns)
-
-
-def first_words(text: str, n: str) -> Column:
+    keys = row_keys("doc_id", "source", "text")
+    shares = plan(docs.select("doc_id", "source", "text", *keys), weights, share, epochs, seed, keep=["k1", "k2"]).filter("taken > 0")
+    shares = shares.groupBy("k1", "k2").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    # equal rows are merged where they lie, and the texts are moved once: the join keeps the aggregate's partitioning
+    rows = docs.select(*keys, whole_row(docs)).dropDuplicates(["k1", "k2"]).join(shares, ["k1", "k2"])
+    whole = F.array_repeat(F.lit(0).cast("long"), (F.col("taken") / F.col("size")).cast("int"))
+    rest = F.col("taken") % F.col("size")
+    rows = rows.withColumn("cut", F.explode(F.concat(whole, F.when(rest > 0, F.array(rest)).otherwise(F.array()))))
+    text = F.col("row.text")
+    return rows.select(*unpacked(docs, text=F.when(F.col("cut") > 0, first_words(text, F.col("cut"))).otherwise(text)))
+
+
+def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its ``n``-th word; the possessive loop does not recurse."""
-    pattern = F.concat(F.lit(f"^(?:(?:{GAP})?+{WORD}+){{"), F.col(n).cast("string"), F.lit("}+"))
-    return F.regexp_substr(F.col(text), pattern)
+    pattern = F.concat(F.lit(f"^(?:(?:{GAP})?+{WORD}+){{"), n.cast("string"), F.lit("}+"))
+    return F.regexp_substr(text, pattern)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docattr.llm.words import row_key, words
+from docattr.llm.words import row_key, unpacked, whole_row, words
 from docattr.operators.ordered import bind
 from docattr.session import cut
 
@@ -222,17 +222,16 @@ def redact(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALI
         F.transform("terms", lambda t: F.struct(t["start"].alias("start"), (-t["stop"]).alias("less"), F.when(
             t["action"] == "remove", "").otherwise(f"[{TERM.upper()}]").alias("by"))))
     rows = cut(rows.select("_key", F.array_sort(cuts).alias("_cuts")))
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    joined = keyed.join(rows, "_key", "left")
+    joined = docs.select(row_key("doc_id", "text").alias("_key"), whole_row(docs)).join(rows, "_key", "left")
+    text = F.col("row.text")
 
     def step(s: Column, c: Column) -> Column:
         fits = c["start"] >= s["at"]
-        piece = F.concat(F.substring(F.col("text"), s["at"] + 1, c["start"] - s["at"]), c["by"])
+        piece = F.concat(F.substring(text, s["at"] + 1, c["start"] - s["at"]), c["by"])
         return F.struct(F.when(fits, F.concat(s["out"], F.array(piece))).otherwise(s["out"]).alias("out"),
                         F.greatest(s["at"], -c["less"]).alias("at"))
 
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
     clean = F.aggregate("_cuts", start, step, lambda s: F.concat(
-        F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(clean)
-    return joined.withColumn("text", text).select(*docs.columns)
+        F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    return joined.select(*unpacked(docs, text=F.when(F.col("_cuts").isNull(), text).otherwise(clean)))

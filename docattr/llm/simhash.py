@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docattr.llm.words import byte_words, row_key
+from docattr.llm.words import byte_words, row_key, row_keys, unpacked, whole_row
 from docattr.operators.graph import star_components
 from docattr.session import cut
 
@@ -260,7 +260,6 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The representatives of the classes ``found``, which have (doc_id, row, root) of every row."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    keepers = cut(found.groupBy("root").agg(F.min(order).alias("k")).select("k.row.*"))
-    keyed = docs.withColumns({"_a": row_key("doc_id", "text")["a"], "_b": row_key("doc_id", "text")["b"]})
-    stay = keyed.join(keepers.select(F.col("a").alias("_a"), F.col("b").alias("_b")), ["_a", "_b"], "left_semi")
-    return stay.dropDuplicates(["_a", "_b"]).select(*docs.columns)
+    keepers = cut(found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.row.a").alias("k1"), F.col("k.row.b").alias("k2")))
+    rows = docs.select(*row_keys("doc_id", "text"), whole_row(docs))
+    return rows.join(keepers, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*unpacked(docs))
