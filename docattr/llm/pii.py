@@ -25,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docattr.llm.words import row_key, unpacked, whole_row, words
+from docattr.llm.urls import probed
+from docattr.llm.words import row_key, row_keys, unpacked, whole_row, words
 from docattr.operators.ordered import bind
 from docattr.session import cut
 
@@ -213,7 +214,7 @@ def report(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALI
 def redact(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with base spans replaced by ``[KIND]``, disclosing terms by ``[TERM]`` or nothing.
 
-    Only documents that hold base spans are joined with their spans; the others pass as they are.
+    Only documents that may hold base spans, by a filter of their keys, are moved and joined with them; the others pass as they are.
     """
     rows = spans(docs, support, generalise, remove).filter(F.size("base") > 0).dropDuplicates(["_key"])
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
@@ -221,8 +222,10 @@ def redact(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALI
         F.transform("base", lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("less"), F.get(labels, s["kind"]).alias("by"))),
         F.transform("terms", lambda t: F.struct(t["start"].alias("start"), (-t["stop"]).alias("less"), F.when(
             t["action"] == "remove", "").otherwise(f"[{TERM.upper()}]").alias("by"))))
-    rows = cut(rows.select("_key", F.array_sort(cuts).alias("_cuts")))
-    joined = docs.select(row_key("doc_id", "text").alias("_key"), whole_row(docs)).join(rows, "_key", "left")
+    rows = cut(rows.select(F.col("_key.a").alias("k1"), F.col("_key.b").alias("k2"), F.array_sort(cuts).alias("_cuts")))
+    # texts without a span need not move
+    marked = probed(docs.select(*row_keys("doc_id", "text"), whole_row(docs)), "k1", rows.select("k1"))
+    joined = marked.filter("maybe").join(rows, ["k1", "k2"], "left")
     text = F.col("row.text")
 
     def step(s: Column, c: Column) -> Column:
@@ -234,4 +237,5 @@ def redact(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALI
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
     clean = F.aggregate("_cuts", start, step, lambda s: F.concat(
         F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    return joined.select(*unpacked(docs, text=F.when(F.col("_cuts").isNull(), text).otherwise(clean)))
+    done = joined.select(*unpacked(docs, text=F.when(F.col("_cuts").isNull(), text).otherwise(clean)))
+    return marked.filter("NOT maybe").select(*unpacked(docs)).unionByName(done)

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docattr.llm.urls import probed
 from docattr.llm.words import byte_words, row_key, row_keys, unpacked, whole_row
 from docattr.operators.graph import star_components
 from docattr.session import cut
@@ -261,5 +262,9 @@ def kept(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The representatives of the classes ``found``, which have (doc_id, row, root) of every row."""
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     keepers = cut(found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.row.a").alias("k1"), F.col("k.row.b").alias("k2")))
-    rows = docs.select(*row_keys("doc_id", "text"), whole_row(docs))
-    return rows.join(keepers, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select(*unpacked(docs))
+    every = found.groupBy(F.col("row.a").alias("k1"), F.col("row.b").alias("k2")).agg(F.count(F.lit(1)).alias("times"))
+    # keys of which a row goes; the texts of all other rows need not move
+    touched = cut(every.join(keepers.withColumn("stays", F.lit(True)), ["k1", "k2"], "left").filter("stays IS NULL OR times > 1").select("k1", "k2"))
+    rows = probed(docs.select(*row_keys("doc_id", "text"), whole_row(docs)), "k1", touched)
+    some = rows.filter("maybe").join(keepers, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return rows.filter("NOT maybe").select("row").unionByName(some.select("row")).select(*unpacked(docs))

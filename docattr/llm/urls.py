@@ -29,6 +29,8 @@ RULES = (
 #: Query parameters that do not change the page.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 BLOCKS = 1 << 15
+#: Most blocks of a filter that is sized from its keys.
+LARGEST = 1 << 18
 WORDS = 8
 
 
@@ -91,6 +93,20 @@ def listed(rows: DataFrame, key: str, keys: DataFrame, blocks: int = BLOCKS) ->
     return stopped.unionByName(hits.withColumn("listed", F.col("_listed").isNotNull()).drop("_listed"))
 
 
+def probed(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: true for all whose key is in the table ``keys``, and for few others.
+
+    The filter has a block per 16 keys, up to ``LARGEST`` blocks of 40 bytes, so it can be broadcast; beyond, it
+    passes more rows, which an exact join behind it settles as it does the others.
+    """
+    blocks = min(LARGEST, max(1 << 8, keys.count() // 16))
+    filled = bloom(keys, key, blocks).withColumnsRenamed({"block": "_block"} | {f"w{i}": f"_w{i}" for i in range(WORDS)})
+    block, masks = _place(F.col(key), blocks)
+    passes = reduce(lambda a, b: a & b, [F.col(f"_w{i}").bitwiseAND(m) == m for i, m in enumerate(masks)])
+    return rows.join(F.broadcast(filled), block == F.col("_block"), "left").withColumn(
+        "maybe", F.coalesce(passes, F.lit(False))).drop(*filled.columns)
+
+
 def judge(pages: DataFrame, blocklist: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
           blocks: int = BLOCKS) -> DataFrame:
     """(page_id, host, path, rule, verdict, maybe, listed); ``blocklist`` holds URLs in its first column."""
