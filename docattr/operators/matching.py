@@ -14,6 +14,8 @@ def _chars(x: Column) -> Column:
 
 
 BLOCK = 60
+#: Members of a block that may share a token before names are no longer joined on it.
+COMMON = 32
 
 
 def _lcs(a: Column, b: Column) -> Column:
@@ -173,10 +175,50 @@ def greedy_matching(pairs: DataFrame, block: str, left: str, right: str, scores:
     return out.drop("_rank")
 
 
-def best_unique_match(names: DataFrame, cast: DataFrame, block: str, name: str, member: str) -> DataFrame:
-    """Cast member sharing most tokens with a name, only where that maximum is not tied."""
-    counts = shared_tokens(names, cast, block, name, member, blank_tokens)
-    per_level = counts.groupBy(block, name, "shared").agg(
-        F.count(F.lit(1)).alias("_ties"), F.min(member).alias(member))
-    top = per_level.groupBy(block, name).agg(F.max(F.struct("shared", "_ties", member)).alias("_b"))
-    return top.filter("_b._ties = 1").select(block, name, F.col(f"_b.{member}").alias(member), F.col("_b.shared").alias("shared"))
+def best_unique_match(names: DataFrame, cast: DataFrame, block: str, name: str, member: str, common: int = COMMON) -> DataFrame:
+    """Cast member sharing most tokens with a name, only where that maximum is not tied.
+
+    Tokens that more than ``common`` members of a block hold, such as a title, are not joined on. Members are met over
+    their other tokens, at most ``common`` per token; all that share only common tokens with a name are counted by the set of
+    common tokens they hold: per name and number of shared ones it takes how many there are and the exclusive or of their
+    ids, less those already met. Where one is left, that is its id.
+    """
+    def exploded(df, column):
+        distinct = df.select(block, column).distinct().withColumn("_ts", blank_tokens(F.col(column)))
+        return distinct.select(block, column, "_ts", F.explode("_ts").alias("_token"))
+
+    def held(each, column):
+        """Names with their common tokens; the rows of the others."""
+        marked = each.join(often, [block, "_token"], "left")
+        sets = marked.groupBy(block, column).agg(F.array_sort(F.collect_set(F.when(F.col("_often"), F.col("_token")))).alias("_common"))
+        return sets, marked.filter("_often IS NULL").select(block, column, "_ts", "_token")
+
+    of_cast = exploded(cast, member)
+    often = cut(of_cast.groupBy(block, "_token").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > common).select(
+        block, "_token", F.lit(True).alias("_often")))
+    asking, few = held(exploded(names, name), name)
+    members, few_members = held(of_cast, member)
+    members = members.withColumn("_id", F.xxhash64(member))
+    met = few.join(few_members.withColumnRenamed("_ts", "_other"), [block, "_token"]).select(
+        block, name, member, F.size(F.array_intersect("_ts", "_other")).alias("shared")).distinct()
+    met = cut(met.join(members, [block, member]).select(block, name, "shared", "_id", F.col("_common").alias("_of")))
+
+    def overlap(x, y):
+        return F.size(F.array_intersect(x, y)).alias("shared")
+
+    groups = members.filter(F.size("_common") > 0).groupBy(block, F.col("_common").alias("_of")).agg(
+        F.count(F.lit(1)).alias("_n"), F.bit_xor("_id").alias("_id"))
+    asked = asking.filter(F.size("_common") > 0)
+    sets = asked.select(block, "_common").distinct().withColumn("_token", F.explode("_common"))
+    pairs = sets.join(groups.withColumn("_token", F.explode("_of")), [block, "_token"]).drop("_token").distinct()
+    levels = pairs.groupBy(block, "_common", overlap("_common", "_of")).agg(F.sum("_n").alias("_n"), F.bit_xor("_id").alias("_id"))
+    known = met.join(asked, [block, name]).groupBy(block, name, overlap("_common", "_of")).agg(
+        F.count(F.lit(1)).alias("_less"), F.bit_xor("_id").alias("_without"))
+    left = asked.join(levels, [block, "_common"]).join(known, [block, name, "shared"], "left").select(
+        block, name, "shared", (F.col("_n") - F.coalesce("_less", F.lit(0))).alias("_n"),
+        F.col("_id").bitwiseXOR(F.coalesce("_without", F.lit(0).cast("long"))).alias("_id"))
+    every = met.select(block, name, "shared", F.lit(1).cast("long").alias("_n"), "_id").unionByName(left.filter("_n > 0"))
+    counted = every.groupBy(block, name, "shared").agg(F.sum("_n").alias("_n"), F.bit_xor("_id").alias("_id"))
+    top = counted.groupBy(block, name).agg(F.max(F.struct("shared", "_n", "_id")).alias("_b")).filter("_b._n = 1")
+    return top.select(block, name, F.col("_b._id").alias("_id"), F.col("_b.shared").alias("shared")).join(
+        members.select(block, member, "_id"), [block, "_id"]).select(block, name, member, F.col("shared").cast("long").alias("shared"))
