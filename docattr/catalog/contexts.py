@@ -134,6 +134,28 @@ def m13c(spark, d):
     return _contexts(spark, d, "random")
 
 
+BUDGETS = [25, 50, 100, 200, 400]
+ORDERS = {"first": "grp", "last": "grp DESC", "random": v.h_sql(2050, "doc_id || '|' || entity", "grp")}
+QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p995": 0.995}
+
+
+@query("A24_context_lengths", f"""
+  WITH RECURSIVE {PACKED},
+  t AS ({" UNION ALL ".join(
+      f"SELECT doc_id, entity, '{s}' AS strategy, sum(words) OVER (PARTITION BY doc_id, entity ORDER BY {o} ROWS UNBOUNDED PRECEDING) AS total FROM pw"
+      for s, o in ORDERS.items())}),
+  u AS (SELECT doc_id, entity, strategy, budget, coalesce(max(total) FILTER (total <= budget), 0) AS words
+    FROM t, (SELECT unnest({BUDGETS}) AS budget) GROUP BY ALL)
+  SELECT strategy, budget, count(*) AS n, max(words)::BIGINT AS max,
+    {", ".join(f"round(quantile_cont(words, {q}), 6) AS {n}" for n, q in QUANTILES.items())} FROM u GROUP BY ALL""")
+def a24b(spark, d):
+    from docattr.operators import stats
+
+    lengths = plan.context_lengths(segments(spark, d), list(ORDERS), BUDGETS)
+    out = stats.length_profile(lengths, ["strategy", "budget"], "words", QUANTILES)
+    return out.withColumns({n: F.round(n, 6) for n in QUANTILES})
+
+
 # Similarity of a paragraph to an attribute: a seeded value in [-0.2, 0.2), as a caller's encoder would give.
 SIM = v.u_sql(77, "doc_id", "entity", "grp") + " * 0.4 - 0.2"
 

@@ -219,6 +219,19 @@ def budget_prefix(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, start, step, lambda s: s["taken"])
 
 
+def budget_totals(sizes: Column, budgets: list[int]) -> Column:
+    """What the leading parts that fit come to, for every budget, from one running sum (sizes are not negative)."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array(*[F.lit(0).cast("long") for _ in budgets]).alias("used"))
+    limits = F.array(*[F.lit(b).cast("long") for b in budgets])
+
+    def step(s, n):
+        total = (s["total"] + n).cast("long")
+        used = F.zip_with(s["used"], limits, lambda u, b: F.when(total <= b, total).otherwise(u))
+        return F.struct(total.alias("total"), used.alias("used"))
+
+    return F.aggregate(sizes, start, step, lambda s: s["used"])
+
+
 def order_for(strategy: str, count: Column, key: Column, seed: int = 2050, similarity: Column | None = None) -> Column:
     """Part positions (0-based) in the order a strategy looks at them."""
     positions = F.sequence(F.lit(0), count - 1)
