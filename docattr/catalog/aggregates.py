@@ -332,6 +332,58 @@ def a23b(spark, d):
     return _perm(spark, d, "f1")
 
 
+# Three systems with two runs each: the seeds of their predictions.
+SYSTEMS = {("a", "0"): 7, ("a", "1"): 17, ("b", "0"): 27, ("b", "1"): 37, ("c", "0"): 47, ("c", "1"): 57}
+
+
+def systems_sql(metric, rounds=200, seed=11):
+    def score(side, other):
+        def total(label, pred):
+            return f"sum(CASE WHEN label = {label} THEN CASE WHEN {side} = {pred} THEN n - k ELSE 0 END + CASE WHEN {other} = {pred} THEN k ELSE 0 END ELSE 0 END)"
+
+        tp, fp, fn, tn = (total(*c) for c in ((1, 1), (0, 1), (1, 0), (0, 0)))
+        return {"accuracy": f"({tp} + {tn})::DOUBLE / ({tp} + {fp} + {fn} + {tn})",
+                "f1": f"coalesce(2.0::DOUBLE * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0)"}[metric]
+
+    pair = "sa, ra, sb, rb"
+    bits = f"('0x' || substr({v.h_sql(seed, 'sa', 'ra', 'sb', 'rb', 'label', 'x', 'y', 'r', 'c')}, 1, 8))::BIGINT"
+    return f"""
+  WITH {", ".join(v.predictions_sql(x, f"p{x}") for x in SYSTEMS.values())},
+  p AS ({" UNION ALL ".join(f"SELECT '{s}' AS s, '{r}' AS r, doc_id, label, pred FROM p{x}" for (s, r), x in SYSTEMS.items())}),
+  c AS (SELECT DISTINCT s, r FROM p),
+  pairs AS (SELECT a.s AS sa, a.r AS ra, b.s AS sb, b.r AS rb FROM c a JOIN c b ON a.s < b.s
+    QUALIFY row_number() OVER (PARTITION BY a.s, b.s ORDER BY {v.h_sql(seed, 'a.s', 'b.s', 'a.r', 'b.r')}) <= 2),
+  cells AS (SELECT {pair}, a.label, a.pred AS x, b.pred AS y, count(*) AS n FROM pairs JOIN p a ON a.s = sa AND a.r = ra
+    JOIN p b ON b.s = sb AND b.r = rb AND b.doc_id = a.doc_id WHERE a.pred IS NOT NULL AND b.pred IS NOT NULL GROUP BY ALL),
+  o AS (SELECT {pair}, {score('x', 'y')} - {score('y', 'x')} AS d0 FROM (SELECT *, 0 AS k FROM cells) GROUP BY ALL),
+  sw AS (SELECT {pair}, label, x, y, n, r, sum(bit_count({bits} >> greatest(0, (c + 1) * 32 - n)))::BIGINT AS k
+    FROM (SELECT *, unnest(range(0, (n + 31) // 32)) AS c FROM cells WHERE x <> y), (SELECT unnest(range(0, {rounds})) AS r) GROUP BY ALL),
+  every AS (SELECT * FROM sw UNION ALL SELECT {pair}, label, x, y, n, r, 0 FROM cells, (SELECT unnest(range(0, {rounds})) AS r) WHERE x = y),
+  st AS (SELECT {pair}, r, {score('x', 'y')} - {score('y', 'x')} AS d FROM every GROUP BY ALL),
+  t AS (SELECT {pair}, any_value(d0) AS d0, least(count(*) FILTER (d <= d0 + 1e-12), count(*) FILTER (d >= d0 - 1e-12)) AS few FROM st JOIN o USING ({pair}) GROUP BY ALL)
+  SELECT sa AS system_a, ra AS run_a, sb AS system_b, rb AS run_b, round(d0, 6) AS statistic, round(least(1.0, 2.0 * (few + 1) / {rounds + 1}.0), 6) AS p,
+    round(least(1.0, 6 * least(1.0, 2.0 * (few + 1) / {rounds + 1}.0)), 6) AS p_corrected FROM t"""
+
+
+def _systems(spark, d, metric):
+    from docattr.operators.ordered import union_all
+
+    rows = union_all([
+        v.predictions(spark, d, x).select(F.lit(s).alias("system"), F.lit(r).alias("variant"), "doc_id", "label", "pred") for (s, r), x in SYSTEMS.items()])
+    out = metrics.compare_systems(rows, "system", "variant", ["doc_id"], metric, 11, run_pairs=2, resamples=200)
+    return rounded(out, "statistic", "p", "p_corrected")
+
+
+@query("A23_all_systems_accuracy", systems_sql("accuracy"))
+def a23c(spark, d):
+    return _systems(spark, d, "accuracy")
+
+
+@query("A23_all_systems_f1", systems_sql("f1"))
+def a23d(spark, d):
+    return _systems(spark, d, "f1")
+
+
 @query("A24_length_profile", f"""
   WITH w AS (SELECT lang, source, {v.wc_sql('text')} AS n_words FROM documents)
   SELECT lang, source, count(*) AS n, max(n_words)::INT AS max, round(quantile_cont(n_words, 0.5), 6) AS p50, round(quantile_cont(n_words, 0.9), 6) AS p90,

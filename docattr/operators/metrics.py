@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docattr.functions.draws import key_hash
 from docattr.operators.ordered import global_index
+from docattr.session import cut
 
 
 def keyed_predictions(preds: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -93,6 +92,20 @@ def multiclass_accuracy(preds: DataFrame) -> DataFrame:
     )
 
 
+def _difference(metric: str) -> Column:
+    """Metric of side x less that of side y, of the counts ``x_tp`` to ``y_tn``."""
+    scores = []
+    for side in ("x", "y"):
+        tp, fp, fn, tn = (F.col(f"{side}_{c}") for c in ("tp", "fp", "fn", "tn"))
+        scores.append({
+            "accuracy": _ratio((tp + tn).cast("double"), tp + fp + fn + tn),
+            "precision": _ratio(tp.cast("double"), tp + fp),
+            "recall": _ratio(tp.cast("double"), tp + fn),
+            "f1": _ratio(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn),
+        }[metric])
+    return scores[0] - scores[1]
+
+
 def permutation_test(
     a: DataFrame, b: DataFrame, keys: list[str], metric: str, seed: int, resamples: int = 1000, factor: int = 1,
     method: str = "resample",
@@ -129,18 +142,6 @@ def permutation_test(
 
     names = [f"{s}_{c}" for s in ("x", "y") for c in ("tp", "fp", "fn", "tn")]
 
-    def difference():
-        scores = []
-        for side in ("x", "y"):
-            tp, fp, fn, tn = (F.col(f"{side}_{c}") for c in ("tp", "fp", "fn", "tn"))
-            scores.append({
-                "accuracy": _ratio((tp + tn).cast("double"), tp + fp + fn + tn),
-                "precision": _ratio(tp.cast("double"), tp + fp),
-                "recall": _ratio(tp.cast("double"), tp + fn),
-                "f1": _ratio(F.lit(2.0) * tp, F.lit(2.0) * tp + fp + fn),
-            }[metric])
-        return scores[0] - scores[1]
-
     agree = pairs.filter("x = y").agg(*cells(F.col("x"), F.col("y")))
     differ = pairs.filter("x <> y")
     numbered = differ.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
@@ -156,9 +157,9 @@ def permutation_test(
     per_round = swapped.groupBy("_r").agg(*cells(F.col("x"), F.col("y")))
     fixed = [agree.select(c).scalar() for c in names]
     stats = per_round.select(*[(F.col(c) + f).alias(c) for c, f in zip(names, fixed)]).select(
-        difference().alias("d")
+        _difference(metric).alias("d")
     )
-    observed = pairs.agg(*cells(F.col("x"), F.col("y"))).select(difference().alias("d"))
+    observed = pairs.agg(*cells(F.col("x"), F.col("y"))).select(_difference(metric).alias("d"))
     d0 = observed.scalar()
     tails = stats.agg(
         F.count_if(F.col("d") <= d0 + 1e-12).alias("low"),
@@ -182,29 +183,53 @@ def compare_systems(
     predictions: DataFrame, system: str, run: str, keys: list[str], metric: str, seed: int, run_pairs: int = 3,
     resamples: int = 1000,
 ) -> DataFrame:
-    """Permutation tests over all pairs of systems and up to ``run_pairs`` sampled pairs of their runs.
+    """Permutation tests over all pairs of systems and up to ``run_pairs`` sampled pairs of their runs, in one job.
 
-    ``predictions`` has (system, run, keys, label, pred). With k systems, p is corrected by the k(k-1)
-    ordered comparisons. Systems and runs are configurations, a handful, so their list is read
-    first and one test is planned per pair.
+    ``predictions`` has (system, run, keys, label, pred); rows without a prediction take no part. Pairs are rows that meet the
+    predictions by joins. A resample needs no rows: of the rows with one label on which two runs differ in one way, it swaps as
+    many as there are ones among as many hashed bits, 32 a draw. With k systems, p is corrected by the k(k-1) ordered comparisons.
     """
-    listed = predictions.select(system, run).distinct().orderBy(system, run).collect()
-    runs: dict = {}
-    for r in listed:
-        runs.setdefault(r[0], []).append(r[1])
-    names = list(runs)
-    factor = len(names) * (len(names) - 1)
-    out = None
-    for i, one in enumerate(names):
-        for other in names[i + 1:]:
-            pairs = sorted(((x, y) for x in runs[one] for y in runs[other]),
-                           key=lambda p: hashlib.md5(f"{seed}|{one}|{other}|{p[0]}|{p[1]}".encode()).hexdigest())
-            for x, y in pairs[:run_pairs]:
-                a = predictions.filter((F.col(system) == one) & (F.col(run) == x))
-                b = predictions.filter((F.col(system) == other) & (F.col(run) == y))
-                test = permutation_test(a, b, keys, metric, seed, resamples, factor).select(
-                    F.lit(one).alias("system_a"), F.lit(x).alias("run_a"), F.lit(other).alias("system_b"), F.lit(y).alias("run_b"), "*")
-                out = test if out is None else out.unionByName(test)
-    if out is None:
+    pair = ["system_a", "run_a", "system_b", "run_b"]
+    rows = predictions.select(F.col(system).alias("system"), F.col(run).alias("run"), *keys, "label", "pred")
+    listed = F.array_sort(F.collect_set(F.struct("system", "run")))
+    # systems and runs are configurations, a handful: one row lists them all
+    both = rows.agg(listed.alias("all"), F.count_distinct("system").alias("k")).withColumn("a", F.explode("all"))
+    both = both.withColumn("b", F.explode("all")).filter("a.system < b.system").select(
+        F.col("a.system").alias("system_a"), F.col("a.run").alias("run_a"), F.col("b.system").alias("system_b"), F.col("b.run").alias("run_b"),
+        (F.col("k") * (F.col("k") - 1)).alias("factor"))
+    order = Window.partitionBy("system_a", "system_b").orderBy(key_hash(seed, "system_a", "system_b", "run_a", "run_b"), "run_a", "run_b")
+    drawn = cut(both.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= run_pairs).drop("_n"))
+    if drawn.isEmpty():
         raise ValueError("a comparison needs two systems")
-    return out
+    known = rows.filter("pred IS NOT NULL")
+    left = known.withColumnsRenamed({"system": "system_a", "run": "run_a", "pred": "x"})
+    right = known.drop("label").withColumnsRenamed({"system": "system_b", "run": "run_b", "pred": "y"})
+    met = drawn.join(left, ["system_a", "run_a"]).join(right, ["system_b", "run_b", *keys])
+    cells = cut(met.groupBy(*pair, "factor", "label", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+
+    def confusion(swapped: Column) -> list[Column]:
+        out = []
+        for side, own, other in (("x", "x", "y"), ("y", "y", "x")):
+            for name, label, pred in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0)):
+                hits = F.when(F.col(own) == pred, F.col("n") - swapped).otherwise(0) + F.when(F.col(other) == pred, swapped).otherwise(0)
+                out.append(F.sum(F.when(F.col("label") == label, hits).otherwise(0)).alias(f"{side}_{name}"))
+        return out
+
+    names = [f"{s}_{c}" for s in ("x", "y") for c in ("tp", "fp", "fn", "tn")]
+    observed = cells.groupBy(*pair, "factor").agg(*confusion(F.lit(0))).select(*pair, "factor", _difference(metric).alias("statistic"))
+    fixed = cells.filter("x = y").groupBy(*pair).agg(*confusion(F.lit(0))).withColumnsRenamed({c: f"_{c}" for c in names})
+    draws = cells.filter("x <> y").withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 32))))
+    bits = F.conv(F.substring(key_hash(seed, *pair, "label", "x", "y", "_r", "_chunk"), 1, 8), 16, 10).cast("long")
+    spare = F.greatest(F.lit(0), (F.col("_chunk") + 1) * 32 - F.col("n")).cast("int")
+    ones = F.bit_count(F.call_function("shiftright", bits, spare))
+    swaps = draws.groupBy(*pair, "_r", "label", "x", "y", "n").agg(F.sum(ones).alias("_swapped"))
+    resampled = swaps.groupBy(*pair, "_r").agg(*confusion(F.col("_swapped"))).join(fixed, pair, "left").select(
+        *pair, *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in names]).select(*pair, _difference(metric).alias("d"))
+    tails = resampled.join(observed, pair).groupBy(*pair).agg(
+        F.count_if(F.col("d") <= F.col("statistic") + 1e-12).alias("low"), F.count_if(F.col("d") >= F.col("statistic") - 1e-12).alias("high"))
+    smaller = (F.least("low", "high") + 1) / F.lit(resamples + 1.0)
+    # without any disagreement every resample equals the observation
+    p = F.when(F.col("low").isNull(), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * smaller))
+    return observed.join(tails, pair, "left").select(
+        *pair, "statistic", p.alias("p"), F.least(F.lit(1.0), p * F.col("factor")).alias("p_corrected"))
