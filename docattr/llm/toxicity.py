@@ -210,7 +210,7 @@ def _limit(scores: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, expected_severity, grade, toxic) of every row; ``grade`` is the most likely one."""
+    """(doc_id, expected_severity, grade, toxic) of every row; ``grade`` is the expectation rounded to the next grade, ``toxic`` whether it is above the fitted limit."""
     schema = pa.schema([("doc_id", pa.int64()), ("expected_severity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
