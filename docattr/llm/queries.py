@@ -88,36 +88,30 @@ def _pii_sql() -> str:
             "substr(reverse(dg), i::INT, 1)::INT * (2 - i % 2) - CASE WHEN substr(reverse(dg), i::INT, 1)::INT * (2 - i % 2) > 9 THEN 9 ELSE 0 END)) % 10 = 0")
     name = "CASE kind WHEN 0 THEN 'email' WHEN 1 THEN 'ip' WHEN 2 THEN 'card' WHEN 3 THEN 'phone' ELSE 'term' END"
     blank = r"[\x20\x09-\x0D]"
-
-    def side(column: str, origin: str) -> str:
-        return f"""SELECT doc_id, kind, value, lower(ps[j]) AS term,
-            {origin} + coalesce(list_sum(list_transform(ps[1:j - 1], lambda p: length(p) + 1)), 0) AS start, length(ps[j]) AS n
-          FROM (SELECT *, unnest(range(2, len(ps))) AS j FROM (SELECT *, string_split_regex({column}, '{blank}') AS ps FROM base))"""
-
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     hits AS (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM ({found}) WHERE len(hs) > 0),
     placed AS (
       SELECT doc_id, kind, hs[i] AS value, regexp_replace(hs[i], '[^0-9]', '', 'g') AS dg,
-             list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: length(x))), 0) AS start,
-             right(CASE WHEN i = 1 THEN ' ' || gs[i] ELSE gs[i] END, 61) AS before,
-             left(CASE WHEN i = len(hs) THEN gs[i + 1] || ' ' ELSE gs[i + 1] END, 61) AS after FROM hits),
+             list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hs[1:i - 1], lambda x: length(x))), 0) AS start FROM hits),
     base AS (
       SELECT *, start + length(value) AS stop FROM placed WHERE CASE kind WHEN 0 THEN true
         WHEN 1 THEN len(list_filter(string_split(value, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INT), 0) > 255)) = 0
         WHEN 2 THEN length(dg) BETWEEN 14 AND 19 AND {luhn} ELSE length(dg) BETWEEN 10 AND 15 END),
-    near AS (
-      SELECT DISTINCT doc_id, kind, value, term, start, n FROM ({side('before', 'start - length(before)')} UNION ALL {side('after', 'stop')})
-      WHERE regexp_matches(term, '\p{{L}}') AND NOT regexp_matches(term, '[0-9@]')),
-    pairs AS (SELECT kind, value, term, count(DISTINCT doc_id) AS n_ct FROM near GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+    pieces AS (
+      SELECT doc_id, unnest(ps) AS piece, unnest(range(len(ps))) AS pos FROM (SELECT doc_id, string_split_regex(text, '{blank}') AS ps FROM d)),
+    words AS (
+      SELECT doc_id, lower(piece) AS term, length(piece) AS n,
+             coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM pieces QUALIFY regexp_matches(term, '\p{{L}}') AND NOT regexp_matches(term, '[0-9@]')),
+    held AS (SELECT DISTINCT doc_id, term FROM words),
+    seen AS (SELECT term, count(*) AS n_t FROM held GROUP BY term),
     ents AS (SELECT kind, value, count(DISTINCT doc_id) AS n_c FROM base GROUP BY ALL),
-    seen AS (
-      SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+'))) AS term FROM d)
-      WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+    pairs AS (SELECT kind, value, term, count(*) AS n_ct FROM (SELECT DISTINCT doc_id, kind, value FROM base) JOIN held USING (doc_id) GROUP BY ALL),
     told AS (
-      SELECT kind, value, term FROM pairs JOIN ents USING (kind, value) JOIN seen USING (term), (SELECT count(*)::DOUBLE AS total FROM d)
-      WHERE n_c < total AND log2(n_ct * total / (n_c * n_t)) / log2(total / n_c) >= 0.9),
-    terms AS (SELECT DISTINCT doc_id, 4 AS kind, start, start + n AS stop FROM near JOIN told USING (kind, value, term)),
+      SELECT DISTINCT term FROM pairs JOIN ents USING (kind, value) JOIN seen USING (term), (SELECT count(*)::DOUBLE AS total FROM d)
+      WHERE n_c < total AND log2(total * n_ct / (n_c * (n_t + 1.0::DOUBLE))) / log2(total / n_c) >= 0.9 - 1e-9),
+    terms AS (SELECT doc_id, 4 AS kind, start, start + n AS stop FROM words JOIN told USING (term)),
     every AS (SELECT doc_id, kind, start, stop FROM base UNION ALL SELECT * FROM terms),
     listed AS (
       SELECT doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card,

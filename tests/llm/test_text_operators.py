@@ -1,6 +1,7 @@
 """Mixing, packing, personal data, substrings and fingerprints against plain loops, and the edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -215,19 +216,67 @@ def test_base_spans_of_any_text(spark, texts):
         assert [s for s in r.spans.split(",") if s] == plain_spans(texts[r.doc_id])
 
 
+def plain_terms(texts):
+    """Places of the disclosing terms of every text, by counting documents of every pair."""
+    held = [{w.lower() for w in re.split(r"[\x20\x09-\x0D]", t or "") if re.search(r"[^\W\d_]", w) and not re.search("[0-9@]", w)} for t in texts]
+    entities = {}
+    for i, t in enumerate(texts):
+        for s in plain_spans(t):
+            kind, a, b = s.split(":")
+            entities.setdefault((kind, t[int(a):int(b)]), set()).add(i)
+    total, told = len(texts), set()
+    for docs in entities.values():
+        for term in set().union(*(held[i] for i in docs)) if len(docs) < total else ():
+            holders = {i for i, h in enumerate(held) if term in h}
+            pmi = math.log2(total * len(holders & docs) / (len(docs) * (len(holders) + 1)))
+            if pmi / math.log2(total / len(docs)) >= 0.9 - 1e-9:
+                told.add(term)
+    return [[f"term:{m.start()}:{m.end()}" for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "") if m.group().lower() in told] for t in texts]
+
+
 def test_terms_that_disclose_an_entity(spark):
-    """Zorblatt stands near one address only; 'call' stands everywhere."""
-    rows = [(i, f"please call Zorblatt at q{'' if i else ''}@corp.example.com number {i}", "s") for i in range(4)]
+    """Zorblatt stands in documents of one address only, wherever in them; 'call' stands everywhere."""
+    rows = [(i, f"Please call Zorblatt {'so it goes ' * 40} at q@corp.example.com number {i}, ZORBLATT\tor", "s") for i in range(4)]
     rows += [(10 + i, f"please call me at p{i}@corp.example.com", "s") for i in range(4)]
-    rows += [(20 + i, "please call at noon", "s") for i in range(4)]
+    rows += [(20 + i, "please call at noon so it goes", "s") for i in range(60)]
     docs = frame(spark, rows)
+    text = {i: t for i, t, _ in rows}
     for r in pii.report(docs).collect():
-        text = dict((i, t) for i, t, _ in rows)[r.doc_id]
         terms = [s.split(":") for s in r.spans.split(",") if s.startswith("term")]
-        assert {text[int(a):int(b)] for _, a, b in terms} == ({"Zorblatt", "number"} if r.doc_id < 10 else set())
+        assert [text[r.doc_id][int(a):int(b)] for _, a, b in terms] == (["Zorblatt", "number", "ZORBLATT", "or"] if r.doc_id < 10 else [])
     clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
-    assert clean[0] == "please call  at [EMAIL]  0" and clean[11] == "please call me at [EMAIL]" and clean[20] == "please call at noon"
+    assert clean[0] == f"Please call [TERM] {'so it goes ' * 40} at [EMAIL] [TERM] 0, [TERM]\t[TERM]"
+    assert clean[11] == "please call me at [EMAIL]" and clean[20] == text[20]
     assert pii.redact(docs).columns == docs.columns
+    # above the second threshold terms go
+    assert {r.doc_id: r.text for r in pii.redact(docs, remove=0.91).collect()}[1] == f"Please call  {'so it goes ' * 40} at [EMAIL]  1, \t"
+
+
+def test_terms_equal_plain_counts(spark):
+    """Shared and lone entities, several in one document, terms far from them and in texts without any; equal rows count each."""
+    rng = random.Random(5)
+    rare = [f"Rare{chr(97 + i % 26)}{chr(97 + i // 26)}É" for i in range(120)]
+    texts = []
+    for i in range(1100):
+        words = [rng.choice(["the", "of", "and", "a4", "x@y", "plain"]) for _ in range(rng.randrange(12))]
+        if i % 20 == 0:
+            # most documents of an address hold its own word, too
+            own = rng.randrange(30)
+            words += [f"m{own}@h.de", f"10.0.0.{rng.randrange(9)}"] + [f"Own{chr(97 + own % 26)}"] * rng.randrange(3)
+        words += rng.choices(rare, k=2 if i % 20 == 0 else i % 9 == 0)
+        rng.shuffle(words)
+        texts.append(rng.choice([" ", "  ", "\n\t"]).join(words))
+    texts += [texts[0]] * 3 + [None, "", " ", "Rareaaé " * 500]
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    want = plain_terms(texts)
+    assert sum(map(len, want)) > 20
+    got = {r.doc_id: ([s for s in r.spans.split(",") if s.startswith("term")], r.n_term) for r in pii.report(docs).collect()}
+    assert got == {i: (w, len(w)) for i, w in enumerate(want)}
+    # equal rows are documents of their own and get the same spans
+    twice = [(i // 2, texts[i // 2], "s") for i in range(2 * len(texts))]
+    want = plain_terms([t for _, t, _ in twice])
+    rows = sorted((r.doc_id, r.spans) for r in pii.report(frame(spark, twice)).collect())
+    assert [[s for s in x.split(",") if s.startswith("term")] for _, x in rows] == want
 
 
 def test_redaction_of_edges(spark, docs, empty):
