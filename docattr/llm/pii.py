@@ -128,9 +128,13 @@ def _is_term(word: Column) -> Column:
     return word.rlike(r"\p{L}") & ~word.rlike("[0-9@]")
 
 
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(text), BLANK, -1))
+
+
 def _terms(text: Column) -> Column:
     """The distinct terms of a text."""
-    return F.filter(F.array_distinct(F.split(F.lower(text), BLANK, -1)), _is_term)
+    return F.filter(_distinct_words(text), _is_term)
 
 
 def found_in(docs: DataFrame) -> DataFrame:
@@ -164,8 +168,8 @@ def disclosing(docs: DataFrame, found: DataFrame, prior: float = PRIOR, generali
     def most_documents(n_c: Column) -> Column:
         return F.lit(total) * F.pow(n_c / F.lit(total), F.lit(generalise)) * (1 + NEARLY) - prior
 
-    # document frequencies of the holders' terms, counted map-side first
-    everywhere = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
+    # document frequencies of the holders' terms, counted map-side first; the filter knows terms only, so no other word is asked for
+    everywhere = docs.select(F.explode(_distinct_words(F.coalesce("text", F.lit("")))).alias("term"))
     seen = probed(everywhere, "term", asked).filter("maybe").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     limit = classes.agg(most_documents(F.max("most")).alias("n")).scalar()
     rare = cut(seen.filter(F.col("n_t") <= limit))
@@ -202,8 +206,7 @@ def occurrences(docs: DataFrame, told: DataFrame, remove: float = REMOVE) -> Dat
     Words are filtered where they are read; only those that may be told are moved, and only texts with one.
     """
     text = F.coalesce("text", F.lit(""))
-    pieces = docs.select(*row_keys("doc_id", "text"), F.posexplode(F.split(text, BLANK, -1)).alias("place", "word")).withColumn(
-        "term", F.lower("word")).filter(_is_term(F.col("term")))
+    pieces = docs.select(*row_keys("doc_id", "text"), F.posexplode(F.split(text, BLANK, -1)).alias("place", "word")).withColumn("term", F.lower("word"))
     action = F.when(F.col("share") >= remove - NEARLY, "remove").otherwise("generalise").alias("action")
     hits = probed(pieces, "term", told.select("term")).filter("maybe").join(told, "term")
     hits = cut(hits.groupBy("k1", "k2").agg(
