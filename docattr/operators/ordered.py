@@ -7,6 +7,7 @@ the carried table has at most one row per range and group crossing it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -158,36 +159,56 @@ def keep_where(df: DataFrame, name: str, value: Column, keep) -> DataFrame:
 # --- operators on the ordered parts of one document, held as an array in its row ----------
 
 
-def offsets(sizes: Column, delimiter: int = 1) -> Column:
-    """Start offset of every part when parts of these sizes are joined by a delimiter."""
-    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"))
+#: Parts folded at a time. A list that grows part by part is copied at every step, so it only grows to this length.
+PIECE = 256
+
+
+def _scan(sizes: Column, state: dict[str, Column], emit: Callable, advance: Callable) -> Column:
+    """What ``emit(state, size)`` gives for every part, while ``advance(state, size)`` moves the state along.
+
+    Pieces of ``PIECE`` parts are folded one after the other and their lists are appended whole, so a document of n
+    parts copies n * PIECE / 2 values and one pointer per pair of pieces instead of n * n / 2 values.
+    """
+    names = list(state)
 
     def step(s, n):
-        return F.struct(
-            F.concat(s["starts"], F.array(s["at"])).alias("starts"),
-            (s["at"] + n.cast("int") + F.lit(delimiter)).alias("at"),
-        )
+        n = n.cast("int")
+        moved = advance(s, n)
+        return F.struct(F.concat(s["_out"], F.array(emit(s, n))).alias("_out"), *[moved[k].alias(k) for k in names])
+
+    def build(parts):
+        def piece(s, start):
+            zero = F.struct(F.array().cast("array<int>").alias("_out"), *[s[k].alias(k) for k in names])
+            # parts are looked up by place, as a slice would copy the whole list first
+            places = F.sequence(start, F.least(start + F.lit(PIECE), F.size(parts)) - 1)
+            return F.aggregate(places, zero, lambda r, i: step(r, F.get(parts, i)), lambda r: F.struct(
+                F.concat(s["_lists"], F.array(r["_out"])).alias("_lists"), *[r[k].alias(k) for k in names]))
+
+        starts = F.transform(F.sequence(F.lit(0), F.floor(F.size(parts) / F.lit(PIECE)).cast("int")), lambda i: i * PIECE)
+        zero = F.struct(F.array().cast("array<array<int>>").alias("_lists"), *[v.alias(k) for k, v in state.items()])
+        return F.aggregate(F.filter(starts, lambda i: i < F.size(parts)), zero, piece, lambda s: F.flatten(s["_lists"]))
 
-    return F.aggregate(sizes, start, step, lambda s: s["starts"])
+    return bind(sizes, build)
+
+
+def offsets(sizes: Column, delimiter: int = 1) -> Column:
+    """Start offset of every part when parts of these sizes are joined by a delimiter."""
+    return _scan(sizes, {"at": F.lit(0)}, lambda s, n: s["at"], lambda s, n: {"at": s["at"] + n + F.lit(delimiter)})
 
 
 def pack_min(sizes: Column, minimum: int) -> Column:
     """Greedy group number of every part: a group grows while it stays below ``minimum``."""
-    start = F.struct(
-        F.array().cast("array<int>").alias("groups"), F.lit(-1).alias("group"), F.lit(0).alias("running")
-    )
 
-    def step(s, n):
-        n = n.cast("int")
-        extend = (s["group"] >= 0) & (s["running"] + n < F.lit(minimum))
-        group = F.when(extend, s["group"]).otherwise(s["group"] + 1)
-        return F.struct(
-            F.concat(s["groups"], F.array(group)).alias("groups"),
-            group.alias("group"),
-            F.when(extend, s["running"] + n).otherwise(n).alias("running"),
-        )
+    def extend(s, n):
+        return (s["group"] >= 0) & (s["running"] + n < F.lit(minimum))
+
+    def group(s, n):
+        return F.when(extend(s, n), s["group"]).otherwise(s["group"] + 1)
+
+    def advance(s, n):
+        return {"group": group(s, n), "running": F.when(extend(s, n), s["running"] + n).otherwise(n)}
 
-    return F.aggregate(sizes, start, step, lambda s: s["groups"])
+    return _scan(sizes, {"group": F.lit(-1), "running": F.lit(0)}, group, advance)
 
 
 def islands(flags: Column) -> Column:
