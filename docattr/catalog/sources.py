@@ -146,6 +146,17 @@ def s15(spark, d):
         F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("S15_bucketed_append", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY event_type")
+def s15b(spark, d):
+    path = scratch_path(spark, "s15")
+    name = "s15_" + path.rsplit("-", 1)[1]
+    events = table(spark, d, "events").select("event_id", "event_type", "value")
+    rd.bucketed_table(spark, name, ", ".join(f"{c} {t}" for c, t in events.dtypes), path, ["event_id"], 16)
+    for offered in (events.filter("event_type IN ('signup', 'view')"), events.unionByName(events.filter("value > 50"))):
+        rd.append_bucketed(offered, name, ["event_id"])
+    return spark.table(name).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("S16_resume_after_last", """
   SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > (SELECT max(l_orderkey) FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1 AND l_tax = 0.08)""")
 def s16(spark, d):

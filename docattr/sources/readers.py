@@ -83,6 +83,23 @@ def append_new(batch: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame
     return batch.join(stored.select(*key), key, "left_anti").dropDuplicates(key)
 
 
+def bucketed_table(spark: SparkSession, name: str, columns: str, path: str, key: list[str], buckets: int) -> None:
+    """A table whose files are split by key hash, registered over ``path``, which may hold rows of earlier sessions."""
+    keys = ", ".join(key)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
+
+
+def fresh_rows(batch: DataFrame, name: str, key: list[str]) -> DataFrame:
+    """``append_new`` against a bucketed table: the batch is sent to the table's buckets, stored rows stay where they are."""
+    stored = batch.sparkSession.table(name)
+    return append_new(batch, stored, key).select(*stored.columns)
+
+
+def append_bucketed(batch: DataFrame, name: str, key: list[str]) -> None:
+    """Append rows with new keys; the join leaves them by bucket, so each bucket gets at most one file per task."""
+    fresh_rows(batch, name, key).write.insertInto(name)
+
+
 def after_last(df: DataFrame, order: str, processed: DataFrame) -> DataFrame:
     """Rows after the last processed position."""
     mark = processed.agg(F.max(order)).scalar()
