@@ -57,15 +57,25 @@ def nested_pages(spark, d):
     return table(spark, d, "pages").select("page_id", html.alias("html"))
 
 
-@query("D04_strict_article_parser", f"""
+STRICT = f"""
   WITH nav AS (SELECT page_id, regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS n FROM pages WHERE contains(html, '<article>')),
   l AS (SELECT page_id, generate_subscripts(hs, 1) AS i, unnest(hs) AS url, unnest(ts) AS raw FROM (
     SELECT page_id, regexp_extract_all(n, '{ANCHOR}', 1) AS hs, regexp_extract_all(n, '{ANCHOR}', 2) AS ts FROM nav))
-  SELECT page_id, (i + 2)::INT AS pos, 'Body->Links->All' AS path, url, {plain_sql('raw')} AS explanation FROM l WHERE contains(url, '/')""")
+  SELECT page_id, (i + 2)::INT AS pos, 'Body->Links->All' AS path, url, {plain_sql('raw')} AS explanation FROM l WHERE contains(url, '/')"""
+
+
+@query("D04_strict_article_parser", STRICT)
 def d04(spark, d):
     return pg.entity_attributes(pg.article_stream(nested_pages(spark, d)), "page_id", "/")
 
 
+@query("D04_table_function", STRICT)
+def d04b(spark, d):
+    pg.register_table_functions(spark)
+    stream = spark.sql("SELECT p.page_id, e.* FROM {pages} AS p, LATERAL html_elements(p.html) AS e", pages=nested_pages(spark, d))
+    return pg.entity_attributes(stream, "page_id", "/")
+
+
 LEVELED = f"""lines AS (SELECT doc_id, pos, line, CASE WHEN {v.wc_sql('line')} BETWEEN 1 AND 3 THEN {v.wc_sql('line')} END AS level FROM (
     SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docattr.functions import html as h
@@ -159,6 +159,19 @@ def article_stream(pages: DataFrame, key: str = "page_id", html: str = "html", m
     return pages.select(key, html).mapInPandas(parse, f"{key} {field}, {STREAM_SCHEMA}")
 
 
+@F.udtf(returnType=STREAM_SCHEMA, useArrow=True)
+class HtmlElements:
+    """Strict element stream of one page as a table function: ``FROM pages, LATERAL html_elements(html)``."""
+
+    def eval(self, html: str):
+        yield from parse_article(html)
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """Make ``html_elements`` known to the SQL of this session."""
+    spark.udtf.register("html_elements", HtmlElements)
+
+
 def entity_attributes(stream: DataFrame, key: str, target: str) -> DataFrame:
     """(page, path, url, explanation) of the list items whose first link points at an attribute."""
     rows = heading_paths(stream, key, "pos", "level", "text").filter(F.col("href").contains(target))
