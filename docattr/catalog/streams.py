@@ -38,6 +38,13 @@ def st1b(spark, d):
     return spark.read.parquet(sink).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("ST1_keys_in_state_store", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def st1c(spark, d):
+    events = table(spark, d, "events").select("event_id", "event_type")
+    sink = run_in_two(spark, events.unionByName(events), lambda s, out, state: ingest.distinct_stream(s, ["event_id"], out, state))
+    return spark.read.parquet(sink).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("ST2_failure_breaker", TRIP_SQL)
 def st2(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", "event_type")

@@ -11,6 +11,7 @@ from docattr.operators.stats import compact_log
 from docattr.session import cut
 
 BUCKETS = 64
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -40,6 +41,26 @@ def ingest_stream(source: DataFrame, key: list[str], sink: str, checkpoint: str,
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def distinct_stream(source: DataFrame, key: list[str], sink: str, checkpoint: str) -> StreamingQuery:
+    """Append the first row of every key, with the keys in the state store.
+
+    The engine keeps the keys by hash in RocksDB, checkpointed with the offsets, so a batch neither reads the sink nor
+    shuffles stored rows, and nothing is kept per batch but the checkpoint. The number of state partitions is the
+    session's number of shuffle partitions at the first start. Null is a key like any other.
+    """
+    conf, name = source.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, ROCKSDB)
+    try:
+        # a query takes its settings along when it starts
+        return (
+            source.dropDuplicates(key).writeStream.format("parquet").option("path", sink)
+            .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        )
+    finally:
+        conf.set(name, before)
+
+
 def breaker_stream(source: DataFrame, key: str, order: str, failed: Column, n: int, sink: str, checkpoint: str) -> StreamingQuery:
     """(key, tripped_at) once a source has failed ``n`` times in a row.
 
