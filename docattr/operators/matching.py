@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docattr.operators.graph import components
 from docattr.operators.ordered import bind, keep_where
 from docattr.session import cut, discard
 
@@ -150,29 +151,76 @@ def fuzzy_pairs(
     return keep_where(scored, "lcs", score, lambda x: x >= min_lcs).select(block, left, right, "lcs", "tok")
 
 
-def greedy_matching(pairs: DataFrame, block: str, left: str, right: str, scores: list[str]) -> DataFrame:
-    """One-to-one pairs taken by descending scores, ties by name.
+def greedy_matching(
+    pairs: DataFrame, block: str, left: str, right: str, scores: list[str], rounds: int = 2, group_pairs: int = 1_000_000,
+) -> DataFrame:
+    """One-to-one pairs taken by descending scores, ties by name. A pair without a block or a name is none.
 
     A pair that is best for both its sides would be taken before any rival, so all such
     pairs are taken in one round; pairs sharing a side with them drop out. The order is
     total, so the outcome equals the sequential scan. Both bests are plain aggregates.
+
+    A chain of pairs, each dominated by the one before, would take a round per link. What is left after ``rounds``
+    rounds is therefore split into connected groups, found in logarithmically many rounds, and a task walks its groups in
+    order, one batch at a time, keeping the names of the group at hand. Only a group of more than ``group_pairs`` pairs
+    goes on in rounds, until it falls apart or is small enough.
     """
     rank = F.struct(*[(-F.col(s)).alias(f"_{s}") for s in scores], F.col(left).alias("_l"), F.col(right).alias("_r"))
-    open_pairs = cut(pairs.withColumn("_rank", rank))
-    taken = []
+    open_pairs = cut(pairs.dropna(subset=[block, left, right]).withColumn("_rank", rank))
+    taken, round_ = [], 0
     while not open_pairs.isEmpty():
-        best_left = open_pairs.groupBy(block, left).agg(F.min("_rank").alias("_rank"))
-        best_right = open_pairs.groupBy(block, right).agg(F.min("_rank").alias("_rank"))
-        mutual = best_left.join(best_right, [block, "_rank"])
-        won = cut(open_pairs.join(mutual.select(block, left, right), [block, left, right], "left_semi"))
-        taken.append(won)
-        rest = open_pairs.join(won.select(block, left), [block, left], "left_anti")
-        last, open_pairs = open_pairs, cut(rest.join(won.select(block, right), [block, right], "left_anti"))
+        last, round_ = open_pairs, round_ + 1
+        if round_ % (rounds + 1):
+            best_left = open_pairs.groupBy(block, left).agg(F.min("_rank").alias("_rank"))
+            best_right = open_pairs.groupBy(block, right).agg(F.min("_rank").alias("_rank"))
+            mutual = best_left.join(best_right, [block, "_rank"])
+            won = cut(open_pairs.join(mutual.select(block, left, right), [block, left, right], "left_semi"))
+            rest = open_pairs.join(won.select(block, left), [block, left], "left_anti")
+            open_pairs = cut(rest.join(won.select(block, right), [block, right], "left_anti"))
+            taken.append(won.drop("_rank"))
+        else:
+            grouped = cut(_connected(open_pairs, block, left, right))
+            large = cut(grouped.groupBy("_root").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_pairs).select("_root"))
+            taken.append(cut(_walk(grouped.join(large, "_root", "left_anti"), block, left, right)))
+            open_pairs = cut(grouped.join(large, "_root", "left_semi").drop("_root"))
+            discard(grouped, large)
         discard(last)
-    out = taken[0] if taken else open_pairs
+    out = taken[0] if taken else open_pairs.drop("_rank")
     for more in taken[1:]:
         out = out.unionByName(more)
-    return out.drop("_rank")
+    return out
+
+
+def _connected(pairs: DataFrame, block: str, left: str, right: str) -> DataFrame:
+    """Pairs with the ``_root`` of their connected group. Nodes are hashes; two that agree only put groups together."""
+    named = pairs.withColumn("_node", F.xxhash64(block, left))
+    first = named.groupBy(block, right).agg(F.min("_node").alias("_first"))
+    roots = components(named.join(first, [block, right]), "_node", "_first")
+    return named.join(roots.withColumnsRenamed({"node": "_node", "root": "_root"}), "_node").drop("_node")
+
+
+def _walk(grouped: DataFrame, block: str, left: str, right: str) -> DataFrame:
+    """The pairs that a scan of each group in order takes."""
+
+    def scan(batches):
+        import pyarrow as pa
+
+        root, of_left, of_right = None, {}, {}
+        for batch in batches:
+            keep = []
+            for at, *pair in zip(*[batch.column(c).to_pylist() for c in ("_root", block, left, right)]):
+                if at != root:
+                    root, of_left, of_right = at, {}, {}
+                a, b = (pair[0], pair[1]), (pair[0], pair[2])
+                # a repeated row of a pair that was taken is taken, too
+                fits = of_left.get(a, b) == b and of_right.get(b, a) == a
+                if fits:
+                    of_left[a], of_right[b] = b, a
+                keep.append(fits)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = grouped.repartition("_root").sortWithinPartitions("_root", "_rank").drop("_rank")
+    return ordered.mapInArrow(scan, ordered.schema).drop("_root")
 
 
 def best_unique_match(names: DataFrame, cast: DataFrame, block: str, name: str, member: str, common: int = COMMON) -> DataFrame:
