@@ -91,6 +91,24 @@ def g04(spark, d):
     return graph.greedy_cover(covers, "nation", "l_partkey").withColumn("coverage", F.round("coverage", 6))
 
 
+SCREEN = """
+  WITH RECURSIVE b AS (SELECT DISTINCT o_custkey AS d, l_partkey AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  lists AS (SELECT d, list(s) AS l FROM b GROUP BY d),
+  walk AS (
+    SELECT 0 AS step, NULL::BIGINT AS d, 0::BIGINT AS gain, (SELECT list(DISTINCT s) FROM b) AS todo
+    UNION ALL
+    (SELECT w.step + 1, x.d, len(list_intersect(x.l, w.todo))::BIGINT AS g, list_filter(w.todo, lambda q: NOT list_contains(x.l, q))
+     FROM walk w, lists x WHERE len(w.todo) > 0 ORDER BY g DESC, x.d LIMIT 1))
+  SELECT d AS o_custkey, step::BIGINT AS step, gain, round(100.0 * sum(gain) OVER (ORDER BY step) / (SELECT count(DISTINCT s) FROM b), 6) AS coverage FROM walk WHERE step > 0"""
+
+
+@query("G04_screening_cover", SCREEN)
+def g04b(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    bought = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(orders, "l_orderkey")
+    return graph.greedy_cover(bought, "o_custkey", "l_partkey").withColumn("coverage", F.round("coverage", 6))
+
+
 @query("G05_frontier_expansion", f"""
   WITH links AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{ANCHOR}', 1)) AS href FROM pages),
   edges AS (SELECT url, 'https://example.org' || href AS target FROM links WHERE contains(href, '/t'))

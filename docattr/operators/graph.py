@@ -102,22 +102,40 @@ def leakage_safe_split(
     return each.join(flags, entity, "left").select(entity, attribute, part.alias("partition"))
 
 
-def greedy_cover(bridge: DataFrame, document: str, sample: str) -> DataFrame:
-    """(document, step, gain, coverage): documents in greedy order until every sample is covered.
+def greedy_cover(bridge: DataFrame, document: str, sample: str, ahead: int = 16) -> DataFrame:
+    """(document, step, gain, coverage): documents in greedy order until every sample is covered, ties by document.
 
-    A document that is the best choice for each of its open samples keeps its gain until the
-    greedy order reaches it, so all such documents are taken in one round. Gains never grow,
-    hence the greedy order is by gain, ties by document.
+    Gains never grow, hence the greedy order is by gain, ties by document, and documents may be found in any order as
+    long as each has the gain it has when its turn comes. Two kinds of rounds find them:
+
+    * A document that is the best choice for each of its open samples keeps its gain until its turn, so all such
+      documents are taken at once. This takes many where documents overlap little.
+    * Where that takes fewer than ``ahead``, the ``ahead`` documents of highest gain are looked at together. The open
+      samples are counted by which of them hold it, at most 2 ** ahead counts, and these give the exact gains after
+      every choice among them. Choices are made while they come before the gain that the next document still had.
+
+    Rows without a document or a sample are left out.
     """
-    open_pairs = cut(bridge.select(F.col(document).alias("d"), F.col(sample).alias("s")).distinct())
+    from docattr.operators.ordered import global_index, running_total
+
+    if not 1 <= ahead <= 16:
+        raise ValueError("between 1 and 16 documents can be looked at together")
+    pairs = bridge.select(F.col(document).alias("d"), F.col(sample).alias("s")).dropna().distinct()
+    open_pairs = cut(pairs)
     total = open_pairs.select("s").distinct().count()
-    rounds = []
+    rounds, together = [], False
     while not open_pairs.isEmpty():
         gains = open_pairs.groupBy("d").agg(F.count(F.lit(1)).alias("gain"))
-        ranked = open_pairs.join(gains, "d")
-        best = ranked.groupBy("s").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("d").alias("d"))).alias("b"))
-        wins = best.groupBy(F.col("b.d").alias("d"), (-F.col("b.g")).alias("gain")).agg(F.count(F.lit(1)).alias("won"))
-        chosen = cut(wins.filter("won = gain").select("d", "gain"))
+        if together:
+            picks = _look_ahead(open_pairs, gains, ahead)
+            chosen = bridge.sparkSession.createDataFrame(picks, gains.select("d", "gain").schema).coalesce(1)
+            together = len(picks) < ahead
+        else:
+            ranked = open_pairs.join(gains, "d")
+            best = ranked.groupBy("s").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("d").alias("d"))).alias("b"))
+            wins = best.groupBy(F.col("b.d").alias("d"), (-F.col("b.g")).alias("gain")).agg(F.count(F.lit(1)).alias("won"))
+            chosen = cut(wins.filter("won = gain").select("d", "gain"))
+            together = chosen.count() < ahead
         rounds.append(chosen)
         covered = open_pairs.join(chosen.select("d"), "d", "left_semi").select("s").distinct()
         last, open_pairs = open_pairs, cut(open_pairs.join(covered, "s", "left_anti"))
@@ -125,10 +143,32 @@ def greedy_cover(bridge: DataFrame, document: str, sample: str) -> DataFrame:
     out = rounds[0] if rounds else open_pairs.select("d", F.lit(0).cast("long").alias("gain"))
     for more in rounds[1:]:
         out = out.unionByName(more)
-    from docattr.operators.ordered import global_index, running_total
-
     order = [F.col("gain").desc(), F.col("d")]
     steps = global_index(out, order, "step").withColumn("step", F.col("step") + 1)
     covered = running_total(steps, ["step"], F.col("gain"), "_sum")
     return covered.select(
         F.col("d").alias(document), "step", "gain", (F.lit(100.0) * F.col("_sum") / F.lit(total)).alias("coverage"))
+
+
+def _look_ahead(open_pairs: DataFrame, gains: DataFrame, ahead: int) -> list[tuple]:
+    """(d, gain) of the next choices that can be made among the ``ahead`` documents of highest gain, at least one."""
+    top = gains.orderBy(F.col("gain").desc(), "d").limit(ahead + 1).collect()
+    looked, rest = top[:ahead], top[ahead:]
+    names = F.array(*[F.lit(r.d).cast(open_pairs.schema["d"].dataType) for r in looked])
+    places = open_pairs.select("s", F.array_position(names, F.col("d")).alias("i")).filter("i > 0")
+    held = places.groupBy("s").agg(F.sum(F.expr("shiftleft(1, CAST(i - 1 AS INT))")).alias("held"))
+    counts = held.groupBy("held").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 ** ahead rows of two numbers
+    chosen, left = [], {r.held: r.n for r in counts}
+    bound = [(-r.gain, r.d) for r in rest]
+    while left:
+        now = [0] * len(looked)
+        for held_by, n in left.items():
+            for i in range(len(looked)):
+                now[i] += n * (held_by >> i & 1)
+        # documents that were taken hold nothing open any more
+        best = min((-n, looked[i].d, i) for i, n in enumerate(now) if n)
+        if bound and best[:2] > bound[0]:
+            break
+        chosen.append((best[1], -best[0]))
+        left = {h: n for h, n in left.items() if not h >> best[2] & 1}
+    return chosen
