@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docattr import session
 from docattr.operators import filters, graph, matching, metrics, ordered, prompts, sampling, segmentation
 from docattr.sources import readers
+from docattr.streaming import ingest
 
 
 def test_a_null_group_over_several_ranges(spark):
@@ -170,3 +171,100 @@ def test_breaker_over_batches(spark, tmp_path):
         ingest.breaker_stream(stream, "s", "o", F.col("bad"), 3, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").collect()
     assert {(r.s, r.tripped_at) for r in got} == {("a", 5), ("b", 7), ("c", 3)} and len(got) == 3
+
+
+def test_a_document_of_very_many_lines(spark):
+    n, minimum = 250_000, 97
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i % 1000 * 7919 % 41)
+    df = spark.range(1).select(ordered.offsets(sizes).alias("o"), ordered.pack_min(sizes, minimum).alias("g"))
+    got = df.first()
+    at, group, running = 0, -1, 0
+    starts, groups = [], []
+    for i in range(n):
+        size = i % 1000 * 7919 % 41
+        starts.append(at)
+        at += size + 1
+        if group >= 0 and running + size < minimum:
+            running += size
+        else:
+            group, running = group + 1, size
+        groups.append(group)
+    assert got.o == starts and got.g == groups
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 512, 513])
+def test_pieces_of_a_fold(spark, n):
+    df = spark.createDataFrame([([1] * n,), (None,)], "s array<int>")
+    got = df.select(ordered.offsets(F.col("s"), 0).alias("o"), ordered.pack_min(F.col("s"), 4).alias("g")).collect()
+    assert got[0].o == list(range(n)) and got[0].g == [i // 3 for i in range(n)]
+    assert got[1].o is None and got[1].g is None
+
+
+def test_bucketed_append_leaves_stored_rows_in_place(spark, tmp_path):
+    name = "bucketed_append_test"
+    readers.bucketed_table(spark, name, "a string, k bigint", str(tmp_path / "t"), ["k"], 8)
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("a"))
+    readers.append_bucketed(rows, name, ["k"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        more = spark.range(2000).select(F.lit("y").alias("a"), (F.col("id") % 1000 + 500).alias("k"))
+        plan = readers.fresh_rows(more, name, ["k"])._jdf.queryExecution().executedPlan().toString()
+        readers.append_bucketed(more, name, ["k"])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    found = {r.a: r.n for r in spark.table(name).groupBy("a").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spark.sql(f"DROP TABLE {name}")
+    assert found == {"x": 1000, "y": 500}
+
+
+def test_keys_in_the_state_store_survive_a_restart(spark, tmp_path):
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for part in ([1, 2, 2, None], [2, 3, None], [1, 3, 4]):
+        spark.createDataFrame([(k,) for k in part], "k int").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k int").parquet(source)
+        ingest.distinct_stream(stream, ["k"], sink, state).awaitTermination()
+    assert sorted((r.k for r in spark.read.parquet(sink).collect()), key=str) == [1, 2, 3, 4, None]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == kept
+
+
+def test_a_chain_of_dominated_pairs(spark, monkeypatch):
+    """Every pair of the chain but the first is dominated by the one before, so rounds of best pairs take one each."""
+    n = 1000
+    chain = [("c", f"l{i // 2:04}" if i % 2 == 0 else f"l{i // 2 + 1:04}", f"r{i // 2:04}", float(n - i)) for i in range(n)]
+    others = [(f"b{i % 7}", f"l{i % 11}", f"r{i * i % 13}", float(i * 37 % 101)) for i in range(200)]
+    tables = []
+    for module in (matching, graph):
+        monkeypatch.setattr(module, "cut", lambda df, name=module.__name__: tables.append(name) or session.cut(df))
+    rows = [*chain, *others, ("c", None, "r0000", 2000.0), ("c", "l0000", None, 2000.0)]
+    pairs = spark.createDataFrame(rows, "blk string, a string, b string, s double")
+    got = matching.greedy_matching(pairs, "blk", "a", "b", ["s"])
+    used, want = set(), set()
+    for blk, a, b, s in sorted((r for r in rows if r[1] and r[2]), key=lambda r: (-r[3], r[1], r[2])):
+        if (blk, "a", a) not in used and (blk, "b", b) not in used:
+            used |= {(blk, "a", a), (blk, "b", b)}
+            want.add((blk, a, b))
+    assert {(r.blk, r.a, r.b) for r in got.collect()} == want
+    # two rounds of best pairs, then the groups: rounds that write a table each
+    assert tables.count(graph.__name__) <= 12 and tables.count(matching.__name__) <= 12
+    # groups beyond the bound go on in rounds and give the same pairs
+    few = pairs.filter("blk <> 'c'")
+    split = matching.greedy_matching(few, "blk", "a", "b", ["s"], rounds=1, group_pairs=3)
+    assert {(r.blk, r.a, r.b) for r in split.collect()} == {w for w in want if w[0] != "c"}
+
+
+@pytest.mark.parametrize("ahead", [1, 3, 16])
+def test_cover_looks_ahead(spark, ahead):
+    rows = [(i % 60, i * i * 31 % 997 % 400) for i in range(2400)] + [(i % 5 + 100, 500 + i) for i in range(40)] + [(7, None), (None, 3)]
+    got = graph.greedy_cover(spark.createDataFrame(rows, "d int, s int"), "d", "s", ahead).orderBy("step").collect()
+    held = {}
+    for d, s in rows:
+        if d is not None and s is not None:
+            held.setdefault(d, set()).add(s)
+    todo, want = set().union(*held.values()), []
+    while todo:
+        d = min(held, key=lambda x: (-len(held[x] & todo), x))
+        want.append((d, len(held[d] & todo)))
+        todo -= held[d]
+    assert [(r.d, r.gain) for r in got] == want
