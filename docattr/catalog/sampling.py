@@ -19,9 +19,10 @@ ROWS = f"""{v.FACTS}, {v.RELATION}, pos AS (SELECT DISTINCT entity, document, at
   held AS (SELECT DISTINCT entity, attribute FROM facts)"""
 
 
-@query("R02_inject_negatives", f"""
+def negatives_sql(words, held="", none=""):
+    return f"""
   WITH {ROWS},
-  vocab AS (SELECT list(attribute ORDER BY attribute) AS vs FROM (SELECT DISTINCT attribute FROM facts)),
+  vocab AS (SELECT list(attribute ORDER BY attribute) AS vs FROM {words}),
   free AS (SELECT entity, list_filter(vs, lambda x: NOT list_contains(h, x)) AS f FROM (SELECT entity, list(attribute) AS h FROM held GROUP BY entity), vocab),
   anto AS (SELECT p.entity, p.document, p.attribute, arg_min(antonym, {v.h_sql(12, 'p.entity', 'p.document', 'p.attribute', 'antonym')}) AS anto
     FROM pos p JOIN relation r ON r.attribute = p.attribute AND r.antonym <> p.attribute
@@ -29,12 +30,25 @@ ROWS = f"""{v.FACTS}, {v.RELATION}, pos AS (SELECT DISTINCT entity, document, at
   pick AS (SELECT p.entity, p.document, CASE WHEN anto IS NOT NULL AND (len(f) = 0 OR {v.u_sql(11, 'p.entity', 'p.document', 'p.attribute')} < 0.5) THEN anto
       ELSE f[floor({v.u_sql(13, 'p.entity', 'p.document', 'p.attribute')} * len(f))::INT + 1] END AS attribute
     FROM pos p JOIN free USING (entity) LEFT JOIN anto a ON a.entity = p.entity AND a.document = p.document AND a.attribute = p.attribute WHERE len(f) > 0 OR anto IS NOT NULL)
-  SELECT entity, document, attribute, 1 AS label FROM pos UNION ALL SELECT DISTINCT entity, document, attribute, 0 FROM pick""")
+  SELECT entity, document, attribute{held}, 1 AS label FROM pos UNION ALL SELECT DISTINCT entity, document, attribute{none}, 0 FROM pick"""
+
+
+@query("R02_inject_negatives", negatives_sql("(SELECT DISTINCT attribute FROM facts)"))
 def r02(spark, d):
     return sm.inject_negatives(
         v.facts(spark, d), ["entity", "document", "attribute"], "entity", "attribute", v.relation(spark, d), 11)
 
 
+@query("R02_negatives_of_vocabulary", negatives_sql(
+    "(SELECT p_brand AS attribute FROM part UNION SELECT p_type FROM part)", ", 'holds ' || attribute AS note", ", NULL"))
+def r02b(spark, d):
+    part = table(spark, d, "part")
+    vocab = part.select(F.col("p_brand").alias("attribute")).unionByName(part.select(F.col("p_type").alias("attribute")))
+    facts = v.facts(spark, d).withColumn("note", F.concat(F.lit("holds "), "attribute"))
+    return sm.inject_negatives(
+        facts, ["entity", "document", "attribute"], "entity", "attribute", v.relation(spark, d), 11, vocab=vocab, blank=["note"])
+
+
 MULTI = f"""{v.FACTS}, {v.RELATION}, held AS (SELECT DISTINCT entity, attribute FROM facts),
   own AS (SELECT h.entity, h.attribute, r.antonym AS o FROM held h JOIN relation r ON r.attribute = h.attribute AND r.antonym <> h.attribute
     WHERE NOT EXISTS (SELECT 1 FROM held x WHERE x.entity = h.entity AND x.attribute = r.antonym)),
