@@ -6,10 +6,11 @@ min-hashes over five-word shingles: ``BANDS`` bands of ``ROWS`` minima each, two
 on a band, which pairs of similarity 0.8 miss with probability (1 - 0.8 ** ROWS) ** BANDS = 0.002. Every
 candidate is verified: its shingle sets are joined and their exact similarity (common ones over all of both) decides.
 
-A band's texts are not paired with each other: each meets ``HEADS`` texts of its band, drawn by hash per band
-(all of them in bands of two, nearly all in small ones), so pairs grow with texts and not with the square of a
-group, and a text whose similar one is no head in one band has the other bands. Texts of equal shingle sets are one
-text, and pairs that the fingerprints already link are not compared.
+A band's texts are not paired with each other at first: each meets ``HEADS`` texts of its band, drawn by hash per band
+(all of them in bands of two, nearly all in small ones), so pairs grow with texts where a band's texts are similar. Then
+the rest is compared exactly: all pairs of texts of a band that are still in different groups and have not met. So no
+two similar texts of a band are left apart. Texts of equal shingle sets are one text, and pairs that are already
+linked are not compared.
 
 Defined cases: those of ``simhash``; A-Z fall to a-z; a text of fewer than five words has one shingle, the
 whole of it; texts without words have none and are linked by their fingerprint only.
@@ -91,12 +92,27 @@ def marks(docs: DataFrame) -> DataFrame:
         run, "doc_id long, row struct<a:long,b:long>, fp long, s1 long, s2 long, n long, bands array<long>")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """(x1, x2, y1, y2): pairs of sets to verify, of (s1, s2, n, root, bands): texts and the heads of their bands, with other
-    roots and sizes that allow the similarity. Bands of one text go before anything else is moved."""
+def in_bands(sets: DataFrame) -> DataFrame:
+    """(s1, s2, n, root, band): a row per set and band, without the bands of one text."""
     each = sets.select("s1", "s2", "n", "root", F.explode("bands").alias("band"))
     shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("band")
-    each = cut(each.join(cut(shared), "band"))
+    return cut(each.join(cut(shared), "band"))
+
+
+def _comparable(n: str, o: str) -> Column:
+    """Whether sizes allow the similarity."""
+    least, of = LEAST
+    return of * F.least(n, o) >= least * F.greatest(n, o)
+
+
+def _ordered(pairs: DataFrame, mine: Column, other: Column) -> DataFrame:
+    both = pairs.select(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"))
+    return both.select(F.col("x.s1").alias("x1"), F.col("x.s2").alias("x2"), F.col("y.s1").alias("y1"), F.col("y.s2").alias("y2")).distinct()
+
+
+def candidates(each: DataFrame) -> DataFrame:
+    """(x1, x2, y1, y2): pairs of sets to verify first, of rows as from ``in_bands``: texts and the heads of their bands, with other
+    roots and sizes that allow the similarity."""
     me = F.struct("s1", "s2", "n", "root")
 
     def head(i: int) -> Column:
@@ -104,12 +120,23 @@ def candidates(sets: DataFrame) -> DataFrame:
 
     heads = each.groupBy("band").agg(F.array_distinct(F.array(*[head(i) for i in range(HEADS)])).alias("heads"))
     met = each.join(heads, "band").select("s1", "s2", "n", "root", F.explode("heads").alias("o"))
-    least, of = LEAST
-    near = met.filter((F.col("root") != F.col("o.root")) & (
-        of * F.least("n", "o.n") >= least * F.greatest("n", "o.n")))
-    mine, other = F.struct("s1", "s2"), F.struct("o.s1", "o.s2")
-    both = near.select(F.least(mine, other).alias("x"), F.greatest(mine, other).alias("y"))
-    return both.select(F.col("x.s1").alias("x1"), F.col("x.s2").alias("x2"), F.col("y.s1").alias("y1"), F.col("y.s2").alias("y2")).distinct()
+    near = met.filter((F.col("root") != F.col("o.root")) & _comparable("n", "o.n"))
+    return _ordered(near, F.struct("s1", "s2"), F.struct("o.s1", "o.s2"))
+
+
+def rest(each: DataFrame, done: DataFrame) -> DataFrame:
+    """(x1, x2, y1, y2): all other pairs of a band with different roots and sizes that allow the similarity, without those in
+    ``done``. Roots are paired before texts, so texts of one root never meet."""
+    several = each.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
+    open_bands = cut(each.join(several, "band"))
+    roots = open_bands.select("band", "root").distinct()
+    two = roots.select("band", F.col("root").alias("u")).join(roots.select("band", F.col("root").alias("v")), "band").filter("u < v")
+
+    def side(root: str, c: str) -> DataFrame:
+        return open_bands.select("band", F.col("root").alias(root), F.struct("s1", "s2").alias(c), F.col("n").alias(f"n{c}"))
+
+    met = two.join(side("u", "x"), ["band", "u"]).join(side("v", "y"), ["band", "v"]).filter(_comparable("nx", "ny"))
+    return _ordered(met, F.col("x"), F.col("y")).join(done, ["x1", "x2", "y1", "y2"], "left_anti")
 
 
 def hashed(texts: DataFrame) -> DataFrame:
@@ -154,9 +181,22 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = cut(held.groupBy("s1", "s2", "n", "bands").agg(F.min("root").alias("root")))
     owner = sets.select("s1", "s2", "root")
     equal = held.select("s1", "s2", F.col("root").alias("u")).join(owner.withColumnsRenamed({"root": "v"}), ["s1", "s2"]).select("u", "v")
-    near = verified(docs, rows, cut(candidates(sets)))
-    similar = near.join(owner.toDF("x1", "x2", "u"), ["x1", "x2"]).join(owner.toDF("y1", "y2", "v"), ["y1", "y2"]).select("u", "v")
-    more = cut(star_components(equal.unionByName(similar), "u", "v")).select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    each = in_bands(sets)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        near = verified(docs, rows, pairs)
+        return near.join(owner.toDF("x1", "x2", "u"), ["x1", "x2"]).join(owner.toDF("y1", "y2", "v"), ["y1", "y2"]).select("u", "v")
+
+    def merged(links: DataFrame) -> DataFrame:
+        return cut(star_components(links, "u", "v")).select(F.col("node").alias("root"), F.col("root").alias("_root"))
+
+    first = cut(candidates(each))
+    links = cut(equal.unionByName(similar(first)))
+    more = merged(links)
+    held_roots = each.join(more, "root", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
+    left = cut(rest(held_roots, first))
+    if not left.isEmpty():
+        more = merged(links.unionByName(similar(left)))
     final = named.join(more, "root", "left").select("fp", F.coalesce("_root", "root").alias("root"))
     return rows.select("doc_id", "row", "fp").join(final, "fp").select("doc_id", "row", "root")
 

@@ -59,6 +59,40 @@ def test_recall_of_near_copies(spark, sf_dir):
     assert together >= 0.9 * len(pairs)
 
 
+def test_similar_texts_of_large_bands_are_linked_whoever_the_heads_are(spark):
+    """90 families of two: all share 92 words, so bands hold many families; the two of one are similar at 0.82, others at 0.79."""
+    def text(i, j):
+        return " ".join([f"common{k}" for k in range(92)] + [f"of{i}x{k}" for k in range(2)] + [f"at{i}x{j}x{k}" for k in range(10)])
+
+    rows = [(2 * i + j, text(i, j)) for i in range(90) for j in (0, 1)]
+    pairs = similar_pairs([t for _, t in rows])
+    assert len(pairs) == 90
+    found = near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    root = {r["doc_id"]: r["root"] for r in found}
+    assert [i for i in range(90) if root[2 * i] != root[2 * i + 1]] == []
+
+
+def test_the_rest_of_a_band_is_paired_once_between_groups(spark):
+    sets = spark.createDataFrame([(i, -i, 100 if i else 10, i // 4, [7]) for i in range(12)], "s1 long, s2 long, n long, root long, bands array<long>")
+    each = near.in_bands(sets)
+    first = near.candidates(each)
+    got = sorted(map(tuple, first.unionByName(near.rest(each, first)).collect()))
+    # the first is too small for the others
+    assert got == [(a, -a, b, -b) for a in range(1, 12) for b in range(a + 1, 12) if a // 4 != b // 4]
+
+
+def test_words_met_are_bounded_and_stay_in_the_task(monkeypatch):
+    import pickle
+
+    model = toxicity.Model({"bad": 2.0, "wors*": 1.0}, (0.5, 1.0), 0.5)
+    texts = [" ".join(f"w{i}x{j}" for j in range(30)) + " bad worst" for i in range(20)]
+    want = [model.severity(t) for t in texts]
+    assert len(model.met) > 50 and pickle.loads(pickle.dumps(model)).met == {}
+    monkeypatch.setattr(toxicity, "WORDS", 50)
+    small = pickle.loads(pickle.dumps(model))
+    assert [small.severity(t) for t in texts] == want and len(small.met) <= 50
+
+
 def test_final_pieces_are_those_of_the_stages_one_by_one(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
