@@ -26,8 +26,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,7 @@ FEATURES = 2048
 STEMS = (4, 5, 6, 7, 8)
 GRADES = 2
 HELD_OUT = 4
+WORDS = 50_000
 MIN_DOCS = 3
 MIN_GAP = 2.5
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
@@ -66,23 +66,31 @@ class Model:
     weights: dict[str, float]
     thresholds: tuple[float, ...]
     limit: float
+    #: Known features of words met, at most ``WORDS``; goes with the model when its task ends and is not sent.
+    met: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"met": {}}
+
+    def known(self, word: str) -> tuple[str, ...]:
+        found = self.met.get(word)
+        if found is None:
+            if len(self.met) >= WORDS:
+                self.met.clear()
+            found = self.met[word] = tuple(f for f in word_features(word) if f in self.weights)
+        return found
 
     def severity(self, text: str | None) -> float:
         if not self.thresholds:
             return 0.0
         known: Counter = Counter()
         for word, n in Counter((text or "").split()).items():
-            for feature in _known_features(self, word):
+            for feature in self.known(word):
                 known[feature] += n
         z = sum(self.weights[f] * math.log1p(n) for f, n in sorted(known.items()))
         return float(sum(1 / (1 + math.exp(min(700.0, t - z))) for t in self.thresholds))
 
 
-@lru_cache(maxsize=200_000)
-def _known_features(model: Model, word: str) -> tuple[str, ...]:
-    return tuple(f for f in word_features(word) if f in model.weights)
-
-
 NOTHING = Model({}, (), math.inf)
 
 
