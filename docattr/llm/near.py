@@ -8,9 +8,11 @@ candidate is verified: its shingle sets are joined and their exact similarity (c
 
 A band's texts are not paired with each other at first: each meets ``HEADS`` texts of its band, drawn by hash per band
 (all of them in bands of two, nearly all in small ones), so pairs grow with texts where a band's texts are similar. Then
-the rest is compared exactly: all pairs of texts of a band that are still in different groups and have not met. So no
-two similar texts of a band are left apart. Texts of equal shingle sets are one text, and pairs that are already
-linked are not compared.
+a bound takes out the texts that cannot be similar to any of another group: two texts have only shingles in common that occur
+in both their groups. The others meet the texts of their band that share most, as long as that
+halves them, and then the rest is compared exactly: all pairs of texts of a band that are still in different groups, have not
+met and share one of the rare shingles that similar texts must share. So no two similar texts of a band are left apart. Texts of equal shingle sets are one
+text, and pairs that are already linked are not compared.
 
 Defined cases: those of ``simhash``; A-Z fall to a-z; a text of fewer than five words has one shingle, the
 whole of it; texts without words have none and are linked by their fingerprint only.
@@ -31,7 +33,7 @@ from docattr.llm import simhash
 from docattr.llm.urls import probed
 from docattr.llm.words import byte_words, row_key, row_keys
 from docattr.operators.graph import star_components
-from docattr.session import cut
+from docattr.session import cut, discard
 
 SHINGLE = 5
 #: Least similarity as a fraction.
@@ -110,13 +112,13 @@ def _ordered(pairs: DataFrame, mine: Column, other: Column) -> DataFrame:
     return both.select(F.col("x.s1").alias("x1"), F.col("x.s2").alias("x2"), F.col("y.s1").alias("y1"), F.col("y.s2").alias("y2")).distinct()
 
 
-def candidates(each: DataFrame) -> DataFrame:
+def candidates(each: DataFrame, *first: Column) -> DataFrame:
     """(x1, x2, y1, y2): pairs of sets to verify first, of rows as from ``in_bands``: texts and the heads of their bands, with other
-    roots and sizes that allow the similarity."""
+    roots and sizes that allow the similarity. Heads are drawn among the texts that come first by ``first``."""
     me = F.struct("s1", "s2", "n", "root")
 
     def head(i: int) -> Column:
-        return F.min(F.struct(F.xxhash64(F.lit(i), "band", "s1", "s2").alias("h"), me.alias("head")))["head"]
+        return F.min(F.struct(*first, F.xxhash64(F.lit(i), "band", "s1", "s2").alias("h"), me.alias("head")))["head"]
 
     heads = each.groupBy("band").agg(F.array_distinct(F.array(*[head(i) for i in range(HEADS)])).alias("heads"))
     met = each.join(heads, "band").select("s1", "s2", "n", "root", F.explode("heads").alias("o"))
@@ -124,11 +126,16 @@ def candidates(each: DataFrame) -> DataFrame:
     return _ordered(near, F.struct("s1", "s2"), F.struct("o.s1", "o.s2"))
 
 
+def several_roots(each: DataFrame) -> DataFrame:
+    """The rows of ``each`` in bands whose texts have several roots."""
+    several = each.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
+    return each.join(several, "band")
+
+
 def rest(each: DataFrame, done: DataFrame) -> DataFrame:
-    """(x1, x2, y1, y2): all other pairs of a band with different roots and sizes that allow the similarity, without those in
+    """(x1, x2, y1, y2): all other pairs of a band (or what ``band`` holds) with different roots and sizes that allow the similarity, without those in
     ``done``. Roots are paired before texts, so texts of one root never meet."""
-    several = each.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("band")
-    open_bands = cut(each.join(several, "band"))
+    open_bands = cut(several_roots(each))
     roots = open_bands.select("band", "root").distinct()
     two = roots.select("band", F.col("root").alias("u")).join(roots.select("band", F.col("root").alias("v")), "band").filter("u < v")
 
@@ -151,17 +158,75 @@ def hashed(texts: DataFrame) -> DataFrame:
     return texts.select("s1", "s2", "text").mapInArrow(run, "s1 long, s2 long, hashes array<long>")
 
 
-def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` whose shingle sets are as similar as ``LEAST``; ``rows`` as from ``marks``.
+def shingle_lists(docs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(s1, s2, hashes) of the sets ``asked`` (s1, s2); ``rows`` as from ``marks``.
 
-    Only texts whose key a filter passes are moved, and they are reduced to one shingle list per set before the pairs fetch them.
+    Only texts whose key a filter passes are moved, and they are reduced to one shingle list per set.
     """
-    sides = F.array(F.struct(F.col("x1").alias("s1"), F.col("x2").alias("s2")), F.struct(F.col("y1").alias("s1"), F.col("y2").alias("s2")))
-    asked = pairs.select(F.explode(sides).alias("s")).select("s.s1", "s.s2").distinct()
     least_row = F.min(F.struct(F.col("row.a").alias("k1"), F.col("row.b").alias("k2"))).alias("r")
     one = cut(rows.join(asked, ["s1", "s2"], "left_semi").groupBy("s1", "s2").agg(least_row).select("s1", "s2", "r.k1", "r.k2"))
     texts = probed(docs.select(*row_keys("doc_id", "text"), "text"), "k1", one).filter("maybe").join(one, ["k1", "k2"])
-    sets = cut(hashed(texts).dropDuplicates(["s1", "s2"]))
+    return cut(hashed(texts).dropDuplicates(["s1", "s2"]))
+
+
+def linkable(each: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``each`` (as from ``in_bands``) in bands of several roots with ``k``, without those of texts that are similar
+    to none of another root in the band; ``sets`` as from ``shingle_lists`` has the lists of all in such bands.
+
+    Two texts of different roots have only shingles in common that occur under several roots: ``k`` of a text's. Similar
+    ones have at least least / (least + of) of both sizes in common, and the other is no smaller than the least
+    of the band. Without the texts that fall short, fewer shingles occur under several roots, so this is done
+    again as long as it takes half of the rows.
+    """
+    least, of = LEAST
+    left = cut(several_roots(each))
+    while True:
+        texts = left.select("s1", "s2", "root").distinct()
+        held = cut(texts.join(sets, ["s1", "s2"]).select("s1", "s2", "root", F.explode("hashes").alias("h")))
+        common = cut(held.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("h"))
+        # a filter may pass a shingle too many, which only keeps a text
+        counted = probed(held, "h", common).groupBy("s1", "s2").agg(F.count_if("maybe").alias("k"))
+        smallest = left.groupBy("band").agg(F.min("n").alias("o"))
+        known = left.drop("k").join(counted, ["s1", "s2"]).join(smallest, "band")
+        other = F.greatest(of * F.col("o"), least * F.col("n"))
+        able = known.filter(of * (least + of) * F.col("k") >= least * (of * F.col("n") + other)).drop("o")
+        last, left = left, cut(several_roots(able))
+        before, now = last.count(), left.count()
+        discard(held, common, last)
+        if 2 * now > before or not now:
+            return left
+
+
+def prefixes(able: DataFrame, sets: DataFrame) -> DataFrame:
+    """(s1, s2, n, root, band): for texts as from ``linkable`` their rarest shingles, with the shingle as ``band``.
+
+    Similar texts of different roots have at least c shingles in common, all of them under several roots. Ordered by how
+    many texts have them, the first k - c + 1 of such shingles of either text, at least, then have one in common.
+    """
+    least, of = LEAST
+    smallest = able.groupBy("band").agg(F.min("n").alias("o"))
+    texts = able.join(smallest, "band").groupBy("s1", "s2", "n", "root").agg(F.min("o").alias("o"))
+    held = cut(texts.join(sets, ["s1", "s2"]).select("s1", "s2", "n", "root", "o", F.explode("hashes").alias("h")))
+    held_by = F.count(F.lit(1)).alias("f")
+    common = held.groupBy("h").agg(held_by, F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("h", "f")
+    ordered = F.sort_array(F.collect_list(F.struct("f", "h"))).alias("t")
+    each = held.join(common, "h").groupBy("s1", "s2", "n", "root", "o").agg(ordered)
+    other = F.greatest(of * F.col("o"), least * F.col("n"))
+    c = F.ceil(least * (of * F.col("n") + other) / F.lit(of * (least + of)))
+    first = F.greatest(F.size("t") - c + 1, F.lit(0)).cast("int")
+    return cut(each.select("s1", "s2", "n", "root", F.explode(F.slice(F.col("t.h"), 1, first)).alias("band")))
+
+
+def in_one_band(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """The ``pairs`` of sets that agree on a band; ``each`` as from ``in_bands``."""
+    held = cut(each.groupBy("s1", "s2").agg(F.collect_set("band").alias("b")))
+    left, right = (held.toDF(f"{c}1", f"{c}2", f"b{c}") for c in "xy")
+    met = pairs.join(left, ["x1", "x2"]).join(right, ["y1", "y2"])
+    return met.filter(F.arrays_overlap("bx", "by")).select("x1", "x2", "y1", "y2")
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` whose shingle sets are as similar as ``LEAST``; ``sets`` as from ``shingle_lists`` has theirs."""
     left, right = (sets.select(F.col("s1").alias(f"{c}1"), F.col("s2").alias(f"{c}2"), F.col("hashes").alias(f"h{c}")) for c in "xy")
     least, of = LEAST
     common = F.size(F.array_intersect("hx", "hy"))
@@ -184,19 +249,33 @@ def classes(docs: DataFrame) -> DataFrame:
     each = in_bands(sets)
 
     def similar(pairs: DataFrame) -> DataFrame:
-        near = verified(docs, rows, pairs)
+        near = verified(lists, pairs)
         return near.join(owner.toDF("x1", "x2", "u"), ["x1", "x2"]).join(owner.toDF("y1", "y2", "v"), ["y1", "y2"]).select("u", "v")
 
     def merged(links: DataFrame) -> DataFrame:
         return cut(star_components(links, "u", "v")).select(F.col("node").alias("root"), F.col("root").alias("_root"))
 
-    first = cut(candidates(each))
-    links = cut(equal.unionByName(similar(first)))
+    def rerooted(rows: DataFrame, more: DataFrame) -> DataFrame:
+        return cut(rows.join(more, "root", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root"))
+
+    done = cut(candidates(each))
+    lists = shingle_lists(docs, rows, several_roots(each).select("s1", "s2").distinct())
+    links = cut(equal.unionByName(similar(done)))
     more = merged(links)
-    held_roots = each.join(more, "root", "left").withColumn("root", F.coalesce("_root", "root")).drop("_root")
-    left = cut(rest(held_roots, first))
-    if not left.isEmpty():
-        more = merged(links.unionByName(similar(left)))
+    able = linkable(rerooted(each, more), lists)
+    count = able.count()
+    while count:
+        # texts that share most are most likely to link the others
+        pairs = cut(candidates(able, -F.col("k")).join(done, ["x1", "x2", "y1", "y2"], "left_anti"))
+        done = cut(done.unionByName(pairs))
+        links = cut(links.unionByName(similar(pairs)))
+        more = merged(links)
+        able = linkable(rerooted(able, more), lists)
+        before, count = count, able.count()
+        if 2 * count > before:
+            left = cut(in_one_band(rest(prefixes(able, lists), done), able))
+            more = merged(links.unionByName(similar(left)))
+            break
     final = named.join(more, "root", "left").select("fp", F.coalesce("_root", "root").alias("root"))
     return rows.select("doc_id", "row", "fp").join(final, "fp").select("doc_id", "row", "root")
 

@@ -1,7 +1,10 @@
 """What the pipeline's stages share: columns of any name come through, and near copies are found."""
 
 import os
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -81,6 +84,51 @@ def test_the_rest_of_a_band_is_paired_once_between_groups(spark):
     assert got == [(a, -a, b, -b) for a in range(1, 12) for b in range(a + 1, 12) if a // 4 != b // 4]
 
 
+def edited(n: int, edits: tuple[int, int], words: int | None, seed: int, length: int = 60) -> list[tuple[int, str]]:
+    """Copies of one text with some words replaced, by one of ``words`` or else by words of their own."""
+    draw = random.Random(seed)
+    rows = []
+    for i in range(n):
+        text = [f"w{k}" for k in range(length)]
+        for j, at in enumerate(draw.sample(range(length), draw.randint(*edits))):
+            text[at] = f"e{draw.randrange(words)}" if words else f"e{i}x{j}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize(("edits", "words"), [((1, 4), 3), ((2, 5), 1), ((1, 3), None)])
+def test_near_copies_of_one_text_are_linked_as_by_all_pairs(spark, edits, words):
+    rows = edited(90, edits, words, 5)
+    hashes, fps = [near.shingles(t) for _, t in rows], [simhash.simhash(t) for _, t in rows]
+    bands = [set(near.bands(h)) for h in hashes]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(np.intersect1d(hashes[i], hashes[j]))
+            similar = 9 * both >= 4 * (len(hashes[i]) + len(hashes[j])) and bands[i] & bands[j]
+            if similar or bin(fps[i] ^ fps[j]).count("1") <= 3:
+                a, b = root[i], root[j]
+                root = [a if r == b else r for r in root]
+    found = near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {(tuple(sorted(r["doc_id"] for r in found if r["root"] == x["root"]))) for x in found}
+    assert groups == {tuple(i for i in range(len(rows)) if root[i] == r) for r in root}
+    assert 1 < len(groups) < len(rows)
+
+
+def test_pairs_of_a_large_group_grow_with_its_texts(spark, monkeypatch):
+    made, verified = [], near.verified
+
+    def counted(*args):
+        made.append(args[-1].count())
+        return verified(*args)
+
+    monkeypatch.setattr(near, "verified", counted)
+    rows = edited(240, (4, 6), None, 3, 100)
+    assert near.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("root").distinct().count() > 200
+    # all pairs are 28680
+    assert sum(made) < 4000, made
+
+
 def test_words_met_are_bounded_and_stay_in_the_task(monkeypatch):
     import pickle
 
