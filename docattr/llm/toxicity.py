@@ -176,7 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, width: int = F
         names = top.feature.tolist()
         place = {f: i for i, f in enumerate(names)}
         strong = set(top.feature[top.gap > 0])
-        kept = counts.join(F.broadcast(docs.sparkSession.createDataFrame(top[["feature"]])), "feature") if names else None
+        # an Arrow table goes to the JVM as it is; rows or pandas may take Python workers of their own on the executors
+        chosen = docs.sparkSession.createDataFrame(pa.table({"feature": pa.array(names, pa.string())}))
+        kept = counts.join(F.broadcast(chosen), "feature") if names else None
         table = kept.select("doc_id", "feature", "n").toPandas() if names else None
     finally:
         counts.unpersist()
@@ -232,12 +234,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are not rejected."""
-    import pandas as pd
+    """The rows of ``docs``, with all their columns, that are not rejected.
 
-    def below(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.severity(t) <= model.limit for t in texts], dtype=bool)
-
-    # the types are given here because annotations are strings in this module
-    below.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return docs.filter(F.pandas_udf(below, "boolean")("text"))
+    Rows go to the workers a hundred at a time, so what a task holds does not grow with the
+    length of the texts as an Arrow batch of 10,000 rows would.
+    """
+    return docs.filter(F.udf(lambda text: model.severity(text) <= model.limit, "boolean", useArrow=False)("text"))

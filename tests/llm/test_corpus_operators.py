@@ -308,6 +308,35 @@ def test_toxicity_edges(spark):
     assert toxicity.fit(frame(spark, []), spark.createDataFrame(labels, LABELS)) is toxicity.NOTHING
 
 
+def test_toxicity_holds_few_rows_in_the_workers(spark, monkeypatch):
+    """The model is fitted without workers for plain RDDs, and no large batches of texts are made where the pipeline rejects."""
+    from pyspark import RDD
+
+    rows, labels = toxic_corpus(150)
+    docs, marked = frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    arrow = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(arrow)
+
+    def refused(rdd):
+        raise AssertionError("rows of a local table go through Python workers of their own")
+
+    try:
+        spark.conf.set(arrow, "false")
+        monkeypatch.setattr(RDD, "_to_java_object_rdd", refused)
+        model = toxicity.fit(docs, marked)
+    finally:
+        spark.conf.set(arrow, before)
+    assert model.weights
+    odd = [(None, None, None), (None, "", "s"), (7, "ca " * 30_000, "s"), (7, "ca " * 30_000, "s"), (8, "vilest " * 9, "s")]
+    monkeypatch.undo()
+    kept = toxicity.accepted(frame(spark, rows + odd), model)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan
+    want = [(i, t, s) for i, t, s in rows + odd if model.severity(t) <= model.limit]
+    assert len(rows) // 2 < len(want) < len(rows)
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.text, r.source)) for r in kept.collect())
+
+
 def test_gradient_of_the_cumulative_links():
     """Fitted thresholds separate grades that lie on one line."""
     x = [(np.array([0]), np.array([float(v)])) for v in range(1, 31)]
