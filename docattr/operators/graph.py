@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docattr.operators.identity import numbered
@@ -102,17 +102,17 @@ def leakage_safe_split(
     return each.join(flags, entity, "left").select(entity, attribute, part.alias("partition"))
 
 
-def greedy_cover(bridge: DataFrame, document: str, sample: str, ahead: int = 16) -> DataFrame:
+def greedy_cover(bridge: DataFrame, document: str, sample: str, ahead: int = 16, pairs: int = 4_000_000) -> DataFrame:
     """(document, step, gain, coverage): documents in greedy order until every sample is covered, ties by document.
 
     Gains never grow, hence the greedy order is by gain, ties by document, and documents may be found in any order as
     long as each has the gain it has when its turn comes. Two kinds of rounds find them:
 
     * A document that is the best choice for each of its open samples keeps its gain until its turn, so all such
-      documents are taken at once. This takes many where documents overlap little.
-    * Where that takes fewer than ``ahead``, the ``ahead`` documents of highest gain are looked at together. The open
-      samples are counted by which of them hold it, at most 2 ** ahead counts, and these give the exact gains after
-      every choice among them. Choices are made while they come before the gain that the next document still had.
+      documents are taken at once. This takes many where documents overlap little, and goes on while a round covers a quarter.
+    * Else the documents of highest gain are looked at together, as many as have ``pairs`` open pairs, ``ahead`` at least.
+      One task makes every choice among them that comes before the gain that the next document still had. Its
+      input has ``pairs`` entries at most, or 2 ** ahead counts of samples by which of the documents hold them.
 
     Rows without a document or a sample are left out.
     """
@@ -120,29 +120,33 @@ def greedy_cover(bridge: DataFrame, document: str, sample: str, ahead: int = 16)
 
     if not 1 <= ahead <= 16:
         raise ValueError("between 1 and 16 documents can be looked at together")
-    pairs = bridge.select(F.col(document).alias("d"), F.col(sample).alias("s")).dropna().distinct()
-    open_pairs = cut(pairs)
-    total = open_pairs.select("s").distinct().count()
-    rounds, together = [], False
-    while not open_pairs.isEmpty():
-        gains = open_pairs.groupBy("d").agg(F.count(F.lit(1)).alias("gain"))
-        if together:
-            picks = _look_ahead(open_pairs, gains, ahead)
-            chosen = bridge.sparkSession.createDataFrame(picks, gains.select("d", "gain").schema).coalesce(1)
-            together = len(picks) < ahead
-        else:
+    open_pairs = cut(bridge.select(F.col(document).alias("d"), F.col(sample).alias("s")).dropna().distinct())
+    rounds, before = [], None
+    while True:
+        gains = cut(open_pairs.groupBy("d").agg(F.count(F.lit(1)).alias("gain")))
+        levels = sorted(((r["gain"], r["n"]) for r in gains.groupBy("gain").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+        left = sum(gain * n for gain, n in levels)
+        if not left:
+            break
+        if left > pairs and (before is None or 4 * left <= 3 * before):
+            before = left
             ranked = open_pairs.join(gains, "d")
             best = ranked.groupBy("s").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("d").alias("d"))).alias("b"))
             wins = best.groupBy(F.col("b.d").alias("d"), (-F.col("b.g")).alias("gain")).agg(F.count(F.lit(1)).alias("won"))
             chosen = cut(wins.filter("won = gain").select("d", "gain"))
-            together = chosen.count() < ahead
+        else:
+            before = 0
+            chosen = _look_ahead(open_pairs, *_highest(gains, levels, ahead, pairs))
         rounds.append(chosen)
+        if left <= pairs:
+            break  # every document was looked at
         covered = open_pairs.join(chosen.select("d"), "d", "left_semi").select("s").distinct()
         last, open_pairs = open_pairs, cut(open_pairs.join(covered, "s", "left_anti"))
-        discard(last)
+        discard(last, gains)
     out = rounds[0] if rounds else open_pairs.select("d", F.lit(0).cast("long").alias("gain"))
     for more in rounds[1:]:
         out = out.unionByName(more)
+    total = out.agg(F.coalesce(F.sum("gain"), F.lit(0))).first()[0]  # every sample is covered once
     order = [F.col("gain").desc(), F.col("d")]
     steps = global_index(out, order, "step").withColumn("step", F.col("step") + 1)
     covered = running_total(steps, ["step"], F.col("gain"), "_sum")
@@ -150,25 +154,80 @@ def greedy_cover(bridge: DataFrame, document: str, sample: str, ahead: int = 16)
         F.col("d").alias(document), "step", "gain", (F.lit(100.0) * F.col("_sum") / F.lit(total)).alias("coverage"))
 
 
-def _look_ahead(open_pairs: DataFrame, gains: DataFrame, ahead: int) -> list[tuple]:
-    """(d, gain) of the next choices that can be made among the ``ahead`` documents of highest gain, at least one."""
-    top = gains.orderBy(F.col("gain").desc(), "d").limit(ahead + 1).collect()
-    looked, rest = top[:ahead], top[ahead:]
-    names = F.array(*[F.lit(r.d).cast(open_pairs.schema["d"].dataType) for r in looked])
-    places = open_pairs.select("s", F.array_position(names, F.col("d")).alias("i")).filter("i > 0")
-    held = places.groupBy("s").agg(F.sum(F.expr("shiftleft(1, CAST(i - 1 AS INT))")).alias("held"))
-    counts = held.groupBy("held").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 ** ahead rows of two numbers
-    chosen, left = [], {r.held: r.n for r in counts}
-    bound = [(-r.gain, r.d) for r in rest]
-    while left:
-        now = [0] * len(looked)
-        for held_by, n in left.items():
-            for i in range(len(looked)):
-                now[i] += n * (held_by >> i & 1)
-        # documents that were taken hold nothing open any more
-        best = min((-n, looked[i].d, i) for i, n in enumerate(now) if n)
-        if bound and best[:2] > bound[0]:
+def _highest(gains: DataFrame, levels: list[tuple[int, int]], ahead: int, pairs: int) -> tuple[DataFrame, int, int, bool]:
+    """Documents of highest gain, ties by document, as (d, i) with ``i`` in the order of the documents, and a bound.
+
+    The bound is a gain and a number: other documents have that gain at most, and those that have it come after the
+    documents below that number. The last value says whether these may have more than ``pairs`` open pairs.
+    ``levels`` has the number of documents of each gain, the highest first.
+    """
+    from docattr.operators.ordered import global_index
+
+    n = size = bound = some = 0
+    for gain, count in levels:
+        fits = max((pairs - size) // gain, ahead - n, 0)
+        if fits < count:
+            bound, some = gain, fits
             break
-        chosen.append((best[1], -best[0]))
-        left = {h: n for h, n in left.items() if not h >> best[2] & 1}
-    return chosen
+        n, size = n + count, size + gain * count
+    ahead_of_others = F.lit(False)
+    if some:
+        level = gains.filter(F.col("gain") == bound).select("d")
+        if some <= 1000:
+            last = level.orderBy("d").limit(some).agg(F.max("d")).first()[0]
+        else:
+            last = global_index(level, ["d"], "_i").filter(F.col("_i") == some - 1).first()["d"]
+        ahead_of_others = F.col("d") <= F.lit(last).cast(gains.schema["d"].dataType)
+    top = gains.filter((F.col("gain") > bound) | ((F.col("gain") == bound) & ahead_of_others))
+    at = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("d")) - 1
+    looked = cut(top.select("d", at.alias("i")))
+    return looked, bound, looked.filter(ahead_of_others).count() if some else 0, size + some * bound > pairs
+
+
+def _look_ahead(open_pairs: DataFrame, looked: DataFrame, bound: int, below: int, counted: bool) -> DataFrame:
+    """(d, gain) of the next choices that can be made among the documents looked at, at least one."""
+    sets = open_pairs.join(looked, "d").groupBy("s").agg(F.collect_list("i").alias("held"))
+    if counted:
+        sets = sets.groupBy(F.array_sort("held").alias("held")).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        sets = sets.select("held", F.lit(1).cast("long").alias("n"))
+    picks = sets.repartition(1).mapInArrow(lambda batches: _choices(batches, bound, below), "i int, gain long")
+    return cut(picks.join(looked, "i").select("d", "gain"))
+
+
+def _choices(batches, bound: int, below: int):
+    """Greedy choices over sets of document numbers, level by level of gain: inside a level by number, as a gain only falls."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [(b["held"].flatten().to_numpy(), b["held"].value_lengths().to_numpy(), b["n"].to_numpy()) for b in batches]
+    if not parts:
+        return
+    members, lengths, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    weights = np.repeat(counts, lengths)
+    gain = np.bincount(members, weights).astype(np.int64)
+    by_document = np.argsort(members, kind="stable")
+    begins = np.concatenate([[0], np.cumsum(np.bincount(members))])
+    holders = np.repeat(np.arange(len(lengths)), lengths)[by_document]
+    is_open = np.ones(len(lengths), bool)
+    picked, gains = [], []
+    level = gain.max()
+    while level and level >= bound:
+        for i in np.flatnonzero(gain == level).tolist():
+            if gain[i] < level:
+                continue
+            if level == bound and i >= below:
+                level = 0
+                break
+            picked.append(i)
+            gains.append(level)
+            mine = holders[begins[i]:begins[i + 1]]
+            mine = mine[is_open[mine]]
+            is_open[mine] = False
+            sizes = lengths[mine]
+            at = np.arange(sizes.sum()) + np.repeat(starts[mine] - np.cumsum(sizes) + sizes, sizes)
+            np.subtract.at(gain, members[at], weights[at])
+        level = level and gain.max()
+    yield pa.RecordBatch.from_arrays([pa.array(picked, pa.int32()), pa.array(gains, pa.int64())], ["i", "gain"])
