@@ -18,13 +18,16 @@ NAMES = r"""names AS (
 
 
 def names(spark, d):
-    toks = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(tx.WORD + "+"), 0)).alias("entity"))
-    return mn.name_roster(toks.filter(F.length("entity") >= 4), "doc_id", "entity", 10)
+    words = F.filter(F.regexp_extract_all("text", F.lit(tx.WORD + "+"), 0), lambda w: F.length(w) >= 4)
+    return mn.word_roster(table(spark, d, "documents"), "doc_id", words, 10)
+
+
+def spelled(found):
+    return found.withColumn("aliases", F.array_sort(F.array_distinct(F.array("entity", F.lower("entity")))))
 
 
 def roster(spark, d):
-    spellings = F.array_sort(F.array_distinct(F.array("entity", F.lower("entity"))))
-    return names(spark, d).withColumn("aliases", spellings)
+    return spelled(names(spark, d))
 
 
 def mentions_sql(segs="segments", name="mentions"):
@@ -98,15 +101,16 @@ KNOWN = f"""known AS (SELECT doc_id, entity, doc_id AS number FROM names WHERE l
   codes AS (SELECT doc_id, entity, 'CHARACTER' || lpad(number::VARCHAR, greatest(4, length(number::VARCHAR))::INT, '0') AS code FROM (SELECT * FROM known UNION ALL SELECT * FROM fresh))"""
 
 
-def known(spark, d):
+def known(found):
     from docattr.operators.ordered import keep_first
 
-    short = names(spark, d).filter(F.length("entity") == 4)
+    short = found.filter(F.length("entity") == 4)
     return keep_first(short, ["doc_id"], ["entity"]).withColumn("number", F.col("doc_id"))
 
 
 def coded(spark, d):
-    return mn.assign_codes(roster(spark, d), known(spark, d), "doc_id")
+    found = names(spark, d)
+    return mn.assign_codes(spelled(found), known(found), "doc_id")
 
 
 # Mentions that survive left to right: walk the sorted list of each segment.

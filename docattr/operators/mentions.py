@@ -26,6 +26,25 @@ def name_roster(occurrences: DataFrame, key: str, name: str, k: int, min_count:
     return first_k(counts, [key], [F.col("n").desc(), name], k).select(key, name)
 
 
+def word_roster(texts: DataFrame, key: str, words: Column, k: int, min_count: int = 2) -> DataFrame:
+    """``name_roster`` of the words of texts, given as an array, written out because several branches read it.
+
+    A word that occurs once in the only text of its key is dropped where the text is, so few words are shuffled. Keys of
+    several texts, null as one, keep all words.
+    """
+    listed = texts.select(key, words.alias("_words"))
+    if min_count > 1:
+        several = cut(texts.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_key")))
+        again = bind(F.sort_array("_words"), lambda ws: F.filter(
+            ws, lambda w, i: (w == F.get(ws, i - 1)) | (w == F.get(ws, i + 1))))
+        if several.isEmpty():
+            listed = listed.select(key, again.alias("_words"))
+        else:
+            flagged = listed.join(several.withColumn("_all", F.lit(True)), F.col(key).eqNullSafe(F.col("_key")), "left")
+            listed = flagged.select(key, F.when(F.col("_all"), F.col("_words")).otherwise(again).alias("_words"))
+    return cut(name_roster(listed.select(key, F.explode("_words").alias("entity")), key, "entity", k, min_count))
+
+
 def pack_roster(roster: DataFrame, key: str, extra: list[str] | None = None) -> DataFrame:
     """One row per document with its roster and the JSON of its spellings; a roster is bounded by the cast size.
 
