@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docattr.functions.draws import key_hash, uniform
-from docattr.operators.ordered import first_k, global_index, gold_index, running_total, union_all
+from docattr.operators.ordered import bind, first_k, global_index, gold_index, running_total, union_all
 from docattr.session import cut
 
 
@@ -36,6 +36,9 @@ def pick_n(df: DataFrame, key: str, item: str, n: int, seed: int) -> DataFrame:
     return few.groupBy(key).agg(ordered.alias("_l")).select(key, F.col("_l.i").alias("items"))
 
 
+#: Attributes of one entity that its rows carry as an array; entities that hold more are spread over tasks.
+IN_ROW = 256
+
 # --- negatives ------------------------------------------------------------------------------
 
 
@@ -116,13 +119,11 @@ def multiclass_samples(
 
     Attributes lie on an axis as intervals as long as their frequency. What an entity may not draw is cut out of the axis,
     a draw is a point on what is left, and a running sum of the cut lengths before it gives its place on the whole axis.
-    There are as many rounds as options to draw, and no entity's free vocabulary is ever listed.
+    There are as many rounds as options to draw, and no entity's free vocabulary is ever listed. The cuts of an
+    entity that holds up to ``IN_ROW`` attributes are an array in its rows; those of others are ordered in ranges.
     """
     held = cut(facts.select(entity, attribute).dropna().distinct())
     near = relation.select(attribute, F.col("antonym").alias("_o")).filter(F.col(attribute) != F.col("_o")).distinct()
-    held_o = held.withColumnRenamed(attribute, "_o")
-    own = cut(held.join(near, attribute).join(held_o, [entity, "_o"], "left_anti"))
-    chosen = first_k(own.withColumn("_h", key_hash(seed, entity, attribute, "_o")), [entity, attribute], ["_h", "_o"], antonyms)
 
     freq = held.groupBy(F.col(attribute).alias("_o")).agg(F.count(F.lit(1)).alias("_w"))
     weights = cut(running_total(freq, ["_o"], F.col("_w"), "_hi").withColumn("_lo", F.col("_hi") - F.col("_w")))
@@ -132,6 +133,93 @@ def multiclass_samples(
     cell = lambda at: F.floor(at * F.lit(cells) / max(total, 1))
     axis = cut(weights.withColumn("_cell", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi") - 1)))))
 
+    few, many = held, None
+    if weights.count() > IN_ROW:
+        large = cut(held.groupBy(entity).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > IN_ROW).select(entity))
+        if not large.isEmpty():
+            few, many = held.join(large, entity, "left_anti"), cut(held.join(large, entity, "left_semi"))
+    draw = (entity, attribute, near, weights, axis, cell, total, seed, options, antonyms)
+    full = _draws_in_rows(few, *draw)
+    if many is not None:
+        full = full.unionByName(_draws_in_ranges(many, *draw))
+
+    drawn = F.transform(F.array_sort(F.transform("_picks", lambda p: F.struct(p["round"].alias("r"), p["o"].alias("o")))), lambda p: p["o"])
+    every = F.concat(F.array(F.col(attribute).cast("string")), "_antos", drawn)
+    shuffled, gold = gold_index(every, F.col(attribute).cast("string"), seed + 3, F.col(entity))
+    out = full.select(entity, attribute, shuffled.alias("options"), gold.alias("label"))
+    if not keep:
+        return out
+    return out.join(facts.groupBy(entity, attribute).agg(*[F.min(c).alias(c) for c in keep]), [entity, attribute])
+
+
+PICKS = "array<struct<at:bigint,w:bigint,o:string,round:int>>"
+
+
+def _start(seed: int, entity: str, attribute: str, round_: int) -> Column:
+    """A point on what the row may draw."""
+    return F.floor(uniform(seed + 1, entity, attribute, F.lit(round_)) * F.col("_free"))
+
+
+def _past_picks(point: Column) -> Column:
+    """What the row has drawn before is cut out as well; picks are sorted by place."""
+    return F.aggregate("_picks", point, lambda at, p: at + F.when(at >= p["at"], p["w"]).otherwise(0))
+
+
+def _draws_in_rows(
+    held: DataFrame, entity: str, attribute: str, near: DataFrame, weights: DataFrame, axis: DataFrame, cell, total: int,
+    seed: int, options: int, antonyms: int,
+) -> DataFrame:
+    """(entity, attribute, _antos, _picks): each round meets the axis only, and the cuts of an entity are an array in its rows."""
+    # antonyms per attribute are few; those that nobody holds have no place on the axis
+    placed = near.join(weights.select("_o", F.col("_w").alias("_ow"), F.col("_lo").alias("_olo")), "_o", "left")
+    placed = placed.groupBy(attribute).agg(F.collect_list(F.struct("_o", F.col("_olo").alias("lo"), F.col("_ow").alias("w"))).alias("_near"))
+    known = weights.select(F.col("_o").alias(attribute), "_lo", "_w").join(placed, attribute, "left")
+    each = F.struct(F.col(attribute).alias("t"), F.col("_lo").alias("lo"), F.col("_w").alias("w"), F.col("_near").alias("near"))
+    rows = held.join(cut(known), attribute).groupBy(entity).agg(F.collect_list(each).alias("_all"))
+    own = bind(F.transform("_all", lambda a: a["t"]), lambda ts: F.transform("_all", lambda a: F.struct(
+        a["t"].alias("t"), F.filter(F.coalesce(a["near"], F.array()), lambda o: ~F.array_contains(ts, o["_o"])).alias("near"))))
+    rows = rows.withColumn("_own", own)
+    place = lambda x: F.struct(x["lo"].alias("lo"), x["w"].alias("w"))
+    cuts = F.sort_array(F.array_distinct(F.concat(
+        F.transform("_all", place),
+        F.flatten(F.transform("_own", lambda a: F.transform(F.filter(a["near"], lambda o: o["lo"].isNotNull()), place))))))
+    # a cut has the place it takes on the axis without the cuts ahead of it
+    none = F.array().cast("array<struct<at:bigint,gap:bigint>>")
+    marks = F.aggregate(cuts, F.struct(none.alias("m"), F.lit(0).cast("long").alias("sum")), lambda acc, c: F.struct(
+        F.concat(acc["m"], F.array(F.struct((c["lo"] - acc["sum"]).alias("at"), c["w"].alias("gap")))).alias("m"), (acc["sum"] + c["w"]).alias("sum")))
+    rows = rows.select(entity, "_own", marks.alias("_marks")).select(entity, F.explode("_own").alias("_a"), "_marks")
+    rows = rows.select(
+        entity, F.col("_a.t").alias(attribute), F.col("_a.near._o").alias("_near"), F.col("_marks.m").alias("_marks"),
+        (F.lit(total) - F.col("_marks.sum")).alias("_free"), F.array().cast(PICKS).alias("_picks"))
+    hashed = F.sort_array(F.transform("_near", lambda o: F.struct(key_hash(seed, entity, attribute, o).alias("h"), o.alias("o"))))
+    antos = F.sort_array(F.transform(F.slice(hashed, 1, antonyms), lambda x: x["o"])).cast("array<string>")
+    rows = rows.select(entity, attribute, antos.alias("_antos"), "_marks", "_free", "_picks")
+
+    more = (F.size("_antos") + F.size("_picks") < options - 1) & (F.col("_free") > 0)
+    fields = [entity, attribute, "_antos", "_marks", "_free", "_picks"]
+    for round_ in range(1, options):
+        # columns one after the other, each of them read twice, are compiled; in a lambda they would be interpreted
+        asks = rows.select(*fields, F.when(more, _start(seed, entity, attribute, round_)).alias("_start"))
+        asks = asks.select(*fields, F.when(F.size("_picks") == 0, F.col("_start")).otherwise(_past_picks(F.col("_start"))).alias("_at"))
+        gone = F.aggregate("_marks", F.lit(0).cast("long"), lambda sum_, m: sum_ + F.when(m["at"] <= F.col("_at"), m["gap"]).otherwise(0))
+        asks = asks.select(*fields, "_at", gone.alias("_before")).select(*fields, "_before", (F.col("_at") + F.col("_before")).alias("_t"))
+        asks = asks.withColumn("_cell", cell(F.col("_t")))
+        on = (F.col("_cell") == F.col("_axis")) & (F.col("_t") >= F.col("_lo")) & (F.col("_t") < F.col("_hi"))
+        hit = asks.join(axis.withColumnRenamed("_cell", "_axis"), on, "left")
+        pick = F.struct((F.col("_lo") - F.col("_before")).alias("at"), F.col("_w").alias("w"), F.col("_o").cast("string").alias("o"), F.lit(round_).alias("round"))
+        picks = F.when(F.col("_w").isNotNull(), F.sort_array(F.concat("_picks", F.array(pick)))).otherwise(F.col("_picks"))
+        rows = hit.select(*fields[:4], (F.col("_free") - F.coalesce("_w", F.lit(0))).alias("_free"), picks.alias("_picks"))
+    return rows.select(entity, attribute, "_antos", "_picks")
+
+
+def _draws_in_ranges(
+    held: DataFrame, entity: str, attribute: str, near: DataFrame, weights: DataFrame, axis: DataFrame, cell, total: int,
+    seed: int, options: int, antonyms: int,
+) -> DataFrame:
+    """The same, with the cuts of an entity in ranges over tasks and a running sum per round."""
+    held_o = held.withColumnRenamed(attribute, "_o")
+    own = cut(held.join(near, attribute).join(held_o, [entity, "_o"], "left_anti"))
+    chosen = first_k(own.withColumn("_h", key_hash(seed, entity, attribute, "_o")), [entity, attribute], ["_h", "_o"], antonyms)
     # a cut has the place it takes on the axis without the cuts ahead of it
     cuts = held_o.unionByName(own.select(entity, "_o")).distinct().join(weights.select("_o", "_w", "_lo"), "_o")
     cuts = running_total(cuts.select(entity, "_w", "_lo"), ["_lo"], F.col("_w"), "_sum", [entity])
@@ -139,7 +227,7 @@ def multiclass_samples(
     barred = marks.groupBy(entity).agg(F.sum("_gap").alias("_barred"))
 
     antos = chosen.groupBy(entity, attribute).agg(F.array_sort(F.collect_list("_o")).alias("_antos"))
-    no_names, no_picks = F.array().cast("array<string>"), F.array().cast("array<struct<at:bigint,w:bigint,o:string,round:int>>")
+    no_names, no_picks = F.array().cast("array<string>"), F.array().cast(PICKS)
     # each round's rows are written once: the range sort reads its input twice, and finished rows come from them as well
     rows = cut(held.join(antos, [entity, attribute], "left").join(barred, entity, "left").select(
         entity, attribute, F.coalesce("_antos", no_names).alias("_antos"),
@@ -150,9 +238,7 @@ def multiclass_samples(
     while round_ < options - 1:
         round_ += 1
         done.append(rows.filter(~more))
-        point = F.floor(uniform(seed + 1, entity, attribute, F.lit(round_)) * F.col("_free"))
-        # what this row has drawn before is cut out as well; picks are sorted by place
-        point = F.aggregate("_picks", point, lambda at, p: at + F.when(at >= p["at"], p["w"]).otherwise(0))
+        point = _past_picks(_start(seed, entity, attribute, round_))
         asks = rows.filter(more).select("*", point.alias("_at"), F.lit(0).cast("long").alias("_gap"), F.lit(1).alias("_kind"))
         both = asks.unionByName(marks.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
         placed = running_total(both, ["_at", "_kind"], F.col("_gap"), "_before", [entity]).filter("_kind = 1")
@@ -162,15 +248,7 @@ def multiclass_samples(
         rows = cut(hit.select(
             entity, attribute, "_antos", (F.col("_free") - F.col("_w")).alias("_free"),
             F.array_sort(F.concat("_picks", F.array(pick))).alias("_picks")))
-    full = union_all([*done, rows])
-
-    drawn = F.transform(F.array_sort(F.transform("_picks", lambda p: F.struct(p["round"].alias("r"), p["o"].alias("o")))), lambda p: p["o"])
-    every = F.concat(F.array(F.col(attribute).cast("string")), "_antos", drawn)
-    shuffled, gold = gold_index(every, F.col(attribute).cast("string"), seed + 3, F.col(entity))
-    out = full.select(entity, attribute, shuffled.alias("options"), gold.alias("label"))
-    if not keep:
-        return out
-    return out.join(facts.groupBy(entity, attribute).agg(*[F.min(c).alias(c) for c in keep]), [entity, attribute])
+    return union_all([*done, rows]).select(entity, attribute, "_antos", "_picks")
 
 
 # --- divergence-minimising split ------------------------------------------------------------
