@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ def pick_n(df: DataFrame, key: str, item: str, n: int, seed: int) -> DataFrame:
     return few.groupBy(key).agg(ordered.alias("_l")).select(key, F.col("_l.i").alias("items"))
 
 
+#: Facts of one entity that are gathered in one row.
+IN_ENTITY = 1000
 #: Attributes of one entity that its rows carry as an array; entities that hold more are spread over tasks.
 IN_ROW = 256
 
@@ -69,12 +72,68 @@ def inject_negatives(
     The vocabulary is ``vocab`` (a column ``attribute``), or the attributes that occur. An entity that holds
     all of it gets an unheld antonym where there is one, else no negative. Columns in
     ``blank``, such as an explanation of the label, are kept on positives and empty on negatives.
+
+    Facts are shuffled once: those of an entity are one array, from which its rows and what it holds are read.
+    Entities with over ``IN_ENTITY`` facts, and facts without an entity, are spread over tasks instead.
     """
+    facts = cut(facts.select(*key, *[c for c in blank or [] if c not in key]))
+    listed = (facts if vocab is None else vocab).select(attribute).filter(F.col(attribute).isNotNull()).distinct()
+    vocab = cut(global_index(listed, [attribute], "_pos"))
+    size = vocab.count()
+    large = facts.groupBy(F.col(entity).alias("_large")).agg(F.count(F.lit(1)).alias("_n"))
+    large = cut(large.filter((F.col("_n") > IN_ENTITY) | F.col("_large").isNull()).select("_large"))
+    if large.isEmpty():
+        return _negatives_in_rows(facts, key, entity, attribute, relation, seed, p, vocab, size, blank)
+    same = F.col(entity).eqNullSafe(F.col("_large"))
+    few, many = facts.join(large, same, "left_anti"), cut(facts.join(large, same, "left_semi"))
+    return _negatives_in_rows(few, key, entity, attribute, relation, seed, p, vocab, size, blank).unionByName(
+        _negatives_in_ranges(many, key, entity, attribute, relation, seed, p, vocab, size, blank))
+
+
+def _negatives_in_rows(
+    facts: DataFrame, key: list[str], entity: str, attribute: str, relation: DataFrame, seed: int, p: float, vocab: DataFrame,
+    size: int, blank: list[str] | None,
+) -> DataFrame:
+    others = [c for c in key if c != entity]
+    each = [*others, *[c for c in blank or [] if c not in key]]
+    grouped = facts.join(vocab, attribute, "left").groupBy(entity).agg(F.collect_set(F.struct(*each, "_pos")).alias("_all"))
+
+    positives = grouped.select(entity, F.explode("_all").alias("_k"))
+    positives = positives.select(entity, *[F.col("_k")[c].alias(c) for c in each]).select(*key, *(blank or []), F.lit(1).alias("label"))
+
+    # the i-th held entry at position h of the vocabulary has h - i unheld entries before it
+    places = F.sort_array(F.array_distinct(F.filter(F.transform("_all", lambda a: a["_pos"]), lambda h: h.isNotNull())))
+    held = F.array_distinct(F.filter(F.transform("_all", lambda a: a[attribute]), lambda t: t.isNotNull()))
+    rows = grouped.select(
+        entity, F.array_distinct(F.transform("_all", lambda a: F.struct(*[a[c].alias(c) for c in others]))).alias("_rows"),
+        F.transform(places, lambda h, i: h - i).alias("_before"), held.alias("_held"))
+    rows = rows.select(entity, F.explode("_rows").alias("_k"), "_before", "_held", (F.lit(size) - F.size("_before")).alias("_free"))
+    rows = rows.select(entity, *[F.col("_k")[c].alias(c) for c in others], "_before", "_held", "_free")
+
+    # unheld antonym with the smallest hash; antonyms per attribute are few, and those outside the vocabulary are attributes as well
+    near = relation.select(attribute, "antonym").filter(F.col("antonym") != F.col(attribute))
+    near = cut(near.groupBy(attribute).agg(F.collect_set("antonym").alias("_near")))
+    options = F.filter("_near", lambda o: ~F.array_contains("_held", o))
+    whole = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in key])
+    best = F.array_min(F.transform(options, lambda o: F.struct(key_hash(seed + 1, *key, o).alias("h"), o.alias("o"))))
+    rows = rows.join(near, attribute, "left").select(*key, "_before", "_free", F.when(whole, best["o"]).alias("_anto"))
+    use = F.col("_anto").isNotNull() & ((uniform(seed, *key) < p) | (F.col("_free") == 0))
+    rows = rows.filter("_free > 0 OR _anto IS NOT NULL").withColumn("_r", F.when(~use, F.floor(uniform(seed + 2, *key) * F.col("_free"))))
+    at = F.col("_r") + F.size(F.filter("_before", lambda b: b <= F.col("_r")))
+    rows = rows.select(*key, "_anto", "_r", at.alias("_pos"))
+    listed = vocab.select(F.col(attribute).alias("_other"), "_pos")
+    negative = F.when(F.col("_r").isNull(), F.col("_anto")).otherwise(F.col("_other"))
+    negatives = rows.join(listed, "_pos", "left").select(*[c for c in key if c != attribute], negative.alias(attribute)).distinct()
+    empty = [F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in blank or []]
+    return positives.unionByName(negatives.select(*key, *empty, F.lit(0).alias("label")))
+
+
+def _negatives_in_ranges(
+    facts: DataFrame, key: list[str], entity: str, attribute: str, relation: DataFrame, seed: int, p: float, vocab: DataFrame,
+    size: int, blank: list[str] | None,
+) -> DataFrame:
     # read by six branches below
     held = cut(facts.select(entity, attribute).distinct())
-    listed = (held if vocab is None else vocab).select(attribute).filter(F.col(attribute).isNotNull()).distinct()
-    vocab = global_index(listed, [attribute], "_pos")
-    size = vocab.agg(F.count(F.lit(1))).scalar()
     holds = held.join(vocab.select(attribute), attribute, "left_semi").groupBy(entity).agg(F.count(F.lit(1)).alias("_n_held"))
     rows = facts.select(*key).distinct().join(holds, entity, "left")
     rows = rows.withColumn("_free", size - F.coalesce("_n_held", F.lit(0))).drop("_n_held")
